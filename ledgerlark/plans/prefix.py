@@ -238,6 +238,12 @@ def bucketed_prefix(
     )
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as an uncorrelated scalar subquery."""
+    packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s")).scalar()
+    return df.withColumn("__scalars", packed).select("*", "__scalars.*").drop("__scalars")
+
+
 def global_rank(
     df: DataFrame, order: Sequence[str], name: str = "rank", cuts: Cuts | None = None
 ) -> DataFrame:

@@ -79,14 +79,17 @@ def role_id(role: str):
     return F.try_element_at(F.filter("entities", lambda e: e["role"] == role), F.lit(1))
 
 
-def payments_of(stream: Stream) -> DataFrame:
-    """Flat payments of an event stream; every source transaction counts as a payment attempt."""
+def payments_of(stream: Stream, namespace: tuple[str, ...] = ()) -> DataFrame:
+    """Flat payments of an event stream; every source transaction counts as a payment attempt.
+
+    Endpoints are typed keys: JSON arrays of the namespace, the entity kind and the entity id.
+    """
     if not stream.descriptor.graph:
         raise ValueError("the stream has no relational identities")
     source, destination = role_id("source"), role_id("destination")
 
     def key(entity):
-        return F.to_json(F.array(entity["kind"], entity["id"]))
+        return F.to_json(F.array(*[F.lit(n) for n in namespace], entity["kind"], entity["id"]))
 
     return stream.events.select(
         "event_id",
