@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.catalog.base import PAY_EVENTS, PAY_ORDERS, pay_events, pay_orders, query, r6, with_cte
-from ledgerlark.operators import features as ft
 from ledgerlark.operators import graph as gr
 from ledgerlark.operators import histories as hs
 from ledgerlark.operators import joins as jn
 from ledgerlark.operators import temporal_graph as tg
+from ledgerlark.session import cut_lineage
 
 CONTACTS = """,
 links as (select * from pay where kind = 'payment' and source <> destination),
@@ -51,33 +51,55 @@ def graph_degree(spark, sf):
                      r6(F.col("graph_recipient_degree")).alias("graph_recipient_degree"))
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def _stored(spark, sf, name, build):
+    """A feature table written once per session, so that single-feature queries read it back."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
+def _pagerank(spark, sf):
+    return _stored(spark, sf, "pagerank", lambda: tg.pagerank_features(pay_events(spark, sf)))
+
+
 def _components(spark, sf):
-    df = tg.component_features(pay_events(spark, sf))
-    return df.select("event_id", "graph_same_component",
-                     r6(F.col("graph_sender_component_size")).alias("graph_sender_component_size"),
-                     r6(F.col("graph_recipient_component_size")).alias("graph_recipient_component_size"))
+    return _stored(spark, sf, "components", lambda: tg.component_features(pay_events(spark, sf)))
+
 
+def _ppr(spark, sf):
+    return _stored(
+        spark, sf, "ppr", lambda: tg.ppr_features(pay_events(spark, sf), _components(spark, sf))
+    )
 
-query("temporal_components")(_components)
+
+def _rounded(df):
+    return df.select("event_id", *[r6(F.col(c)).alias(c) for c in df.columns if c != "event_id"])
+
+
+@query("temporal_components")
+def temporal_components(spark, sf):
+    return _rounded(_components(spark, sf))
 
 
 @query("pagerank_snapshots")
 def pagerank_snapshots(spark, sf):
-    df = tg.pagerank_features(pay_events(spark, sf))
-    return df.select("event_id", *[r6(F.col(c)).alias(c) for c in df.columns if c != "event_id"])
+    return _rounded(_pagerank(spark, sf))
 
 
 @query("bounded_ppr")
 def bounded_ppr(spark, sf):
-    payments = pay_events(spark, sf)
-    df = tg.ppr_features(payments, tg.component_features(payments))
-    return df.select("event_id", *[r6(F.col(c)).alias(c) for c in df.columns if c != "event_id"])
+    return _rounded(_ppr(spark, sf))
 
 
 @query("graph_features")
 def graph_features(spark, sf):
-    df = tg.graph_features(pay_events(spark, sf))
-    return df.select("event_id", *[r6(F.col(c)).alias(c) for c in df.columns if c != "event_id"])
+    """All thirteen, put together from the stored parts."""
+    parts = _pagerank(spark, sf).join(_ppr(spark, sf), "event_id").join(_components(spark, sf), "event_id")
+    return _rounded(parts.join(gr.degree_features(pay_events(spark, sf)), "event_id"))
 
 
 EXPLORER = """, paid as (select * from pay where kind = 'payment'),
@@ -118,8 +140,8 @@ def graph_totals(spark, sf):
 
 @query("sample_edges", with_cte(PAY_ORDERS, EXPLORER + """,
  c as (select * from ge where seq > 100 and label = 1 order by seq limit 301),
- f as (select node, min(seq) as at from (select src as node, seq from c union all select dst, seq from c) group by 1),
- r as (select seq, (select count(*) from f where at <= c.seq) as nodes, row_number() over (order by seq) as k from c)
+ f as (select node, min(seq) as first_at from (select src as node, seq from c union all select dst, seq from c) group by 1),
+ r as (select seq, (select count(*) from f where first_at <= c.seq) as nodes, row_number() over (order by seq) as k from c)
  select seq, id, src, dst from ge join (select seq from r
    where k <= 300 and seq < coalesce((select min(seq) from r where nodes > 100), 9223372036854775807)) using (seq)"""))
 def sample_edges(spark, sf):
@@ -188,9 +210,9 @@ def negative_destinations(spark, sf):
 
 
 @query("negative_destinations_counts", with_cte(PAY_ORDERS, """,
- f as (select destination, min(event_us) as at from pay group by 1),
+ f as (select destination, min(event_us) as first_at from pay group by 1),
  t as (select distinct event_us from pay),
- n as (select event_us, (select count(*) from f where at <= t.event_us) as n from t),
+ n as (select event_us, (select count(*) from f where first_at <= t.event_us) as n from t),
  g as (select source, event_us, count(distinct destination) as banned from pay group by all)
  select count(*) as payments, count(*) filter (n.n - g.banned > 0) as paired,
    cast(0 as bigint) as forbidden from pay join n using (event_us) join g using (source, event_us)"""))
@@ -380,15 +402,26 @@ def retained_history(spark, sf):
     return hs.retained_history(pay_orders(spark, sf), 500).select("event_id", "position", "stop", "first")
 
 
-def _register_graph_feature(name: str, build) -> None:
-    @query(name)
+def _register_graph_feature(name: str, build, sql: str | None = None) -> None:
+    @query(name, sql)
     def run(spark, sf):
-        return build(pay_events(spark, sf)).select("event_id", r6(F.col(name)).alias(name))
+        return build(spark, sf).select("event_id", r6(F.col(name)).alias(name))
 
 
-for _name in ("graph_sender_pagerank", "graph_recipient_pagerank", "graph_pagerank_error_bound", "graph_pagerank_edge_lag"):
-    _register_graph_feature(_name, tg.pagerank_features)
+for _name in (
+    "graph_sender_pagerank", "graph_recipient_pagerank", "graph_pagerank_error_bound", "graph_pagerank_edge_lag",
+):
+    _register_graph_feature(_name, _pagerank)
 for _name in ("graph_same_component", "graph_sender_component_size", "graph_recipient_component_size"):
-    _register_graph_feature(_name, tg.component_features)
+    _register_graph_feature(_name, _components)
+for _name in (
+    "graph_ppr_sender_to_recipient", "graph_ppr_recipient_to_sender",
+    "graph_ppr_forward_error_bound", "graph_ppr_reverse_error_bound",
+):
+    _register_graph_feature(_name, _ppr)
 for _name in ("graph_sender_degree", "graph_recipient_degree"):
-    _register_graph_feature(_name, gr.degree_features)
+    _register_graph_feature(
+        _name,
+        lambda spark, sf: gr.degree_features(pay_events(spark, sf)),
+        f"select event_id, {_name} from ({_events(DEGREES)})",
+    )
