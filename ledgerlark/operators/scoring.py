@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.scalars import sigmoid, softplus
 from ledgerlark.operators.metrics import class_weight, fit_standardizer
 from ledgerlark.plans.prefix import bucketed_prefix, measure_cuts, with_scalars
+from ledgerlark.session import cut_lineage
 
 # Fixed value: the smallest positive double.
 SMALLEST = 5e-324
@@ -189,7 +190,8 @@ def fit_history_head(payments: DataFrame, outcomes: DataFrame, names: Sequence[s
     from ledgerlark.operators.features import payment_features
     from ledgerlark.operators.histories import surprise_bits
 
-    rows = (
+    # Written once: fitting reads the rows several times.
+    rows = cut_lineage(
         payment_features(payments, names)
         .join(surprise_bits(payments).select("event_id", "bits"), "event_id")
         .join(outcomes.select("event_id", "label"), "event_id")
