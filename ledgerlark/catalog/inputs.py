@@ -141,8 +141,8 @@ def scan_csv_files(spark, sf):
     )
 
 
-@query("validate_events", """select cast(o_orderkey as varchar) as event_id, 'fraud labels must be 0, 1 or unknown' as rule from orders where o_orderkey % 29 = 0
- union all select cast(o_orderkey as varchar), 'TX_AMOUNT must be finite and nonnegative' from orders where o_orderkey % 31 = 0 and o_orderkey % 29 <> 0
+@query("validate_events", """select cast(o_orderkey as varchar) as event_id, 'fraud labels must be 0, 1 or unknown' as rule from orders where o_orderkey % 29 = 0 and o_orderkey % 31 <> 0
+ union all select cast(o_orderkey as varchar), 'TX_AMOUNT must be finite and nonnegative' from orders where o_orderkey % 31 = 0
  union all select 'twice', 'duplicate event identity'""")
 def validate_events(spark, sf):
     orders = table(spark, sf, "orders")

@@ -84,6 +84,7 @@ def pagerank_snapshots(
     rounds: int = PAGERANK_ROUNDS,
     tolerance: float = PAGERANK_TOLERANCE,
     hub_edges: int = HUB_EDGES,
+    check_every: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """All snapshots at once: (snap, node, rank) and their certificates (snap, error).
 
@@ -126,7 +127,7 @@ def pagerank_snapshots(
     state = cut_lineage(state)
     factor = damping / (1 - damping)
     errors: dict[int, float] = {k: 2.0 for k in range(len(times))}
-    for _ in range(rounds):
+    for step in range(1, rounds + 1):
         active = [k for k, e in errors.items() if e > tolerance]
         if not active:
             break
@@ -158,11 +159,12 @@ def pagerank_snapshots(
             )
         )
         updated = cut_lineage(updated.select("snap", "node", "n", "deg", "rank", "new"))
-        changes = updated.filter(F.col("snap").isin(active)).groupBy("snap").agg(
-            F.sum(F.abs(F.col("new") - F.col("rank"))).alias("change")
-        )
-        for row in changes.collect():  # one row per snapshot
-            errors[row["snap"]] = min(2.0, factor * row["change"] + 1e-14)
+        if step % check_every == 0 or step == rounds:
+            changes = updated.filter(F.col("snap").isin(active)).groupBy("snap").agg(
+                F.sum(F.abs(F.col("new") - F.col("rank"))).alias("change")
+            )
+            for row in changes.collect():  # one row per snapshot
+                errors[row["snap"]] = min(2.0, factor * row["change"] + 1e-14)
         state = updated.select("snap", "node", "n", "deg", F.col("new").alias("rank"))
     certificates = spark.createDataFrame(list(errors.items()), "snap int, error double")
     return state.select("snap", "node", "rank"), certificates
@@ -375,106 +377,117 @@ def bounded_ppr(
     )
     lists = cut_lineage(lists)
     pending = cut_lineage(
-        walks.select("walk", "us", "target", F.col("start").alias("node"), F.lit(1.0).alias("mass"))
-    )
-    totals = cut_lineage(
         walks.select(
             "walk",
+            "us",
+            "target",
+            F.col("start").alias("node"),
+            F.lit(1.0).alias("mass"),
             F.lit(0).cast("bigint").alias("used"),
             F.lit(0.0).alias("reserved"),
             F.lit(0.0).alias("at_target"),
-            F.lit(None).cast("string").alias("tail_node"),
-            F.lit(0).cast("bigint").alias("tail_from"),
-            F.lit(0.0).alias("tail_share"),
         )
     )
     settled: list[DataFrame] = []
-
-    def settle(rows: DataFrame) -> None:
-        """What is still pending may stop where it is; nothing else of the walk is needed."""
-        here = F.lit(stop) * F.col("mass")
-        settled.append(
-            rows.groupBy("walk").agg(
-                F.sum(here).alias("w_reserved"),
-                F.sum(F.when(F.col("node") == F.col("target"), here).otherwise(0.0)).alias("w_target"),
-            )
-        )
-
+    at_goal = F.col("node") == F.col("target")
     for _ in range(max_rounds):
-        alive = totals.filter(
-            (F.col("used") < budget) & (F.lit(1.0) - F.col("reserved") > tolerance)
-        )
-        settle(pending.join(alive.select("walk"), "walk", "left_anti"))
-        open_walks = cut_lineage(pending.join(alive.select("walk", "used"), "walk"))
-        asked = open_walks.select("node", "us").distinct()
-        degrees = degree_before(contacts, asked.withColumn("__p", F.lit(1))).select("node", "us", "degree")
-        sized = open_walks.join(degrees, ["node", "us"]).filter("degree > 0")
+        # Pending nodes of the walks that are still open, with what the walk has used so far.
+        asked = pending.select("node", "us").distinct().withColumn("__p", F.lit(1))
+        degrees = degree_before(contacts, asked).select("node", "us", "degree")
         heavy = Window.partitionBy("walk").orderBy(F.col("mass").desc(), "node")
+        sized = pending.join(degrees, ["node", "us"], "left").na.fill(0, ["degree"])
         sized = sized.withColumn(
-            "__before",
-            F.coalesce(F.sum("degree").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "__left",
+            F.lit(budget)
+            - F.col("used")
+            - F.coalesce(F.sum("degree").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        room = F.col("used")
-        expand = cut_lineage(
-            sized.withColumn("__left", F.lit(budget) - room - F.col("__before"))
-            .filter("__left > 0")
-            .withColumn("__take", F.least("degree", "__left"))
-            .select("walk", "us", "target", "node", "mass", "degree", "__take")
-        )
-        if expand.isEmpty():
-            settle(open_walks)
-            break
+        sized = sized.withColumn("__take", F.greatest(F.lit(0), F.least("degree", "__left")))
         share = F.lit(damping) * F.col("mass") / F.col("degree")
+        opened = F.col("__take") > 0
+        partial = opened & (F.col("__take") < F.col("degree"))
+        whole = Window.partitionBy("walk")
+        gone = F.lit(stop) * F.col("mass")
+        sized = sized.withColumns(
+            {
+                "now_used": F.col("used") + F.sum("__take").over(whole),
+                "now_reserved": F.col("reserved")
+                + F.coalesce(F.sum(F.when(opened, gone)).over(whole), F.lit(0.0)),
+                "now_target": F.col("at_target")
+                + F.coalesce(F.sum(F.when(opened & at_goal, gone)).over(whole), F.lit(0.0)),
+                "share": F.when(opened, share),
+            }
+        )
+        ends_now = (
+            (F.col("now_used") >= budget)
+            | (F.col("now_used") == F.col("used"))
+            | (F.lit(1.0) - F.col("now_reserved") <= tolerance)
+        )
+        sized = cut_lineage(sized.withColumn("last", ends_now))
+        # A walk that ends now needs only sums: what it pushed, and whether the target was reached.
+        final = (
+            sized.filter("last")
+            .join(lists, "node", "left")
+            .withColumn("__at", F.array_position("others", F.col("target")))
+        )
+        reached = opened & (F.col("__at") > 0) & (F.col("__at") <= F.col("__take"))
+        rest = F.when(opened, F.col("share") * F.col("__take")).otherwise(F.col("mass"))
+        near = F.when(~opened & at_goal, F.col("mass")).otherwise(0.0) + F.when(
+            reached, F.col("share")
+        ).otherwise(0.0)
+        tail = F.when(
+            partial,
+            F.struct(
+                F.col("node").alias("n"), F.col("__take").alias("k"), (F.lit(stop) * F.col("share")).alias("s")
+            ),
+        )
+        settled.append(
+            cut_lineage(
+                final.groupBy("walk").agg(
+                    (F.max("now_reserved") + F.lit(stop) * F.sum(rest)).alias("total"),
+                    (F.max("now_target") + F.lit(stop) * F.sum(near)).alias("known"),
+                    F.max(tail).alias("tail"),
+                )
+            )
+        )
+        going = sized.filter(~F.col("last"))
+        carried = ["walk", "us", "target", "now_used", "now_reserved", "now_target"]
         pushed = (
-            expand.join(lists, "node")
-            .withColumn("share", share)
+            going.filter(opened)
+            .join(lists, "node")
             .select(
-                "walk", "us", "target", "share",
+                *carried,
+                F.col("share").alias("mass"),
                 F.explode(F.slice("others", F.lit(1), F.col("__take").cast("int"))).alias("node"),
             )
-            .groupBy("walk", "us", "target", "node")
-            .agg(F.sum("share").alias("mass"))
         )
-        kept = open_walks.join(expand.select("walk", "node"), ["walk", "node"], "left_anti")
+        kept = going.filter(~opened).select(*carried, "mass", "node")
         pending = cut_lineage(
-            kept.select("walk", "us", "target", "node", "mass")
-            .unionByName(pushed.select("walk", "us", "target", "node", "mass"))
-            .groupBy("walk", "us", "target", "node")
+            kept.unionByName(pushed.select(*carried, "mass", "node"))
+            .groupBy(*carried, "node")
             .agg(F.sum("mass").alias("mass"))
-        )
-        partial = F.col("__take") < F.col("degree")
-        gained = expand.groupBy("walk").agg(
-            F.sum("__take").alias("g_used"),
-            F.sum(F.lit(stop) * F.col("mass")).alias("g_reserved"),
-            F.sum(F.when(F.col("node") == F.col("target"), F.lit(stop) * F.col("mass")).otherwise(0.0)).alias(
-                "g_target"
-            ),
-            F.max(
-                F.when(
-                    partial,
-                    F.struct(
-                        F.col("node").alias("n"), F.col("__take").alias("k"), (F.lit(stop) * share).alias("s")
-                    ),
-                )
-            ).alias("tail"),
-        )
-        totals = cut_lineage(
-            totals.join(gained, "walk", "left").select(
-                "walk",
-                (F.col("used") + F.coalesce("g_used", F.lit(0))).alias("used"),
-                (F.col("reserved") + F.coalesce("g_reserved", F.lit(0.0))).alias("reserved"),
-                (F.col("at_target") + F.coalesce("g_target", F.lit(0.0))).alias("at_target"),
-                F.coalesce("tail.n", "tail_node").alias("tail_node"),
-                F.coalesce("tail.k", "tail_from").alias("tail_from"),
-                F.coalesce("tail.s", "tail_share").alias("tail_share"),
+            .withColumnsRenamed(
+                {"now_used": "used", "now_reserved": "reserved", "now_target": "at_target"}
             )
         )
+        if pending.isEmpty():
+            break
     else:
-        settle(pending)
+        here = F.lit(stop) * F.col("mass")
+        settled.append(
+            pending.groupBy("walk").agg(
+                (F.max("reserved") + F.sum(here)).alias("total"),
+                (F.max("at_target") + F.sum(F.when(at_goal, here).otherwise(0.0))).alias("known"),
+                F.lit(None).cast("struct<n:string,k:bigint,s:double>").alias("tail"),
+            )
+        )
     waiting = settled[0]
     for more in settled[1:]:
         waiting = waiting.unionByName(more)
-    ended = walks.join(totals, "walk").join(waiting, "walk", "left")
+    ended = walks.join(waiting, "walk").select(
+        "walk", "start", "target", "us", "total", "known",
+        F.col("tail.n").alias("tail_node"), F.col("tail.k").alias("tail_from"), F.col("tail.s").alias("tail_share"),
+    )
     # A contact of the partly expanded node that was not reached: beyond the expanded prefix.
     reach = ends.select(F.col("node").alias("tail_node"), F.col("other").alias("target"), F.col("us").alias("c_us"))
     heads = lists.select(F.col("node").alias("tail_node"), "others")
@@ -490,9 +503,8 @@ def bounded_ppr(
         .select("walk", F.lit(True).alias("in_tail"))
     )
     extra = F.when(F.col("in_tail"), F.col("tail_share")).otherwise(0.0)
-    value = F.col("at_target") + F.coalesce("w_target", F.lit(0.0)) + extra
-    total = F.col("reserved") + F.coalesce("w_reserved", F.lit(0.0))
-    remaining = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - total) + 1e-14)
+    value = F.col("known") + extra
+    remaining = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("total")) + 1e-14)
     return ended.join(tails, "walk", "left").select(
         "walk", "start", "target", "us", value.alias("value"),
         F.greatest(F.lit(0.0), remaining - extra).alias("error"),
@@ -520,10 +532,12 @@ def ppr_features(
         ).alias("w"),
     ).select("event_id", "us", "w.*")
     # Equal starts, targets and times are walked once.
-    keyed = walks.withColumn("walk", F.to_json(F.array("start", "target", F.col("us").cast("string"))))
-    unique = cut_lineage(keyed.select("walk", "start", "target", "us").distinct())
+    keys = ["start", "target", "us"]
+    unique = cut_lineage(
+        walks.select(*keys).distinct().withColumn("walk", F.monotonically_increasing_id())
+    )
     solved = bounded_ppr(contacts, unique, **options)
-    back = keyed.select("event_id", "way", "walk").join(solved.select("walk", "value", "error"), "walk")
+    back = walks.join(solved.select(*keys, "value", "error"), keys)
     folded = back.groupBy("event_id").agg(
         F.max(F.when(F.col("way") == "f", F.col("value"))).alias("fv"),
         F.max(F.when(F.col("way") == "r", F.col("value"))).alias("rv"),

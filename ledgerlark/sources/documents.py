@@ -19,6 +19,7 @@ from ledgerlark.functions.scalars import (
 from ledgerlark.plans.ordering import first_seen_index, running_max
 from ledgerlark.plans.prefix import global_rank, with_scalars
 from ledgerlark.schema import Stream, payments_of
+from ledgerlark.session import cut_lineage
 from ledgerlark.sources.csv_layouts import BAD, SEQ, refuse, scan_csv_files
 
 
@@ -220,6 +221,7 @@ def read_payment_csv(
             (text("label_available_at") != "") & (label >= 0),
             to_seconds(F.col(columns["label_available_at"]), time_unit),
         )
+    # Parsed once: ids, origin, order and checks all read the rows again.
     rows = raw.select(
         text("id").alias("id"),
         kind.alias("kind"),
@@ -236,6 +238,7 @@ def read_payment_csv(
         F.col(SEQ).alias("__row"),
         F.col(BAD).alias("__bad"),
     )
+    rows = cut_lineage(rows)
     if check:
         wrong = (
             F.col("__bad").isNotNull()
