@@ -132,6 +132,7 @@ def pair_history(
     settled: bool = False,
     freeze_us: int | None = None,
     per_task: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Earlier payments between the same two accounts, in this and in both directions.
 
@@ -173,7 +174,7 @@ def pair_history(
             "__same": F.when(F.col("__fwd"), F.col("__adds")).otherwise(0),
             "__back": F.when(F.col("__fwd"), 0).otherwise(F.col("__adds")),
         },
-        layout=plan_layout(rows, keys, "__at", per_task),
+        layout=plan_layout(rows, keys, "__at", per_task, at_most),
         sequence=[F.col("seq")] if settled else None,
     ).filter("__asks")
     directed = F.when(F.col("__fwd"), F.col("__same")).otherwise(F.col("__back"))
@@ -273,14 +274,17 @@ def raw_history(
     """
     columns = ["event_id", "event_us", "seq", "kind", "source", "destination", "amount"]
     base = payments.select(*columns, *(["settled"] if settled else []), *keep)
+    if not needs:
+        return base.filter(F.col("kind") == "payment")
+    size = payments.count()
     if "pair" in needs:
-        base = pair_history(base, settled, freeze_us, per_task)
+        base = pair_history(base, settled, freeze_us, per_task, 2 * size)
     if "account" not in needs:
         return base.filter(F.col("kind") == "payment")
     carried = [c for c in base.columns if c not in ("event_id", "seq", "settled", "role")]
     recent = "recent" in needs
     rows = _account_rows(base, carried, recent, settled, freeze_us)
-    layout = plan_layout(rows, ["account"], "at", per_task)
+    layout = plan_layout(rows, ["account"], "at", per_task, 6 * size)
     value = F.col("value")
     sums = {
         "out_count": F.col("out"),

@@ -6,6 +6,8 @@ undirected contacts for the rest; self-payments, deposits and reports add nothin
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -344,6 +346,66 @@ def component_features(payments: DataFrame, contacts: DataFrame | None = None) -
 # --- Local personalized PageRank ----------------------------------------------------------------
 
 
+def _push_walk(near: dict, start, target, us: int, damping: float, budget: int, tolerance: float):
+    """(value, error) of one walk over adjacency ``near[node] = (times, others)``, heaviest first."""
+    stop = 1 - damping
+    mass, queue = {start: 1.0}, [(-1.0, start)]
+    stopped, hit, used, tail = 0.0, 0.0, 0, 0.0
+    while queue and used < budget and 1.0 - stopped > tolerance:
+        weight, node = heapq.heappop(queue)
+        if mass.get(node) != -weight:
+            continue  # a heavier entry of the node follows or it is done
+        times, others = near.get(node, ((), ()))
+        degree = bisect.bisect_left(times, us)
+        if not degree:
+            continue
+        heavy = mass.pop(node)
+        stopped += stop * heavy
+        hit += stop * heavy if node == target else 0.0
+        share, take = damping * heavy / degree, min(degree, budget - used)
+        for other in others[:take]:
+            mass[other] = mass.get(other, 0.0) + share
+            heapq.heappush(queue, (-mass[other], other))
+        used += take
+        if take < degree and target in others[take:degree]:
+            tail = stop * share
+    total = stopped + stop * sum(mass.values())
+    error = min(1.0, max(0.0, 1.0 - total) + 1e-14) - tail
+    return hit + stop * mass.get(target, 0.0) + tail, max(0.0, error)
+
+
+def _broadcast_walks(contacts: DataFrame, walks: DataFrame, damping: float, budget: int, tolerance: float) -> DataFrame:
+    """Walks over a contact table whose size was checked; each task holds it once."""
+    near: dict = {}
+    ends = contact_ends(contacts).select("node", "us", "other")
+    for node, us, other in sorted(tuple(r) for r in ends.collect()):
+        times, others = near.setdefault(node, ([], []))
+        times.append(us)
+        others.append(other)
+    shared = walks.sparkSession.sparkContext.broadcast(near)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = [
+                _push_walk(shared.value, start, target, us, damping, budget, tolerance)
+                for start, target, us in zip(batch["start"], batch["target"], batch["us"].tolist())
+            ]
+            yield batch.assign(value=[v for v, _ in found], error=[e for _, e in found]) if found else (
+                batch.assign(value=pd.Series(dtype=float), error=pd.Series(dtype=float))
+            )
+
+    ordered = walks.select("walk", "start", "target", "us").repartition("walk")
+    return ordered.mapInPandas(
+        run, "walk bigint, start string, target string, us bigint, value double, error double"
+    )
+
+
+# A contact table of at most this many rows is broadcast; larger ones are walked in rounds of joins.
+BROADCAST_CONTACTS = 500_000
+
+
 def bounded_ppr(
     contacts: DataFrame,
     walks: DataFrame,
@@ -351,6 +413,7 @@ def bounded_ppr(
     budget: int = PPR_EDGE_BUDGET,
     tolerance: float = PPR_TOLERANCE,
     max_rounds: int = 80,
+    broadcast_contacts: int = BROADCAST_CONTACTS,
 ) -> DataFrame:
     """Lower bound of the walk score from ``start`` to ``target`` over contacts before ``us``.
 
@@ -359,9 +422,12 @@ def bounded_ppr(
     the node that exceeds it is expanded partly and its other contacts are credited with what
     stops there. Adds ``value`` and ``error``: value <= exact <= value + error.
 
-    A walk never has more pending nodes than contacts traversed, so the per-walk windows are
+    Over a small contact table every walk runs inside one task, strictly heaviest first; over a
+    large one all walks advance together. A walk never has more pending nodes than contacts traversed, so the per-walk windows are
     bounded by the budget. Adjacency lists are cut at the budget, which no walk can exceed.
     """
+    if contacts.count() <= broadcast_contacts:
+        return _broadcast_walks(contacts, walks, damping, budget, tolerance)
     stop = 1 - damping
     ends = contact_ends(contacts)
     order = Window.partitionBy("node").orderBy("us", "other")

@@ -107,13 +107,20 @@ class Layout:
 
 
 def plan_layout(
-    rows: DataFrame, keys: Sequence[str], order: str, per_task: int | None = None
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    per_task: int | None = None,
+    at_most: int | None = None,
 ) -> Layout | None:
     """Find keys with more than ``per_task`` rows. At most n/per_task keys can qualify.
 
-    Inputs that fit in one task as a whole need no search; then the only job is a row count.
+    Inputs that fit in one task as a whole need no search; then the only job is a row count, and
+    not even that when the caller knows that there are ``at_most`` so many rows.
     """
     per_task = per_task or rows_per_task(rows.sparkSession)
+    if at_most is not None and at_most <= per_task:
+        return None
     keyed = rows.select(*keys, order)
     total = keyed.count()
     if total <= per_task:

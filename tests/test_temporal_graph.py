@@ -59,9 +59,9 @@ def connected(payments):
     return tg.component_features(payments).cache()
 
 
-@pytest.mark.parametrize("budget", [3, 64])
-def test_walk_scores_are_certified_lower_bounds(payments, local, connected, budget):
-    rows = tg.ppr_features(payments, connected, budget=budget).collect()
+@pytest.mark.parametrize("budget, limit", [(1, 10**6), (16, 10**6), (512, 10**6), (3, 0), (64, 0)])
+def test_walk_scores_are_certified_lower_bounds(payments, local, connected, budget, limit):
+    rows = tg.ppr_features(payments, connected, budget=budget, broadcast_contacts=limit).collect()
     by_id = {p["event_id"]: p for p in local}
     links = {r["event_id"]: r["graph_same_component"] for r in connected.collect()}
     for row in rows:
