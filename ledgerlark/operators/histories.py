@@ -19,6 +19,7 @@ from ledgerlark.plans.prefix import (
     plan_layout,
     with_scalars,
 )
+from ledgerlark.session import cut_lineage
 
 # Decay times in minutes, list lengths, histogram smoothing.
 HISTORY_DECAY = 720.0
@@ -54,12 +55,16 @@ def pair_basis(age: Column, item: Column) -> list[Column]:
     return [F.lit(1.0), F.log1p(item["amount"]) / 8.0, F.least(age / 720.0, F.lit(4.0)), *_wave(age)]
 
 
-def decayed_vector(items: Column, now: Column, decay: float, basis, weights: Sequence[Sequence[float]]) -> Column:
+def add_decayed_vector(
+    df: DataFrame, items: str, decay: float, basis, weights: Sequence[Sequence[float]], name: str
+) -> DataFrame:
     """tanh of the decay-weighted mean of projected basis terms; zeros without items.
 
-    The projection is linear, so the basis is averaged first and projected once.
+    The projection is linear, so the basis is averaged first and projected once. The sums are a
+    column of their own, so that they are computed once per row.
     """
     terms = len(weights[0])
+    now = F.col("event_us")
     start = F.array(*[F.lit(0.0)] * (terms + 1))
 
     def add(total: Column, item: Column) -> Column:
@@ -68,13 +73,14 @@ def decayed_vector(items: Column, now: Column, decay: float, basis, weights: Seq
         values = F.array(*[weight * b for b in basis(age, item)], weight)
         return F.zip_with(total, values, lambda x, y: x + y)
 
-    summed = F.aggregate(items, start, add)
-    total = F.element_at(summed, terms + 1)
+    summed = df.withColumn("__sums", F.aggregate(items, start, add))
+    total = F.element_at("__sums", terms + 1)
     rows = [
-        sum((F.element_at(summed, j + 1) * F.lit(float(w)) for j, w in enumerate(row)), F.lit(0.0))
+        sum((F.element_at("__sums", j + 1) * F.lit(float(w)) for j, w in enumerate(row)), F.lit(0.0))
         for row in weights
     ]
-    return F.array(*[F.when(total > 0, F.tanh(r / total)).otherwise(0.0) for r in rows])
+    vector = F.array(*[F.when(total > 0, F.tanh(r / total)).otherwise(0.0) for r in rows])
+    return summed.withColumn(name, vector).drop("__sums")
 
 
 def account_history_vector(
@@ -82,8 +88,7 @@ def account_history_vector(
 ) -> DataFrame:
     """Vector of the last 8 incidents of each probe ``(account, event_us, ...)``."""
     found = last_neighbors(payments, probes, HISTORY_LIMIT, "__items")
-    vector = decayed_vector(F.col("__items"), F.col("event_us"), HISTORY_DECAY, account_basis, weights)
-    return found.withColumn(name, vector).drop("__items")
+    return add_decayed_vector(found, "__items", HISTORY_DECAY, account_basis, weights, name).drop("__items")
 
 
 def last_pair_payments(payments: DataFrame, probes: DataFrame, k: int = PAIR_LIMIT, name: str = "items") -> DataFrame:
@@ -101,8 +106,7 @@ def pair_history_vector(
     payments: DataFrame, probes: DataFrame, weights: Sequence[Sequence[float]], name: str = "vector"
 ) -> DataFrame:
     found = last_pair_payments(payments, probes, PAIR_LIMIT, "__items")
-    vector = decayed_vector(F.col("__items"), F.col("event_us"), PAIR_DECAY, pair_basis, weights)
-    return found.withColumn(name, vector).drop("__items")
+    return add_decayed_vector(found, "__items", PAIR_DECAY, pair_basis, weights, name).drop("__items")
 
 
 def _newest_distinct(items: Column) -> Column:
@@ -135,22 +139,26 @@ def neighborhood_vector(
     Every level is one as-of lookup over the distinct (account, time) probes that it needs.
     """
     dim = len(weights)
-    level = probes.select("account", "event_us").distinct()
+    # Every level is read again on the way back, so each is written once.
+    level = cut_lineage(probes.select("account", "event_us").distinct())
     needed = [level]
     hops = []
     for _ in range(depth):
         found = last_neighbors(payments, level, NEIGHBOR_LIMIT, "__items")
-        hop = found.select("account", "event_us", F.explode(_newest_distinct(F.col("__items"))).alias("n"))
+        hop = cut_lineage(
+            found.select("account", "event_us", F.explode(_newest_distinct(F.col("__items"))).alias("n"))
+        )
         hops.append(hop)
-        level = hop.select(F.col("n.other").alias("account"), "event_us").distinct()
+        level = cut_lineage(hop.select(F.col("n.other").alias("account"), "event_us").distinct())
         needed.append(level)
-    vectors = account_history_vector(payments, needed[depth], weights, "__v")
+    vectors = cut_lineage(
+        account_history_vector(payments, needed[depth], weights, "__v").select("account", "event_us", "__v")
+    )
     for hop, wanted in zip(reversed(hops), reversed(needed[:depth])):
         base = account_history_vector(payments, wanted, weights, "__base")
-        children = hop.join(
-            vectors.select(F.col("account").alias("__child"), "event_us", "__v"),
-            (hop["n.other"] == F.col("__child")) & (hop["event_us"] == vectors["event_us"]),
-        ).select(hop["account"], hop["event_us"], "n", "__v")
+        children = hop.withColumn("__child", F.col("n.other")).join(
+            vectors.withColumnRenamed("account", "__child"), ["__child", "event_us"]
+        )
         age = _age(F.col("event_us"), F.col("n"))
         edge = F.array(
             F.col("n.role").cast("double"),
@@ -158,10 +166,10 @@ def neighborhood_vector(
             F.least(age / 720.0, F.lit(4.0)),
             F.lit(1.0),
         )
-        full = F.concat(F.col("__v"), edge)
+        children = children.withColumn("__full", F.concat(F.col("__v"), edge))
         weight = F.exp(-age / F.lit(HISTORY_DECAY))
         projected = [
-            F.tanh(sum((F.element_at(full, j + 1) * F.lit(float(w)) for j, w in enumerate(row)), F.lit(0.0)))
+            F.tanh(sum((F.element_at("__full", j + 1) * F.lit(float(w)) for j, w in enumerate(row)), F.lit(0.0)))
             for row in mix
         ]
         mixed = children.groupBy("account", "event_us").agg(
@@ -176,7 +184,7 @@ def neighborhood_vector(
             ).otherwise(F.element_at("__base", i + 1))
             for i in range(dim)
         ]
-        vectors = joined.select("account", "event_us", F.array(*out).alias("__v"))
+        vectors = cut_lineage(joined.select("account", "event_us", F.array(*out).alias("__v")))
     return probes.join(vectors.withColumnRenamed("__v", name), ["account", "event_us"])
 
 
