@@ -30,7 +30,8 @@ def check_event_outcome_integrity(events: DataFrame, outcomes: DataFrame) -> Dat
     )
 
 
-SCORE_KINDS = ("probability", "anomaly", "margin")
+# What a prediction score may mean. Only probabilities are bounded.
+SCORE_KINDS = ("probability", "risk", "logit")
 
 
 def prediction_violations(predictions: DataFrame, score_kind: str = "probability") -> DataFrame:
