@@ -148,7 +148,7 @@ def site_posteriors(scored: DataFrame, sites: Sequence[str], head: str) -> tuple
     is the Beta precision that explains the spread of its sites (method of moments, at least 1).
     """
     label, llr = F.col(f"__{head}"), F.col(f"{head}_evidence")
-    base = scored.agg(((F.sum(label) + 0.5) / (F.count(label) + 1)).alias("p")).first()["p"]
+    base = scored.agg(((F.coalesce(F.sum(label), F.lit(0)) + 0.5) / (F.count(label) + 1)).alias("p")).first()["p"]
     prior = math.log(base / (1 - base))
     soft = F.coalesce(label.cast("double"), 1 / (1 + F.exp(-(llr + prior))))
     cells = stash(scored.groupBy(*sites).agg(F.sum(soft).alias("s"), F.count(F.lit(1)).alias("n")), "sites")

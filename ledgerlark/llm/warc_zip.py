@@ -155,9 +155,9 @@ def zip_members(file) -> dict[str, Member]:
     size = file.size()
     tail_at = max(0, size - 22 - 0xFFFF)
     tail = file.read_at(size - tail_at, tail_at)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)
+        at = tail.rfind(END, 0, at + 3)
     if at < 0:
         raise ValueError("not a ZIP file: no end of central directory")
     count, length, offset = struct.unpack_from("<H I I", tail, at + 10)
