@@ -51,36 +51,40 @@ def graph_degree(spark, sf):
                      r6(F.col("graph_recipient_degree")).alias("graph_recipient_degree"))
 
 
-_STORED: dict[tuple, object] = {}
-
-
-def _stored(spark, sf, name, build):
-    """A feature table written once per session, so that single-feature queries read it back."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
-    return _STORED[key]
-
-
 def _pagerank(spark, sf):
-    return _stored(spark, sf, "pagerank", lambda: tg.pagerank_features(pay_events(spark, sf)))
+    return tg.pagerank_features(pay_events(spark, sf))
 
 
 def _components(spark, sf):
-    return _stored(spark, sf, "components", lambda: tg.component_features(pay_events(spark, sf)))
+    return tg.component_features(pay_events(spark, sf))
 
 
 def _ppr(spark, sf):
-    return _stored(
-        spark, sf, "ppr", lambda: tg.ppr_features(pay_events(spark, sf), _components(spark, sf))
-    )
+    payments = pay_events(spark, sf)
+    contacts = cut_lineage(gr.first_contacts(payments))
+    return tg.ppr_features(payments, cut_lineage(tg.component_features(payments, contacts)), contacts)
+
+
+# Latest contact of the best connection of every two accounts: a min-max table, squared until paths of 512
+# contacts are covered.
+_SQUARES = 9
+BOTTLENECKS = """, b0 as (select node as x, other as y, us as t from ends
+   union all select node, node, min(us) from ends group by node)""" + "".join(
+    f""", b{i + 1} as (select p.x, q.y, min(greatest(p.t, q.t)) as t from b{i} p join b{i} q on p.y = q.x group by all)"""
+    for i in range(_SQUARES)
+) + f""", sz as (select p.event_id, count(*) filter (b.x = p.source) as s, count(*) filter (b.x = p.destination) as d,
+     max(case when b.x = p.source and b.y = p.destination then 1 else 0 end) as same
+   from pay p left join b{_SQUARES} b on b.x in (p.source, p.destination) and b.t < p.event_us
+   where p.kind = 'payment' group by 1),
+ comp as (select event_id, same::double as graph_same_component, round(ln(1 + s), 6) as graph_sender_component_size,
+   round(ln(1 + d), 6) as graph_recipient_component_size from sz)"""
 
 
 def _rounded(df):
     return df.select("event_id", *[r6(F.col(c)).alias(c) for c in df.columns if c != "event_id"])
 
 
-@query("temporal_components")
+@query("temporal_components", _events(BOTTLENECKS + " select * from comp"))
 def temporal_components(spark, sf):
     return _rounded(_components(spark, sf))
 
@@ -97,9 +101,8 @@ def bounded_ppr(spark, sf):
 
 @query("graph_features")
 def graph_features(spark, sf):
-    """All thirteen, put together from the stored parts."""
-    parts = _pagerank(spark, sf).join(_ppr(spark, sf), "event_id").join(_components(spark, sf), "event_id")
-    return _rounded(parts.join(gr.degree_features(pay_events(spark, sf)), "event_id"))
+    """All thirteen."""
+    return _rounded(tg.graph_features(pay_events(spark, sf)))
 
 
 EXPLORER = """, paid as (select * from pay where kind = 'payment'),
@@ -178,7 +181,7 @@ def search_nodes(spark, sf):
 STRUCTURE = with_cte(PAY_EVENTS, """,
  acct as (select distinct 'account:' || user_id as node from events
           union select distinct 'account:' || json_extract_string(props, '$.k') from events),
- rare as (select source as src, destination as dst from pay where kind = 'payment' and amount > 120),
+ rare as (select source as src, destination as dst from pay where kind = 'payment' and source is not null),
  und as (select src as a, dst as b from rare union select dst, src from rare),
  reach as (with recursive r(node, seen) as (
    select node, node from acct union select r.node, u.b from r join und u on u.a = r.seen) select * from r),
@@ -198,10 +201,8 @@ def graph_structure(spark, sf):
             F.concat(F.lit("account:"), F.get_json_object("props", "$.k")),
         )).alias("node")
     ).distinct()
-    rare = payments.filter("kind = 'payment' and amount > 120").select(
-        F.col("source").alias("src"), F.col("destination").alias("dst")
-    )
-    return gr.graph_structure(accounts, rare)
+    paid = payments.filter("kind = 'payment'").select(F.col("source").alias("src"), F.col("destination").alias("dst"))
+    return gr.graph_structure(accounts, paid)
 
 
 @query("negative_destinations")
@@ -413,7 +414,7 @@ for _name in (
 ):
     _register_graph_feature(_name, _pagerank)
 for _name in ("graph_same_component", "graph_sender_component_size", "graph_recipient_component_size"):
-    _register_graph_feature(_name, _components)
+    _register_graph_feature(_name, _components, _events(BOTTLENECKS + f" select event_id, {_name} from comp"))
 for _name in (
     "graph_ppr_sender_to_recipient", "graph_ppr_recipient_to_sender",
     "graph_ppr_forward_error_bound", "graph_ppr_reverse_error_bound",

@@ -399,18 +399,43 @@ def tree_path(spark, sf):
     )
 
 
-@query("explain_tree_ensemble", with_cte(SCORES, f"""
- select event_id, round({SMALL_MARGIN}, 6)::double as margin, round({SMALL_MARGIN}, 6)::double as explained from scored"""))
+# Values of the ensemble's games: f of nothing, of amount, of score and of both, by the covers.
+SHAPLEY_SQL = f""", n as (
+ select count(*)::double as n, count(*) filter (amount <= 150000)::double as l,
+   count(*) filter (amount <= 150000 and score <= 11.0)::double as ll, count(*) filter (amount > 150000)::double as r,
+   count(*) filter (amount > 150000 and amount <= 300000)::double as rl, count(*) filter (score <= 12.0)::double as s
+ from scored),
+ m as (select *, coalesce((-0.5 * ll + 0.25 * (l - ll)) / nullif(l, 0), 0) as low,
+   coalesce((rl + 2.0 * (r - rl)) / nullif(r, 0), 0) as high, coalesce((-0.25 * s + 0.75 * (n - s)) / n, 0) as plain from n),
+ g as (select event_id, amount, score, {SMALL_MARGIN} as margin, (l * low + r * high) / n + plain as none,
+   case when amount <= 150000 then low when amount <= 300000 then 1.0 else 2.0 end + plain as of_amount,
+   (l * case when score <= 11.0 then -0.5 else 0.25 end + r * high) / n
+     + case when score <= 12.0 then -0.25 else 0.75 end as of_score,
+   (margin + 1.0) / 0.5 as both from scored, m),
+ e as (select event_id, amount, score, margin, -1.0 + 0.5 * none as baseline,
+   0.25 * (of_amount - none + both - of_score) as c_amount, 0.25 * (of_score - none + both - of_amount) as c_score from g)"""
+
+
+@query("explain_tree_ensemble", with_cte(SCORES, SHAPLEY_SQL + """
+ select event_id, round(margin, 6)::double as margin, round(baseline, 6)::double as baseline,
+   round(c_amount, 6)::double as c_amount, round(c_score, 6)::double as c_score from e"""))
 def explain_tree_ensemble(spark, sf):
     base = scores(spark, sf)
     covers = tr.tree_cover_counts(base, SMALL_ENSEMBLE)
     scored = tr.score_tree_ensemble(base, SMALL_ENSEMBLE)
     explained = tr.explain_tree_ensemble(scored.select("event_id", "margin", "amount", "score"), SMALL_ENSEMBLE, covers, ["event_id", "margin"])
-    total = F.aggregate("contributions", F.col("baseline"), lambda a, x: a + x)
-    return explained.select("event_id", r6(F.col("margin")).alias("margin"), r6(total).alias("explained"))
+    parts = {"margin": F.col("margin"), "baseline": F.col("baseline"), "c_amount": F.col("contributions")[0], "c_score": F.col("contributions")[1]}
+    return explained.select("event_id", *[r6(c).alias(n) for n, c in parts.items()])
 
 
-@query("contribution_summary")
+def _summary_sql(feature: str) -> str:
+    c = f"c_{feature}"
+    return f"""select '{feature}' as feature, round(avg(abs({c})), 6)::double as mean_abs, round(avg({c}), 6)::double as mean,
+      round(min({c}), 6)::double as min, round(max({c}), 6)::double as max, round(avg({feature}), 6)::double as mean_value,
+      round(min({feature}), 6)::double as min_value, round(max({feature}), 6)::double as max_value from e"""
+
+
+@query("contribution_summary", with_cte(SCORES, SHAPLEY_SQL + " " + " union all ".join(map(_summary_sql, ("amount", "score")))))
 def contribution_summary(spark, sf):
     base = scores(spark, sf)
     covers = tr.tree_cover_counts(base, SMALL_ENSEMBLE)

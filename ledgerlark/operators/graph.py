@@ -299,72 +299,35 @@ def _jump(hooks: DataFrame) -> DataFrame:
     )
 
 
-# A context with at most this many edges is settled in one grouped task.
-CONTEXT_EDGES = 1_000_000
+def follow_hooks(hooks: DataFrame) -> DataFrame:
+    """(ctx, node, root) after every chain of pointers was followed to its end; ends point to themselves."""
+    while True:
+        jumped = cut_lineage(_jump(_jump(_jump(hooks))))
+        hooks = jumped.select("ctx", "node", "root")
+        if jumped.filter("moved").isEmpty():
+            return hooks
 
 
-def _settle_context(key, edges):
-    """Smallest member of every component of one small context, by union-find."""
-    import pandas as pd
-
-    codes, names = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True), sort=True)
-    parent = list(range(len(names)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    half = len(edges)
-    for x, y in zip(codes[:half].tolist(), codes[half:].tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    roots = [find(i) for i in range(len(names))]
-    return pd.DataFrame({"ctx": key[0], "node": names, "root": [names[r] for r in roots]})
-
-
-def components(
-    edges: DataFrame, max_rounds: int = 64, context_edges: int = CONTEXT_EDGES
-) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node per (ctx, node) over edges (ctx, a, b); nodes without edges are absent.
 
-    Contexts of at most ``context_edges`` edges are settled by one grouped task each. Larger ones
-    go through rounds: every node hooks to its smallest neighbour, pointer chains are shortened to
-    their ends, and the edges are contracted, until the context is small. Hooks point to smaller
-    nodes, so chains end; at least half of the nodes that still have edges disappear, so the
-    rounds are logarithmic. Hubs only meet map-side combined minima and equi-joins.
+    All contexts go through the same rounds: every node hooks to its smallest neighbour, pointer chains are
+    shortened to their ends, and the edges are contracted, until none is left. Hooks point to smaller nodes,
+    so chains end; at least half of the nodes that still have edges disappear, so the rounds are
+    logarithmic. Hubs only meet map-side combined minima and equi-joins.
     """
-    types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    settled_schema = f"ctx {types['ctx']}, node {types['a']}, root {types['a']}"
-
-    def settle(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("ctx").applyInPandas(_settle_context, settled_schema)
-
     rest = cut_lineage(edges.filter("a <> b").distinct())
-    large = rest.groupBy("ctx").count().filter(F.col("count") > context_edges).select("ctx")
-    if large.isEmpty():
-        return cut_lineage(settle(rest))
-    large = cut_lineage(large)
-    small = rest.join(large, "ctx", "left_anti")
-    done = [settle(small)]
-    rest = cut_lineage(rest.join(large, "ctx", "left_semi"))
-    labels = None
-    for _ in range(max_rounds):
+    labels = rest.select("ctx", F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    while not rest.isEmpty():
         hooks = (
             _both_ways(rest)
             .groupBy("ctx", "x")
             .agg(F.min("y").alias("m"))
             .select("ctx", F.col("x").alias("node"), F.least("x", "m").alias("root"))
         )
-        hooks = cut_lineage(hooks)
-        while True:
-            jumped = cut_lineage(_jump(_jump(_jump(hooks))))
-            hooks = jumped.select("ctx", "node", "root")
-            if jumped.filter("moved").isEmpty():
-                break
-        labels = hooks if labels is None else _follow(labels, hooks)
+        hooks = follow_hooks(cut_lineage(hooks))
+        fresh = hooks.join(labels.select("ctx", "node"), ["ctx", "node"], "left_anti")
+        labels = cut_lineage(_follow(labels, hooks).unionByName(fresh))
         at_a = hooks.select("ctx", F.col("node").alias("a"), F.col("root").alias("__a"))
         at_b = hooks.select("ctx", F.col("node").alias("b"), F.col("root").alias("__b"))
         rest = cut_lineage(
@@ -374,12 +337,7 @@ def components(
             .filter("a <> b")
             .distinct()
         )
-        if rest.groupBy("ctx").count().filter(F.col("count") > context_edges).isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    done.append(_follow(labels, settle(rest)))
-    return cut_lineage(done[0].unionByName(done[1]))
+    return labels
 
 
 def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:

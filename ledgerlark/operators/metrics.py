@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import sigmoid, softplus
-from ledgerlark.plans.prefix import Cuts, bucketed_prefix, measure_cuts, with_scalars
+from ledgerlark.plans.prefix import BUCKET, Cuts, bucketed_prefix, measure_cuts, with_scalars
 
 
 def class_counts(df: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
@@ -205,78 +205,76 @@ def recall_at_budget(
     )
 
 
-def column_statistics(df: DataFrame, features: Sequence[str], bins: int = 10) -> tuple[DataFrame, DataFrame]:
+def column_statistics(
+    df: DataFrame, features: Sequence[str], bins: int = 10, cuts: int = 256
+) -> tuple[DataFrame, DataFrame]:
     """Per feature: counts, moments and interpolated quartiles; and an equal-width histogram.
 
-    Everything is computed from the counts of distinct values, in value buckets.
+    All features go through the same two grouped passes, however many there are: one over the rows
+    (sizes, moments and ``cuts`` approximate quantiles), one over the counts of distinct values, which are ranked
+    within the quantile buckets of their feature.
     """
-    stats = histogram = None
-    for feature in features:
+
+    def finite(feature: str) -> Column:
         value = F.col(feature).cast("double")
-        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-        column = df.select(F.when(finite, value).alias("v"))
-        present = column.filter(F.col("v").isNotNull())
-        counted = present.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        placed = bucketed_prefix(counted, ["v"], {"before": F.col("c")}, cuts=measure_cuts(present, "v"))
-        size = column.agg(
+        return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+    cells = [F.struct(F.lit(i).alias("f"), finite(name).alias("v")) for i, name in enumerate(features)]
+    long = df.select(F.inline(F.array(*cells)))
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "f int, feature string")
+    shares = [i / cuts for i in range(1, cuts)]
+    sizes = names.join(
+        long.groupBy("f").agg(
             F.count("v").alias("count"),
             F.count_if(F.col("v").isNull()).alias("missing"),
             F.avg("v").alias("mean"),
             F.stddev_pop("v").alias("std"),
-        )
-
-        def at(position: Column) -> Column:
-            hit = (F.col("before") <= position) & (position < F.col("before") + F.col("c"))
-            return F.max(F.when(hit, F.col("v")))
-
-        aggregates = [
-            F.count("v").alias("unique"),
             F.min("v").alias("min"),
             F.max("v").alias("max"),
-        ]
-        for share in (25, 50, 75):
-            place = (F.col("count") - 1) * F.lit(share / 100)
-            aggregates += [
-                at(F.floor(place)).alias(f"lo{share}"),
-                at(F.ceil(place)).alias(f"hi{share}"),
-            ]
-        row = with_scalars(with_scalars(placed, size).agg(*aggregates), size)
-        quantiles = [
-            (
-                F.col(f"lo{s}")
-                + (F.col(f"hi{s}") - F.col(f"lo{s}"))
-                * ((F.col("count") - 1) * F.lit(s / 100) - F.floor((F.col("count") - 1) * F.lit(s / 100)))
-            ).alias(f"p{s}")
-            for s in (25, 50, 75)
-        ]
-        one = row.select(
-            F.lit(feature).alias("feature"), "count", "missing", "unique", "min", "max", "mean", "std", *quantiles
-        )
-        limits = one.select(
-            F.col("min").alias("lo"),
-            F.col("max").alias("hi"),
-            F.when(F.col("min") == F.col("max"), 1).otherwise(F.least(F.lit(bins), F.col("unique"))).alias("k"),
-        )
-        bin_index = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
-            F.least(
-                F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("k")),
-                F.col("k") - 1,
-            )
-        )
-        part = (
-            with_scalars(counted, limits)
-            .groupBy(bin_index.cast("int").alias("bin"), "lo", "hi", "k")
-            .agg(F.sum("c").alias("count"))
-            .select(
-                F.lit(feature).alias("feature"),
-                "bin",
-                (F.col("lo") + F.col("bin") / F.col("k") * (F.col("hi") - F.col("lo"))).alias("bin_min"),
-                (F.col("lo") + (F.col("bin") + 1) / F.col("k") * (F.col("hi") - F.col("lo"))).alias("bin_max"),
-                "count",
-            )
+            F.percentile_approx("v", shares, 10 * cuts).alias("bounds"),
+        ),
+        "f",
+        "left",
+    ).na.fill(0, ["count", "missing"])
+    counted = long.filter("v is not null").groupBy("f", "v").agg(F.count(F.lit(1)).alias("c"))
+    sized = counted.join(F.broadcast(sizes), "f")  # one row per feature
+    bucketed = sized.withColumn(BUCKET, F.size(F.filter("bounds", lambda b: b <= F.col("v"))))
+    totals = bucketed.groupBy("f", BUCKET).agg(F.sum("c").alias("__t"))
+    earlier = Window.partitionBy("f").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("f", BUCKET, F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__carry"))
+    inside = Window.partitionBy("f", BUCKET).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed.withColumn("__in", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(carry, ["f", BUCKET])
+    before = F.col("__carry") + F.col("__in")
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((before <= position) & (position < before + F.col("c")), F.col("v")))
+
+    place = {s: (F.col("count") - 1) * F.lit(s / 100) for s in (25, 50, 75)}
+    picks = [
+        pick for s, p in place.items() for pick in (at(F.floor(p)).alias(f"lo{s}"), at(F.ceil(p)).alias(f"hi{s}"))
+    ]
+    ranked = placed.groupBy("f").agg(F.count(F.lit(1)).alias("unique"), *picks)
+    quantiles = [
+        (F.col(f"lo{s}") + (F.col(f"hi{s}") - F.col(f"lo{s}")) * (p - F.floor(p))).alias(f"p{s}")
+        for s, p in place.items()
+    ]
+    whole = sizes.join(ranked, "f", "left").na.fill(0, ["unique"])
+    stats = whole.select("feature", "count", "missing", "unique", "min", "max", "mean", "std", *quantiles)
+    k = F.when(F.col("min") == F.col("max"), 1).otherwise(F.least(F.lit(bins), F.col("unique")))
+    limits = whole.select("f", F.col("min").alias("lo"), F.col("max").alias("hi"), k.alias("k"), "feature")
+    share = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    histogram = (
+        counted.join(F.broadcast(limits), "f")
+        .withColumn("bin", F.least(F.floor(share * F.col("k")), F.col("k") - 1).cast("int"))
+        .groupBy("feature", "bin", "lo", "hi", "k")
+        .agg(F.sum("c").alias("count"))
+        .select(
+            "feature", "bin",
+            (F.col("lo") + F.col("bin") / F.col("k") * (F.col("hi") - F.col("lo"))).alias("bin_min"),
+            (F.col("lo") + (F.col("bin") + 1) / F.col("k") * (F.col("hi") - F.col("lo"))).alias("bin_max"),
+            "count",
         )
-        stats = one if stats is None else stats.unionByName(one)
-        histogram = part if histogram is None else histogram.unionByName(part)
+    )
     return stats, histogram
 
 

@@ -6,8 +6,6 @@ undirected contacts for the rest; self-payments, deposits and reports add nothin
 
 from __future__ import annotations
 
-import bisect
-import heapq
 import math
 from collections.abc import Sequence
 
@@ -15,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.graph import (
-    components,
     contact_ends,
     degree_before,
     degree_features,
     first_contacts,
+    follow_hooks,
     payment_ends,
 )
-from ledgerlark.plans.prefix import bucketed_prefix, global_rank, measure_cuts
+from ledgerlark.plans.ordering import previous_value
+from ledgerlark.plans.prefix import bucketed_prefix, measure_cuts, plan_layout, strict_prefix
 from ledgerlark.session import cut_lineage
 
 # Fixed values of the PageRank snapshots and of the local walks.
@@ -129,13 +128,10 @@ def pagerank_snapshots(
     state = cut_lineage(state)
     factor = damping / (1 - damping)
     errors: dict[int, float] = {k: 2.0 for k in range(len(times))}
+    settled: list[DataFrame] = []
     for step in range(1, rounds + 1):
-        active = [k for k, e in errors.items() if e > tolerance]
-        if not active:
-            break
-        moving = state.filter(F.col("snap").isin(active))
         # A node's rank goes out once per salt of its edges.
-        out = moving.filter("deg > 0").select(
+        out = state.filter("deg > 0").select(
             "snap",
             F.col("node").alias("src"),
             (F.col("rank") / F.col("deg")).alias("share"),
@@ -146,30 +142,35 @@ def pagerank_snapshots(
             .groupBy("snap", F.col("dst").alias("node"))
             .agg(F.sum("share").alias("inbound"))
         )
-        dangling = moving.groupBy("snap").agg(
+        dangling = state.groupBy("snap").agg(
             F.sum(F.when(F.col("deg") == 0, F.col("rank")).otherwise(0.0)).alias("loose")
         )
         updated = (
             state.join(inbound, ["snap", "node"], "left")
-            .join(F.broadcast(dangling), "snap", "left")  # one row per snapshot
+            .join(F.broadcast(dangling), "snap")  # one row per snapshot
             .withColumn(
                 "new",
-                F.when(F.col("loose").isNull(), F.col("rank")).otherwise(
-                    F.lit(damping) * F.coalesce("inbound", F.lit(0.0))
-                    + (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) / F.col("n")
-                ),
+                F.lit(damping) * F.coalesce("inbound", F.lit(0.0))
+                + (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) / F.col("n"),
             )
         )
         updated = cut_lineage(updated.select("snap", "node", "n", "deg", "rank", "new"))
+        state = updated.select("snap", "node", "n", "deg", F.col("new").alias("rank"))
         if step % check_every == 0 or step == rounds:
-            changes = updated.filter(F.col("snap").isin(active)).groupBy("snap").agg(
-                F.sum(F.abs(F.col("new") - F.col("rank"))).alias("change")
-            )
+            changes = updated.groupBy("snap").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("change"))
             for row in changes.collect():  # one row per snapshot
                 errors[row["snap"]] = min(2.0, factor * row["change"] + 1e-14)
-        state = updated.select("snap", "node", "n", "deg", F.col("new").alias("rank"))
+            # Settled snapshots leave the loop.
+            active = [k for k, e in errors.items() if e > tolerance]
+            settled.append(state.filter(~F.col("snap").isin(active)).select("snap", "node", "rank"))
+            state = state.filter(F.col("snap").isin(active))
+            if not active:
+                break
+    ranks = state.select("snap", "node", "rank")
+    for part in settled:
+        ranks = ranks.unionByName(part)
     certificates = spark.createDataFrame(list(errors.items()), "snap int, error double")
-    return state.select("snap", "node", "rank"), certificates
+    return ranks, certificates
 
 
 def pagerank_features(payments: DataFrame, rounds: int = PAGERANK_ROUNDS) -> DataFrame:
@@ -207,120 +208,79 @@ def pagerank_features(payments: DataFrame, rounds: int = PAGERANK_ROUNDS) -> Dat
 # --- Components as of a time --------------------------------------------------------------------
 
 
-def _time_tree(edges: int, slots: int, fanout: int, small: int = 2_000_000) -> tuple[int, int]:
-    """Levels and parts per segment: at most ``fanout`` parts, more while the copies stay few."""
-    levels = 1
-    while True:
-        parts = max(2, math.ceil(slots ** (1 / levels) - 1e-9))
-        while parts**levels < slots:
-            parts += 1
-        if parts <= fanout or edges * parts // 2 <= small:
-            return levels, parts
-        levels += 1
-
+def contraction_tree(contacts: DataFrame) -> DataFrame:
+    """(node, level, top, until): the tree that rounds of contraction build over the contacts.
 
-def temporal_components(
-    contacts: DataFrame, probes: DataFrame, fanout: int = 16
-) -> DataFrame:
-    """Component (its smallest member) and size of each probe ``(node, us)`` strictly before ``us``.
-
-    Time is divided recursively into ``fanout`` parts. For each part the contacts of the earlier
-    parts of the same segment are contracted, all segments and parts in one components job; the
-    part's own contacts and probes then move to the contracted nodes. A contact is looked at
-    once per level and later part, so levels are few and nothing replays the history in order.
-    Probes of nodes not seen yet come back with size 0.
+    In a round every group takes its earliest contact to another group, groups joined by such contacts
+    become one, and contacts inside a group go. The latest contact on the way from a node up to ``top`` is
+    ``until``. Two nodes are connected before a time exactly if both reach a common top over earlier contacts: the
+    latest contact between them on a minimum spanning forest is also the latest one in this tree. Groups
+    at least halve, so there are logarithmic many rounds and rows per node; hubs only meet map-side combined
+    minima and equi-joins.
     """
-    distinct = contacts.select("us").distinct()
-    ranked = cut_lineage(global_rank(distinct, ["us"], "at", measure_cuts(contacts, "us")))
-    slots = ranked.count() + 1
-    levels, parts = _time_tree(contacts.count(), slots, fanout)
-    edges = contacts.join(ranked, "us").select(
-        F.lit(0).cast("bigint").alias("seg"), "at", F.col("lo").alias("a"), F.col("hi").alias("b")
-    )
-    # A probe sees the contacts with at < its position: those of smaller times.
-    asked = probes.select("node", "us").distinct()
-    clock = asked.select("us").distinct().join(
-        ranked.select("us", F.lit(1).alias("__is")), "us", "full"
-    )
-    positions = bucketed_prefix(
-        clock,
-        ["us"],
-        {"at": F.coalesce("__is", F.lit(0)).cast("bigint")},
-        cuts=measure_cuts(contacts, "us"),
+    edges = cut_lineage(
+        contacts.select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.struct("us", "lo", "hi").alias("w"))
     )
-    seen = contact_ends(contacts).groupBy("node").agg(F.min("us").alias("__seen"))
-    queries = (
-        asked.join(positions.select("us", "at"), "us")
-        .join(seen, "node")
-        .filter(F.col("__seen") < F.col("us"))
-        .select(F.lit(0).cast("bigint").alias("seg"), "at", "us", "node", F.col("node").alias("root"))
-    )
-    edges, queries = cut_lineage(edges), cut_lineage(queries)
-    weights = queries.select("seg", "root").union(edges.select("seg", "a")).union(
-        edges.select("seg", "b")
-    ).distinct().withColumn("w", F.lit(1).cast("bigint"))
-    weights = cut_lineage(weights)
-    width = parts**levels
-    for level in range(levels):
-        width //= parts
-        part = F.floor(F.col("at") / width) % parts
-        edges = edges.withColumn("part", part.cast("int"))
-        queries = queries.withColumn("part", part.cast("int"))
-        # Only parts that hold something need the contraction of what came before them.
-        asked_parts = edges.select("seg", "part").union(queries.select("seg", "part")).distinct()
-        spread = (
-            edges.filter(F.col("part") < parts - 1)
-            .select(
-                "seg", "a", "b",
-                F.explode(F.sequence(F.col("part") + 1, F.lit(parts - 1))).alias("part"),
-            )
-            .join(asked_parts, ["seg", "part"], "left_semi")
-        )
-        context = (F.col("seg") * parts + F.col("part")).alias("ctx")
-        labels = components(spread.select(context, "a", "b"))
-        names = labels.select(F.col("ctx").alias("seg2"), "node", F.col("root").alias("new"))
-
-        def moved(df: DataFrame, column: str) -> DataFrame:
-            renamed = names.select("seg2", F.col("node").alias(column), "new")
-            return (
-                df.join(renamed, ["seg2", column], "left")
-                .withColumn(column, F.coalesce("new", column))
-                .drop("new")
-            )
-
-        nxt = F.col("seg") * parts + F.col("part")
-        new_edges = moved(moved(edges.withColumn("seg2", nxt), "a"), "b").filter("a <> b")
-        new_edges = cut_lineage(
-            new_edges.groupBy(F.col("seg2").alias("seg"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            .agg(F.min("at").alias("at"))
-            .select("seg", "at", F.col("x").alias("a"), F.col("y").alias("b"))
+    tops = contact_ends(contacts).select("node", F.col("node").alias("top")).distinct()
+    tops = tops.withColumn("until", F.lit(None).cast("bigint"))
+    levels, level = [], 0
+    while not edges.isEmpty():
+        level += 1
+        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(edges.select("b", "a", "w"))
+        best = both.groupBy("x").agg(F.min(F.struct("w", "y")).alias("m"))
+        best = cut_lineage(best.select("x", F.col("m.y").alias("y"), F.col("m.w.us").alias("at")))
+        # Two groups that take each other's contact end the chains; the smaller of them is the root.
+        back = best.select(F.col("x").alias("y"), F.col("y").alias("__back"))
+        own = (F.col("__back") == F.col("x")) & (F.col("x") < F.col("y"))
+        hooks = best.join(back, "y").select(
+            F.lit(0).alias("ctx"), F.col("x").alias("node"), F.when(own, F.col("x")).otherwise(F.col("y")).alias("root")
         )
-        new_queries = cut_lineage(
-            moved(queries.withColumn("seg2", nxt), "root").select(
-                F.col("seg2").alias("seg"), "at", "us", "node", "root"
+        hooks = follow_hooks(hooks).select(F.col("node").alias("x"), F.col("root").alias("__root"))
+        steps = best.select("x", "at").join(hooks, "x")
+        tops = cut_lineage(
+            tops.join(steps, F.col("top") == F.col("x")).select(
+                "node", F.col("__root").alias("top"), F.greatest("until", "at").alias("until")
             )
         )
-        members = labels.select(
-            "ctx", F.floor(F.col("ctx") / parts).alias("seg"), "node", F.col("root").alias("top")
-        ).join(weights.withColumnRenamed("root", "node"), ["seg", "node"])
-        merged = members.groupBy(F.col("ctx").alias("seg2"), F.col("top").alias("root")).agg(
-            F.sum("w").alias("merged")
-        )
-        wanted = (
-            new_queries.select("seg", "root")
-            .union(new_edges.select("seg", "a"))
-            .union(new_edges.select("seg", "b"))
-            .distinct()
-        )
-        weights = cut_lineage(
-            wanted.withColumn("old", F.floor(F.col("seg") / parts))
-            .join(merged.withColumnRenamed("seg2", "seg"), ["seg", "root"], "left")
-            .join(weights.withColumnRenamed("seg", "old"), ["old", "root"], "left")
-            .select("seg", "root", F.coalesce("merged", "w").alias("w"))
+        levels.append(tops.withColumn("level", F.lit(level)))
+        at_a = hooks.select(F.col("x").alias("a"), F.col("__root").alias("__a"))
+        at_b = hooks.select(F.col("x").alias("b"), F.col("__root").alias("__b"))
+        moved = edges.join(at_a, "a").join(at_b, "b").filter("__a <> __b")
+        edges = cut_lineage(
+            moved.groupBy(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).agg(F.min("w").alias("w"))
         )
-        edges, queries = new_edges, new_queries
-    solved = queries.join(weights, ["seg", "root"]).select("node", "us", "root", F.col("w").alias("size"))
-    return probes.join(solved, ["node", "us"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    tree = tops.withColumn("level", F.lit(0)).filter("level > 0") if not levels else levels[0]
+    for more in levels[1:]:
+        tree = tree.unionByName(more)
+    return tree.select("node", "level", "top", "until")
+
+
+def temporal_components(contacts: DataFrame, probes: DataFrame) -> DataFrame:
+    """Component and size of each probe ``(node, us)`` strictly before ``us``.
+
+    ``root`` names the component among those of the same time. It is the highest top of the contraction tree
+    that the node reaches over contacts before ``us``; the members are the nodes that reach the same top, and
+    their number is a running count over the times at which nodes reach it. Probes of nodes not seen yet come
+    back with size 0 and no root.
+    """
+    tree = cut_lineage(contraction_tree(contacts))
+    asked = probes.select("node", "us").distinct()
+    reached = (
+        asked.join(tree, "node")
+        .filter(F.col("until") < F.col("us"))
+        .groupBy("node", "us")
+        .agg(F.max(F.struct("level", "top")).alias("t"))
+        .select("node", "us", F.concat_ws("/", "t.level", "t.top").alias("root"))
+    )
+    rows = tree.select(
+        F.concat_ws("/", "level", "top").alias("root"), F.col("until").alias("us"), F.lit(1).alias("__one"),
+        F.lit(None).cast("string").alias("node"),
+    ).unionByName(reached.select("root", "us", F.lit(0).alias("__one"), "node"))
+    layout = plan_layout(rows, ["root"], "us")
+    counted = strict_prefix(rows, ["root"], "us", {"size": F.col("__one")}, layout=layout).filter("node is not null")
+    return probes.join(counted.select("node", "us", "root", "size"), ["node", "us"], "left").withColumn(
+        "size", F.coalesce("size", F.lit(0))
+    )
 
 
 def component_features(payments: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
@@ -346,64 +306,71 @@ def component_features(payments: DataFrame, contacts: DataFrame | None = None) -
 # --- Local personalized PageRank ----------------------------------------------------------------
 
 
-def _push_walk(near: dict, start, target, us: int, damping: float, budget: int, tolerance: float):
-    """(value, error) of one walk over adjacency ``near[node] = (times, others)``, heaviest first."""
-    stop = 1 - damping
-    mass, queue = {start: 1.0}, [(-1.0, start)]
-    stopped, hit, used, tail = 0.0, 0.0, 0, 0.0
-    while queue and used < budget and 1.0 - stopped > tolerance:
-        weight, node = heapq.heappop(queue)
-        if mass.get(node) != -weight:
-            continue  # a heavier entry of the node follows or it is done
-        times, others = near.get(node, ((), ()))
-        degree = bisect.bisect_left(times, us)
-        if not degree:
-            continue
-        heavy = mass.pop(node)
-        stopped += stop * heavy
-        hit += stop * heavy if node == target else 0.0
-        share, take = damping * heavy / degree, min(degree, budget - used)
-        for other in others[:take]:
-            mass[other] = mass.get(other, 0.0) + share
-            heapq.heappush(queue, (-mass[other], other))
-        used += take
-        if take < degree and target in others[take:degree]:
-            tail = stop * share
-    total = stopped + stop * sum(mass.values())
-    error = min(1.0, max(0.0, 1.0 - total) + 1e-14) - tail
-    return hit + stop * mass.get(target, 0.0) + tail, max(0.0, error)
-
-
-def _broadcast_walks(contacts: DataFrame, walks: DataFrame, damping: float, budget: int, tolerance: float) -> DataFrame:
-    """Walks over a contact table whose size was checked; each task holds it once."""
-    near: dict = {}
-    ends = contact_ends(contacts).select("node", "us", "other")
-    for node, us, other in sorted(tuple(r) for r in ends.collect()):
-        times, others = near.setdefault(node, ([], []))
-        times.append(us)
-        others.append(other)
-    shared = walks.sparkSession.sparkContext.broadcast(near)
+# Nodes whose contacts an open walk asks for at once; a walk that needs more asks again.
+_ASK = 48
 
-    def run(batches):
-        import pandas as pd
 
-        for batch in batches:
-            found = [
-                _push_walk(shared.value, start, target, us, damping, budget, tolerance)
-                for start, target, us in zip(batch["start"], batch["target"], batch["us"].tolist())
-            ]
-            yield batch.assign(value=[v for v, _ in found], error=[e for _, e in found]) if found else (
-                batch.assign(value=pd.Series(dtype=float), error=pd.Series(dtype=float))
-            )
+def contact_chunks(contacts: DataFrame, size: int) -> DataFrame:
+    """Contacts of every node in time order, ``size`` per row: (node, chunk, first, next, times, others).
 
-    ordered = walks.select("walk", "start", "target", "us").repartition("walk")
-    return ordered.mapInPandas(
-        run, "walk bigint, start string, target string, us bigint, value double, error double"
+    ``next`` is the first time of the following chunk. A node with many contacts has many rows.
+    """
+    ends = contact_ends(contacts)
+    layout = plan_layout(ends, ["node"], "us")
+    ranked = strict_prefix(
+        ends, ["node"], "us", {"__k": F.lit(1)}, layout=layout, sequence=[F.col("other")]
+    )
+    chunks = ranked.groupBy("node", F.floor(F.col("__k") / size).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("us", "other"))).alias("c")  # at most `size`
     )
+    rows = chunks.select(
+        "node", "chunk", F.col("c")[0]["us"].alias("first"), F.col("c.us").alias("times"), F.col("c.other").alias("others")
+    )
+    return previous_value(
+        rows.withColumn("__back", -F.col("chunk")), ["node"], ["__back"], "first", "next"
+    ).drop("__back")
+
 
+def _spread(known: dict, start: str, target: str, damping: float, budget: int, tolerance: float):
+    """Run one walk as far as the known contacts go.
 
-# A contact table of at most this many rows is broadcast; larger ones are walked in rounds of joins.
-BROADCAST_CONTACTS = 500_000
+    ``known[node] = (degree, first contacts)``. Mass is moved level by level: a level takes the pending nodes
+    within a factor of two of the heaviest one, as they stand when it begins, in order of mass and name. Returns
+    (value, error, tail node, tail credit, nodes to ask for); with nodes to ask for, the rest is not final.
+    """
+    pending, ended, reached, left = {start: 1.0}, 0.0, 0.0, budget
+    tail_node, credit = None, 0.0
+    while pending and left and 1.0 - ended > tolerance:
+        floor = max(pending.values()) / 2
+        level = sorted((-m, n) for n, m in pending.items() if m >= floor)
+        if any(n not in known for _, n in level):
+            missing = sorted((-m, n) for n, m in pending.items() if n not in known)
+            return 0.0, 1.0, None, 0.0, [n for _, n in missing[:_ASK]]
+        idle = True
+        for weight, node in level:
+            degree, others = known[node]
+            take = min(degree, left)
+            if not take:
+                continue
+            idle = False
+            mass = -weight
+            pending[node] -= mass  # what arrived during this level stays
+            if pending[node] <= 0:
+                del pending[node]
+            ended += (1 - damping) * mass
+            if node == target:
+                reached += (1 - damping) * mass
+            share = damping * mass / degree
+            for other in others[:take]:
+                pending[other] = pending.get(other, 0.0) + share
+            left -= take
+            if take < degree and target not in others[:take]:
+                tail_node, credit = node, (1 - damping) * share
+        if idle:
+            break
+    total = math.fsum([ended, *((1 - damping) * m for m in pending.values())])
+    error = min(1.0, max(0.0, 1.0 - total) + 1e-14)
+    return reached + (1 - damping) * pending.get(target, 0.0), error, tail_node, credit, []
 
 
 def bounded_ppr(
@@ -412,168 +379,99 @@ def bounded_ppr(
     damping: float = DAMPING,
     budget: int = PPR_EDGE_BUDGET,
     tolerance: float = PPR_TOLERANCE,
-    max_rounds: int = 80,
-    broadcast_contacts: int = BROADCAST_CONTACTS,
 ) -> DataFrame:
     """Lower bound of the walk score from ``start`` to ``target`` over contacts before ``us``.
 
-    ``walks(walk, start, target, us)``. Every walk may traverse ``budget`` contacts. A round
-    expands pending nodes of all walks, heaviest first, as far as the budget of each walk goes;
-    the node that exceeds it is expanded partly and its other contacts are credited with what
+    ``walks(walk, start, target, us)``. Every walk may traverse ``budget`` contacts, heaviest levels first;
+    the node that exceeds the budget is expanded partly, and of its other contacts the target is credited with what
     stops there. Adds ``value`` and ``error``: value <= exact <= value + error.
 
-    Over a small contact table every walk runs inside one task, strictly heaviest first; over a
-    large one all walks advance together. A walk never has more pending nodes than contacts traversed, so the per-walk windows are
-    bounded by the budget. Adjacency lists are cut at the budget, which no walk can exceed.
+    One plan for any size: the contacts lie in chunks by node, open walks ask for the chunks that they need
+    next and are continued where those meet them. A walk holds at most its asked nodes with ``budget`` contacts
+    each, so tasks are bounded however large a hub is; nothing is broadcast. The rounds end when
+    no walk asks, which is after ``budget`` rounds at most and after about the depth of the walks usually.
     """
-    if contacts.count() <= broadcast_contacts:
-        return _broadcast_walks(contacts, walks, damping, budget, tolerance)
-    stop = 1 - damping
-    ends = contact_ends(contacts)
-    order = Window.partitionBy("node").orderBy("us", "other")
-    lists = (
-        ends.withColumn("__k", F.row_number().over(order))
-        .filter(F.col("__k") <= budget)
-        .groupBy("node")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("__k", "other"))), lambda x: x["other"]
-            ).alias("others")
-        )  # at most `budget` entries
-    )
-    lists = cut_lineage(lists)
-    pending = cut_lineage(
-        walks.select(
-            "walk",
-            "us",
-            "target",
-            F.col("start").alias("node"),
-            F.lit(1.0).alias("mass"),
-            F.lit(0).cast("bigint").alias("used"),
-            F.lit(0.0).alias("reserved"),
-            F.lit(0.0).alias("at_target"),
-        )
+    chunks = cut_lineage(contact_chunks(contacts, budget))
+    heads = chunks.filter("chunk = 0").select("node", F.col("others").alias("head"))
+    base = ["walk", "start", "target", "us"]
+    asking = cut_lineage(walks.select(*base, F.array("start").alias("asks")))
+    known, settled = None, None
+
+    def run(batches):
+        state: list = [None, None]  # the walk at hand and its known nodes
+        out: list[tuple] = []
+
+        def close() -> None:
+            (walk, start, target, us), near = state
+            value, error, node, credit, asks = _spread(near, start, target, damping, budget, tolerance)
+            out.append((walk, start, target, us, value, error, node, credit, asks))
+
+        def flush():
+            import pandas as pd
+
+            rows = pd.DataFrame(out, columns=[*base, "value", "error", "tail_node", "credit", "asks"])
+            out.clear()
+            return rows
+
+        for batch in batches:
+            fields = [batch[c].tolist() for c in (*base, "node", "degree", "others")]
+            for walk, start, target, us, node, degree, others in zip(*fields):
+                if state[0] is None or state[0][0] != walk:
+                    if state[0] is not None:
+                        close()
+                    state[:] = [(walk, start, target, us), {}]
+                state[1][node] = (int(degree), list(others))
+            if len(out) >= 5000:
+                yield flush()
+        if state[0] is not None:
+            close()
+        if out:
+            yield flush()
+
+    kind = (
+        "walk bigint, start string, target string, us bigint, value double, error double, "
+        "tail_node string, credit double, asks array<string>"
     )
-    settled: list[DataFrame] = []
-    at_goal = F.col("node") == F.col("target")
-    for _ in range(max_rounds):
-        # Pending nodes of the walks that are still open, with what the walk has used so far.
-        asked = pending.select("node", "us").distinct().withColumn("__p", F.lit(1))
-        degrees = degree_before(contacts, asked).select("node", "us", "degree")
-        heavy = Window.partitionBy("walk").orderBy(F.col("mass").desc(), "node")
-        sized = pending.join(degrees, ["node", "us"], "left").na.fill(0, ["degree"])
-        sized = sized.withColumn(
-            "__left",
-            F.lit(budget)
-            - F.col("used")
-            - F.coalesce(F.sum("degree").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        sized = sized.withColumn("__take", F.greatest(F.lit(0), F.least("degree", "__left")))
-        share = F.lit(damping) * F.col("mass") / F.col("degree")
-        opened = F.col("__take") > 0
-        partial = opened & (F.col("__take") < F.col("degree"))
-        whole = Window.partitionBy("walk")
-        gone = F.lit(stop) * F.col("mass")
-        sized = sized.withColumns(
-            {
-                "now_used": F.col("used") + F.sum("__take").over(whole),
-                "now_reserved": F.col("reserved")
-                + F.coalesce(F.sum(F.when(opened, gone)).over(whole), F.lit(0.0)),
-                "now_target": F.col("at_target")
-                + F.coalesce(F.sum(F.when(opened & at_goal, gone)).over(whole), F.lit(0.0)),
-                "share": F.when(opened, share),
-            }
-        )
-        ends_now = (
-            (F.col("now_used") >= budget)
-            | (F.col("now_used") == F.col("used"))
-            | (F.lit(1.0) - F.col("now_reserved") <= tolerance)
-        )
-        sized = cut_lineage(sized.withColumn("last", ends_now))
-        # A walk that ends now needs only sums: what it pushed, and whether the target was reached.
-        final = (
-            sized.filter("last")
-            .join(lists, "node", "left")
-            .withColumn("__at", F.array_position("others", F.col("target")))
-        )
-        reached = opened & (F.col("__at") > 0) & (F.col("__at") <= F.col("__take"))
-        rest = F.when(opened, F.col("share") * F.col("__take")).otherwise(F.col("mass"))
-        near = F.when(~opened & at_goal, F.col("mass")).otherwise(0.0) + F.when(
-            reached, F.col("share")
-        ).otherwise(0.0)
-        tail = F.when(
-            partial,
-            F.struct(
-                F.col("node").alias("n"), F.col("__take").alias("k"), (F.lit(stop) * F.col("share")).alias("s")
-            ),
-        )
-        settled.append(
-            cut_lineage(
-                final.groupBy("walk").agg(
-                    (F.max("now_reserved") + F.lit(stop) * F.sum(rest)).alias("total"),
-                    (F.max("now_target") + F.lit(stop) * F.sum(near)).alias("known"),
-                    F.max(tail).alias("tail"),
-                )
-            )
-        )
-        going = sized.filter(~F.col("last"))
-        carried = ["walk", "us", "target", "now_used", "now_reserved", "now_target"]
-        pushed = (
-            going.filter(opened)
-            .join(lists, "node")
-            .select(
-                *carried,
-                F.col("share").alias("mass"),
-                F.explode(F.slice("others", F.lit(1), F.col("__take").cast("int"))).alias("node"),
-            )
+    while True:
+        asked = asking.select(*base, F.explode("asks").alias("node"))
+        at = (F.col("first") < F.col("us")) & (F.col("next").isNull() | (F.col("next") >= F.col("us")))
+        inside = F.size(F.filter("times", lambda t: t < F.col("us")))
+        placed = chunks.select("node", "chunk", "first", "next", "times", "others")
+        met = asked.join(placed.withColumnRenamed("node", "__n"), (F.col("node") == F.col("__n")) & at, "left").select(
+            *base, "node", "chunk",
+            F.coalesce(F.col("chunk") * budget + inside, F.lit(0)).alias("degree"),
+            F.when(F.col("chunk") == 0, F.slice("others", F.lit(1), inside)).alias("others"),
         )
-        kept = going.filter(~opened).select(*carried, "mass", "node")
-        pending = cut_lineage(
-            kept.unionByName(pushed.select(*carried, "mass", "node"))
-            .groupBy(*carried, "node")
-            .agg(F.sum("mass").alias("mass"))
-            .withColumnsRenamed(
-                {"now_used": "used", "now_reserved": "reserved", "now_target": "at_target"}
-            )
+        # Beyond the first chunk the whole first chunk is before the walk's time.
+        far = met.filter("chunk > 0").drop("others").join(heads, "node").withColumnRenamed("head", "others")
+        near = met.filter("chunk is null or chunk = 0")
+        columns = [*base, "node", "degree", "others"]
+        found = near.select(columns).unionByName(far.select(columns)).withColumn(
+            "others", F.coalesce("others", F.array().cast("array<string>"))
         )
-        if pending.isEmpty():
+        if known is not None:
+            found = found.unionByName(known.join(asking.select("walk"), "walk", "left_semi").select(columns))
+        known = cut_lineage(found)
+        result = cut_lineage(known.repartition("walk").sortWithinPartitions("walk").mapInPandas(run, kind))
+        done = result.filter(F.size("asks") == 0)
+        settled = done if settled is None else settled.unionByName(done)
+        asking = result.filter(F.size("asks") > 0).select(*base, "asks")
+        if asking.isEmpty():
             break
-    else:
-        here = F.lit(stop) * F.col("mass")
-        settled.append(
-            pending.groupBy("walk").agg(
-                (F.max("reserved") + F.sum(here)).alias("total"),
-                (F.max("at_target") + F.sum(F.when(at_goal, here).otherwise(0.0))).alias("known"),
-                F.lit(None).cast("struct<n:string,k:bigint,s:double>").alias("tail"),
-            )
-        )
-    waiting = settled[0]
-    for more in settled[1:]:
-        waiting = waiting.unionByName(more)
-    ended = walks.join(waiting, "walk").select(
-        "walk", "start", "target", "us", "total", "known",
-        F.col("tail.n").alias("tail_node"), F.col("tail.k").alias("tail_from"), F.col("tail.s").alias("tail_share"),
+    # A contact of the partly expanded node that was not reached gets its credit if it is the target.
+    ends = contact_ends(contacts).select(
+        F.col("node").alias("tail_node"), F.col("other").alias("target"), F.col("us").alias("__c")
     )
-    # A contact of the partly expanded node that was not reached: beyond the expanded prefix.
-    reach = ends.select(F.col("node").alias("tail_node"), F.col("other").alias("target"), F.col("us").alias("c_us"))
-    heads = lists.select(F.col("node").alias("tail_node"), "others")
     tails = (
-        ended.filter("tail_node is not null")
-        .select("walk", "tail_node", "tail_from", "target", "us")
-        .join(reach, ["tail_node", "target"])
-        .filter(F.col("c_us") < F.col("us"))
-        .join(heads, "tail_node")
-        .filter(
-            ~F.array_contains(F.slice("others", F.lit(1), F.col("tail_from").cast("int")), F.col("target"))
-        )
-        .select("walk", F.lit(True).alias("in_tail"))
+        settled.filter("tail_node is not null").select("walk", "tail_node", "target", "us")
+        .join(ends, ["tail_node", "target"])
+        .filter(F.col("__c") < F.col("us"))
+        .select("walk", F.lit(True).alias("__in_tail"))
+        .distinct()
     )
-    extra = F.when(F.col("in_tail"), F.col("tail_share")).otherwise(0.0)
-    value = F.col("known") + extra
-    remaining = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("total")) + 1e-14)
-    return ended.join(tails, "walk", "left").select(
-        "walk", "start", "target", "us", value.alias("value"),
-        F.greatest(F.lit(0.0), remaining - extra).alias("error"),
+    extra = F.when(F.col("__in_tail"), F.col("credit")).otherwise(0.0)
+    return settled.join(tails, "walk", "left").select(
+        *base, (F.col("value") + extra).alias("value"), F.greatest(F.lit(0.0), F.col("error") - extra).alias("error")
     )
 
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", spark__sql__shuffle__partitions="4")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), "tests", spark__sql__shuffle__partitions="4")
     yield session
 
 

@@ -89,6 +89,22 @@ def test_contributions_are_permutation_shapley_values(spark):
         assert got[key]["baseline"] + sum(want) == pytest.approx(margins[key], abs=1e-8)
 
 
+def test_contributions_of_a_tree_with_forty_features(spark):
+    rng = random.Random(4)
+    names = [f"f{i}" for i in range(40)]
+    tree = {"leaf": 1.0}
+    for i in range(40):
+        tree = {"feature": i, "threshold": 0.9, "left": tree, "right": {"leaf": float(i)}}
+    rows = [(str(i), *[rng.random() for _ in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id string, " + ", ".join(f"{n} double" for n in names))
+    model = tr.TreeEnsemble(tuple(names), 0.0, 1.0, (tree,))
+    got = tr.explain_tree_ensemble(df, model, tr.tree_cover_counts(df, model)).collect()
+    margins = {r["event_id"]: r["margin"] for r in tr.score_tree_ensemble(df, model).collect()}
+    for r in got:
+        assert r["baseline"] + sum(r["contributions"]) == pytest.approx(margins[r["event_id"]], abs=1e-9)
+    assert any(abs(c) > 0.01 for r in got for c in r["contributions"][20:])
+
+
 def test_fingerprint_ignores_row_order(spark):
     df = spark.range(500).withColumn("v", F.col("id") * 2)
     first = mt.dataset_fingerprint(df).first()
