@@ -22,7 +22,18 @@ from ledgerlark.llm.common import without
 #: The split of byte-level BPE in terms of the standard library: letters, digits, others, white space.
 PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PROVED_TO = 0x10000
-_CACHED = 500_000  # merged pre-tokens a worker remembers before it starts afresh
+_CACHED = 1_000_000  # merged pre-tokens a worker remembers before it starts afresh
+
+
+#: The visible character of every byte: printable Latin-1 stands for itself, the others follow from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
+
+def as_bytes(part: str) -> str:
+    """A pre-token in the byte alphabet of the merges."""
+    return part.encode().decode("latin-1").translate(_ALPHABET)
 
 
 @dataclass(frozen=True)
@@ -49,7 +60,9 @@ def prove(path: str) -> Shortcut:
             continue
         c = chr(point)
         trial = f"a{c}a1{c}1!{c}! {c} x{c}{c}"
-        if [trial[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(trial)] != PRE_TOKEN.findall(trial):
+        theirs = library.pre_tokenizer.pre_tokenize_str(trial)
+        ours = PRE_TOKEN.findall(trial)
+        if [trial[a:b] for _, (a, b) in theirs] != ours or [x for x, _ in theirs] != list(map(as_bytes, ours)):
             unsafe.append(c)
     added = library.get_added_tokens_decoder().values()
     special = tuple(sorted((t.content for t in added), key=len, reverse=True))
@@ -64,21 +77,19 @@ class Counter(dict):
     """Tokens of a pre-token: 1 for the whole ones; others are merged by the library once and remembered."""
 
     def __init__(self, proof: Shortcut):
-        super().__init__()
+        super().__init__(dict.fromkeys(proof.whole, 1))
         self.library = Tokenizer.from_file(proof.path)
+        self.merge = self.library.model.tokenize
         self.whole = proof.whole
-        self.special = proof.special
         self.cut = re.compile("|".join(map(re.escape, proof.special))) if proof.special else None
         self.unsafe = re.compile(proof.unsafe)
 
-    def merge(self, parts: set[str]) -> None:
-        if len(self) + len(parts) > _CACHED:
+    def __missing__(self, part: str) -> int:
+        if len(self) > len(self.whole) + _CACHED:
             self.clear()
-        fresh = [p for p in parts - self.whole if p not in self]
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            self.update(zip(some, map(len, self.library.encode_batch(some, add_special_tokens=False))))
-        self.update(dict.fromkeys(parts & self.whole, 1))
+            self.update(dict.fromkeys(self.whole, 1))
+        self[part] = n = len(self.merge(as_bytes(part)))
+        return n
 
     def count(self, text: str) -> int:
         """Special strings inside the text are one token each, which is the library's default."""
@@ -91,12 +102,7 @@ class Counter(dict):
         if not text.isascii() or not text.isprintable():
             if self.unsafe.search(text):
                 return len(self.library.encode(text, add_special_tokens=False))
-        parts = PRE_TOKEN.findall(text)
-        try:
-            return sum(map(self.__getitem__, parts))
-        except KeyError:
-            self.merge(set(parts))
-            return sum(map(self.__getitem__, parts))
+        return sum(map(self.__getitem__, PRE_TOKEN.findall(text)))
 
 
 def n_tokens(text: Column, proof: Shortcut, spark) -> Column:
