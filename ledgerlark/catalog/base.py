@@ -37,7 +37,7 @@ def r6(column: Column) -> Column:
 
 
 def pay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payment per order with lines, customer to supplier; order dates tie often."""
+    """One payment per order, customer to its first supplier (0 for an order without lines); dates tie often."""
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -45,14 +45,14 @@ def pay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "orders")
-        .join(lines, "o_orderkey")
+        .join(lines, "o_orderkey", "left")
         .select(
             F.col("o_orderkey").cast("string").alias("event_id"),
             F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("event_us"),
             F.col("o_orderkey").alias("seq"),
             F.lit("payment").alias("kind"),
             F.concat(F.lit("customer:"), F.col("o_custkey")).alias("source"),
-            F.concat(F.lit("supplier:"), F.col("supp")).alias("destination"),
+            F.concat(F.lit("supplier:"), F.coalesce("supp", F.lit(0))).alias("destination"),
             F.col("o_totalprice").alias("amount"),
             F.when(F.col("o_orderstatus") == "F", 1)
             .when(F.col("o_orderstatus") == "O", 0)
@@ -73,11 +73,11 @@ lines as (
 pay as (
   select cast(o_orderkey as varchar) as event_id, epoch_us(o_orderdate) as event_us,
          o_orderkey as seq, 'payment' as kind, 'customer:' || o_custkey as source,
-         'supplier:' || supp as destination, o_totalprice as amount,
+         'supplier:' || coalesce(supp, 0) as destination, o_totalprice as amount,
          case o_orderstatus when 'F' then 1 when 'O' then 0 else -1 end as label,
          case when shipped >= o_orderdate then epoch_us(shipped) end as available_us,
          true as settled
-  from orders join lines on l_orderkey = o_orderkey
+  from orders left join lines on l_orderkey = o_orderkey
 )"""
 
 

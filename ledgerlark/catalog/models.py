@@ -411,9 +411,9 @@ SHAPLEY_SQL = f""", n as (
    case when amount <= 150000 then low when amount <= 300000 then 1.0 else 2.0 end + plain as of_amount,
    (l * case when score <= 11.0 then -0.5 else 0.25 end + r * high) / n
      + case when score <= 12.0 then -0.25 else 0.75 end as of_score,
-   (margin + 1.0) / 0.5 as both from scored, m),
+   (margin + 1.0) / 0.5 as whole from scored, m),
  e as (select event_id, amount, score, margin, -1.0 + 0.5 * none as baseline,
-   0.25 * (of_amount - none + both - of_score) as c_amount, 0.25 * (of_score - none + both - of_amount) as c_score from g)"""
+   0.25 * (of_amount - none + whole - of_score) as c_amount, 0.25 * (of_score - none + whole - of_amount) as c_score from g)"""
 
 
 @query("explain_tree_ensemble", with_cte(SCORES, SHAPLEY_SQL + """
@@ -618,22 +618,28 @@ def _stream(spark, sf):
     )
 
 
+def _stored_payments(spark, sf):
+    return pay_events(spark, sf).withColumn("event_ts", F.timestamp_micros("event_us"))
+
+
 STREAM_NAMES = list(ft.PAYMENT_FEATURES)
 
 
-@query("stream_payment_features", feature_sql(PAY_EVENTS, STREAM_NAMES,
-       "") + " where event_us < (select max(event_us) // 1000 * 1000 from pay)")
+@query("stream_payment_features", feature_sql(PAY_EVENTS, STREAM_NAMES, ""))
 def stream_payment_features(spark, sf):
-    out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-state")
+    stored, out, checkpoint = (scratch_dir(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    payments = _stored_payments(spark, sf)
+    payments.write.parquet(stored)
+    sft.closing_row(payments).write.mode("append").parquet(stored)
 
     def write(features, batch):
         features.write.mode("append").parquet(out)
 
-    stream = _stream(spark, sf).withWatermark("event_ts", "0 seconds")
+    stream = spark.readStream.schema(payments.schema).parquet(stored).withWatermark("event_ts", "0 seconds")
     run = sft.stream_payment_features(stream, STREAM_NAMES, write, checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    stored = spark.read.parquet(out)
-    return stored.select("event_id", *[r6(F.col(n)).alias(n) for n in STREAM_NAMES])
+    done = spark.read.parquet(out)
+    return done.select("event_id", *[r6(F.col(n)).alias(n) for n in STREAM_NAMES])
 
 
 @query("stream_released_feedback", """
@@ -649,7 +655,7 @@ def stream_released_feedback(spark, sf):
         F.col("event_id").cast("string").alias("event_id"), label.cast("int").alias("label"),
         (F.col("ts").cast("timestamp") + F.expr("interval 2 days")).alias("available_ts"),
     )
-    released = sfb.stream_released_feedback(events, outcomes, horizon="30 days")
+    released = sfb.stream_released_feedback(events, outcomes)
     run = (
         released.select("event_id", "label").writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -675,11 +681,26 @@ def stream_adaptive_budget(spark, sf):
     return stored.select("event_id", "decision", r6(F.col("tau_after")).alias("tau_after"))
 
 
-@query("late_event_audit", "select 'accepted' as part, count(*) as rows from events")
+LATE_PARTS = """, marked as (
+   select event_id, event_us, seq,
+     case when event_us < lo + (hi - lo) // 2 and seq % 7 <> 0 then 1 when event_us < lo + (hi - lo) * 3 // 4 then 2 else 3 end as part
+   from pay, (select min(event_us) as lo, max(event_us) as hi from pay)),
+ tops as (select part, max(event_us) as top from marked group by 1)"""
+
+
+@query("late_event_audit", with_cte(PAY_EVENTS, LATE_PARTS + """
+ select event_id, case when event_us < (select max(top) from tops t where t.part < m.part) then 'late' else 'accepted' end as part
+ from marked m"""))
 def late_event_audit(spark, sf):
-    out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-state")
-    run = sfb.late_event_audit(_stream(spark, sf), out, checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    late = spark.read.parquet(f"{out}/late").select(F.lit("late").alias("part"))
-    kept = spark.read.parquet(f"{out}/accepted").select(F.lit("accepted").alias("part"))
-    return kept.union(late).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    """Three batches; the second brings every seventh event of the first half too late."""
+    source, out, checkpoint = (scratch_dir(spark, f"audit-{n}") for n in ("in", "out", "state"))
+    events = pay_events(spark, sf).select("event_id", "event_us", "seq")
+    low, high = events.agg(F.min("event_us"), F.max("event_us")).first()
+    early = (F.col("event_us") < low + (high - low) // 2) & (F.col("seq") % 7 != 0)
+    part = F.when(early, 1).when(F.col("event_us") < low + (high - low) * 3 // 4, 2).otherwise(3)
+    for number in (1, 2, 3):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        sfb.late_event_audit(stream, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    late = spark.read.parquet(f"{out}/late").select("event_id", F.lit("late").alias("part"))
+    return spark.read.parquet(f"{out}/accepted").select("event_id", F.lit("accepted").alias("part")).union(late)

@@ -27,10 +27,27 @@ _OUT = (
 )
 
 
+#: Kind of the row that ends a stream: it belongs to no account and is later than every other row.
+CLOSING = "closing"
+
+
+def closing_row(payments: DataFrame) -> DataFrame:
+    """One row after the last of the stored ``payments``. Sent behind them it completes their last timestamp, which
+    otherwise waits for a later payment."""
+    last = payments.agg(F.max("event_us").alias("m"))
+    late = F.col("m") + 1_000_000
+    own = {"kind": F.lit(CLOSING), "event_us": late, "event_ts": F.timestamp_micros(late)}
+    kinds = payments.schema
+    return last.filter("m is not null").select(
+        *[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields]
+    )
+
+
 def account_stream(payments: DataFrame) -> DataFrame:
     """Account rows of a payment stream that carries ``event_ts`` and a watermark on it."""
     paid = (F.col("kind") == "payment") & F.col("source").isNotNull() & F.col("destination").isNotNull()
     touches = F.col("kind").isin("payment", "deposit")
+    closing = F.col("kind") == CLOSING
     self_paid = F.coalesce(F.col("source") == F.col("destination"), F.lit(False))
 
     def side(account: str, other: str, role: int):
@@ -43,7 +60,7 @@ def account_stream(payments: DataFrame) -> DataFrame:
         )
 
     return (
-        payments.filter(touches)
+        payments.filter(touches | closing)  # a closing row has no account and only moves the watermark
         .select(
             "event_ts", F.col("event_us").alias("us"), "seq", "event_id", "amount",
             F.explode(F.array(side("source", "destination", 0), side("destination", "source", 1))).alias("x"),

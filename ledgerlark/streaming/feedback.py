@@ -12,29 +12,38 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def stream_released_feedback(
-    events: DataFrame, outcomes: DataFrame, delay: str = "1 hour", horizon: str = "3650 days"
+    events: DataFrame, outcomes: DataFrame, horizon: str | None = None, delay: str = "1 hour"
 ) -> DataFrame:
-    """Labels joined to their events as they become available.
+    """Labels joined to their events as they become available, however late either of them is.
 
-    ``events(event_id, event_ts)`` and ``outcomes(event_id, label, available_ts)`` are streams;
-    known labels whose availability lies within ``horizon`` after the event are released, and the
-    watermarks let both sides forget what can no longer match.
+    ``events(event_id, event_ts)`` and ``outcomes(event_id, label, available_ts)`` are streams. Without a
+    ``horizon`` no known label is lost and the state holds both sides. With one, labels that become available
+    later than that after their event are given up (``expired_feedback`` tells which), and watermarks of
+    ``delay`` let both sides forget what can no longer match.
     """
-    left = events.withWatermark("event_ts", delay).alias("e")
-    right = (
-        outcomes.filter(F.col("label") >= 0)
-        .withColumnRenamed("event_id", "o_id")
-        .withWatermark("available_ts", delay)
-        .alias("o")
-    )
-    matched = F.expr(
-        f"e.event_id = o.o_id and o.available_ts >= e.event_ts and o.available_ts <= e.event_ts + interval {horizon}"
-    )
-    return left.join(right, matched).select("event_id", "event_ts", "label", "available_ts")
+    left = events.alias("e")
+    right = outcomes.filter(F.col("label") >= 0).withColumnRenamed("event_id", "o_id").alias("o")
+    matched = "e.event_id = o.o_id and o.available_ts >= e.event_ts"
+    if horizon is not None:
+        left = events.withWatermark("event_ts", delay).alias("e")
+        right = right.withWatermark("available_ts", delay).alias("o")
+        matched += f" and o.available_ts <= e.event_ts + interval {horizon}"
+    return left.join(right, F.expr(matched)).select("event_id", "event_ts", "label", "available_ts")
+
+
+def expired_feedback(events: DataFrame, outcomes: DataFrame, horizon: str) -> DataFrame:
+    """Known labels (event_id, label, available_ts) of stored tables that a stream with this ``horizon`` gives up."""
+    known = outcomes.filter(F.col("label") >= 0)
+    late = F.col("available_ts") > F.expr(f"event_ts + interval {horizon}")
+    return events.select("event_id", "event_ts").join(known, "event_id").filter(late).select("event_id", "label", "available_ts")
 
 
 class AdaptiveCutoff(StatefulProcessor):
-    """Warm-up, then a drifting cutoff per stream key, in request order inside each micro-batch."""
+    """Warm-up, then a drifting cutoff per stream key, in request order.
+
+    A request that arrives after a later one of its key was decided changes nothing and comes out as LATE, so the
+    decisions do not depend on how the stream is cut into batches as long as it arrives in order.
+    """
 
     def __init__(self, alpha: float, eta: float, warmup: int) -> None:
         self.alpha, self.eta, self.warmup = alpha, eta, warmup
@@ -42,13 +51,19 @@ class AdaptiveCutoff(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cutoff = handle.getValueState("cutoff", "tau double, decided bigint, blocked bigint")
         self.learned = handle.getListState("learned", "score double")
+        self.last = handle.getValueState("last", "seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
         tau0, decided, blocked = self.cutoff.get() if self.cutoff.exists() else (None, 0, 0)
         learned = [r[0] for r in self.learned.get()] if tau0 is None and self.learned.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
         out = []
         for row in batch.itertuples(index=False):
+            if last is not None and row.seq <= last:
+                out.append((row.event_id, row.segment, row.seq, row.score, "LATE", None, None))
+                continue
+            last = int(row.seq)
             if tau0 is None:
                 learned.append(float(row.score))
                 if len(learned) >= self.warmup:
@@ -62,8 +77,11 @@ class AdaptiveCutoff(StatefulProcessor):
             out.append(
                 (row.event_id, row.segment, row.seq, row.score, "BLOCK" if block else "ALLOW", before, after)
             )
+        if last is not None:
+            self.last.update((last,))
         if tau0 is None:
-            self.learned.put([(s,) for s in learned])
+            if learned:
+                self.learned.put([(s,) for s in learned])
         else:
             self.learned.clear()
             self.cutoff.update((tau0, decided, blocked))
