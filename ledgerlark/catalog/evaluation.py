@@ -307,7 +307,31 @@ def _adaptive(spark, sf):
     return pol.decide_adaptive_budget(segmented, ["segment"], stretch_rows=2000, **ADAPTIVE)
 
 
-@query("decide_adaptive_budget")
+def adaptive_sql(scored: str) -> str:
+    """Decisions of the online cutoff by a fold over the requests; ``scored`` defines s(event_id, segment, seq, score)."""
+    step = "(case when x.s > tau0 + 0.025 * (a.k - 0.05 * a.i) then 1 else 0 end)"
+    return scored + f""",
+      o as (select *, row_number() over (partition by segment order by seq) as k from s),
+      t as (select segment, list_sort(list(score)) as w from o where k <= 128 group by segment),
+      q as (select segment, w[cast(ceil(0.95 * len(w)) as int)] as tau0 from t),
+      f as (select o.segment, tau0, list(struct_pack(s := score) order by seq) as xs
+            from o join q using (segment) where k > 128 group by all),
+      r as (select segment, list_reduce(xs, lambda a, x: struct_pack(
+              i := a.i + 1, k := a.k + {step}, d := list_append(a.d, a.k + {step}), s := 0.0),
+            struct_pack(i := 0, k := 0, d := []::int[], s := 0.0)).d as d from f),
+      decided as (
+        select event_id, segment, 'LEARNING' as decision, null::double as tau_before,
+          case when k = 128 then round(tau0, 6) end as tau_after from o join q using (segment) where k <= 128
+        union all
+        select event_id, segment, case when d[k - 128] > coalesce(d[k - 129], 0) then 'BLOCK' else 'ALLOW' end,
+          round(tau0 + 0.025 * (coalesce(d[k - 129], 0) - 0.05 * (k - 129)), 6),
+          round(tau0 + 0.025 * (d[k - 128] - 0.05 * (k - 128)), 6)
+        from o join q using (segment) join r using (segment) where k > 128)"""
+
+
+@query("decide_adaptive_budget", with_cte(PAY_ORDERS, adaptive_sql(""",
+      s as (select event_id, seq, ln(1 + amount) as score, case when seq % 3 = 0 then 'small' else 'large' end as segment from pay)""")
+      + " select * from decided"))
 def decide_adaptive_budget(spark, sf):
     return _adaptive(spark, sf).select(
         "event_id", "segment", "decision", r6(F.col("tau_before")).alias("tau_before"),
@@ -510,7 +534,13 @@ def column_histogram(spark, sf):
     return _rounded(_stats(spark, sf)[1], ["bin_min", "bin_max"])
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", _sql(""", h as (select sha256('{"amount":' || amount || ',"event_id":"' || event_id
+    || '","event_us":' || event_us || ',"label":' || label || '}') as h from scored),
+   n as (select ('0x' || substr(h, 61, 4))::bigint % 256 as b, count(*) as n,
+     sum(('0x' || substr(h, 1, 15))::hugeint) as q0, sum(('0x' || substr(h, 16, 15))::hugeint) as q1,
+     sum(('0x' || substr(h, 31, 15))::hugeint) as q2, sum(('0x' || substr(h, 46, 15))::hugeint) as q3 from h group by 1)
+   select sum(n)::bigint as rows, sha256('amount,event_id,event_us,label|' || array_to_string(
+     list_sort(list(concat_ws(':', b, n, q0, q1, q2, q3))), '|')) as fingerprint from n"""))
 def dataset_fingerprint(spark, sf):
     return mt.dataset_fingerprint(scores(spark, sf).select("event_id", "event_us", "amount", "label"))
 

@@ -205,7 +205,13 @@ def graph_structure(spark, sf):
     return gr.graph_structure(accounts, paid)
 
 
-@query("negative_destinations")
+@query("negative_destinations", with_cte(PAY_ORDERS, """,
+ f as (select destination, min(event_us) as first_at from pay group by 1),
+ g as (select source, event_us, list(destination) as own from pay group by all),
+ v as (select g.source, g.event_us, list(f.destination order by first_at, f.destination) as ds
+   from g join f on first_at <= g.event_us and f.destination <> g.source and not list_contains(own, f.destination) group by all)
+ select event_id, ds[1 + ('0x' || substr(md5('7:' || event_id), 1, 15))::bigint % len(ds)] as negative
+ from pay left join v using (source, event_us)"""))
 def negative_destinations(spark, sf):
     return gr.negative_destinations(pay_orders(spark, sf)).select("event_id", "negative")
 

@@ -15,7 +15,7 @@ from ledgerlark.catalog.base import (
     scores,
     with_cte,
 )
-from ledgerlark.catalog.evaluation import TWO_MODELS, _two_models
+from ledgerlark.catalog.evaluation import TWO_MODELS, _two_models, adaptive_sql
 from ledgerlark.catalog.history import FEATURE_SQL, HISTORY_SQL, feature_sql
 from ledgerlark.functions import scalars as sc
 from ledgerlark.operators import experiments as ex
@@ -664,7 +664,9 @@ def stream_released_feedback(spark, sf):
     return spark.read.schema("event_id string, label int").parquet(out)
 
 
-@query("stream_adaptive_budget")
+@query("stream_adaptive_budget", with_cte(PAY_EVENTS, adaptive_sql(""",
+   s as (select event_id, seq, ln(1 + amount) as score, case when seq % 2 = 0 then 'even' else 'odd' end as segment
+         from pay where kind = 'payment')""") + " select event_id, decision, tau_after from decided"))
 def stream_adaptive_budget(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", sft.STATE_STORE)
     out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-state")

@@ -395,11 +395,12 @@ def negative_destinations(payments: DataFrame, seed: int = 7) -> DataFrame:
     )
     excluded = banned.groupBy("source", "event_us").agg(F.count(F.lit(1)).alias("__f"))
     valid = F.col("__n") - F.coalesce("__f", F.lit(0))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "event_id")), 1, 15)
     draws = (
         rows.join(sized, "event_us")
         .join(excluded, ["source", "event_us"], "left")
         .withColumn(
-            "__draw", F.when(valid > 0, F.pmod(F.xxhash64(F.lit(seed), F.col("event_id")), valid))
+            "__draw", F.when(valid > 0, F.pmod(F.conv(digits, 16, 10).cast("bigint"), valid))
         )
     )
     probes = draws.filter(F.col("__draw").isNotNull()).select(
