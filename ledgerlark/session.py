@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,27 @@ def local_session(cores: int | str = 8, app: str = "ledgerlark", **extra: str) -
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this library to the executors' Python workers.
+
+    Not needed where it is installed on every machine; harmless there, and done once per application.
+    """
+    name = f"ledgerlark-{spark.sparkContext.applicationId}.zip"
+    if any(os.path.basename(f) == name for f in spark.sparkContext.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    # The driver serves the archive to executors as long as the application runs.
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlark-"), name)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+
+
 def rows_per_task(spark: SparkSession) -> int:
     """How many history rows of one key a single task may scan before the key is split by time."""
     return int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK_DEFAULT)))

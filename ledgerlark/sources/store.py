@@ -210,3 +210,14 @@ def interval_guard(
     return counted.withColumn(
         "within_limits", (F.col("events") <= max_events) & (F.col("entities") <= max_entities)
     )
+
+
+def guard_interval(events: DataFrame, max_events: int = 20_000, max_entities: int = 256) -> DataFrame:
+    """The events as they are, or an error if the interval is larger than the limits; nothing is truncated."""
+    row = interval_guard(events, max_events, max_entities).first()
+    if not row["within_limits"]:
+        raise ValueError(
+            f"the interval holds {row['events']} events of {row['entities']} entities; "
+            f"at most {max_events} of {max_entities} are allowed: choose a shorter one"
+        )
+    return events

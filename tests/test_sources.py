@@ -4,6 +4,7 @@ import pytest
 
 from ledgerlark.sources import csv_layouts as cl
 from ledgerlark.sources import documents as dc
+from ledgerlark.sources import store as st
 
 HEADER = "TRANSACTION_ID,TX_DATETIME,CUSTOMER_ID,TERMINAL_ID,TX_AMOUNT,TX_TIME_SECONDS,TX_FRAUD,TX_FRAUD_SCENARIO"
 
@@ -68,3 +69,12 @@ def test_document_rules(spark, tmp_path):
     assert good.outcomes.first()["label"] == 1 and good.events.count() == 2
     with pytest.raises(ValueError, match="confirmed before"):
         dc.read_payment_json(spark, write(tmp_path, "b.json", [text % "0.5"]))
+
+
+def test_large_intervals_are_refused(spark):
+    rows = [(i, [("account", f"a{i % 7}"), ("account", f"b{i}")]) for i in range(30)]
+    events = spark.createDataFrame(rows, "event_us long, entities array<struct<kind: string, id: string>>")
+    assert st.guard_interval(events, 30, 37).count() == 30
+    for limits in ((29, 37), (30, 36)):
+        with pytest.raises(ValueError, match="choose a shorter one"):
+            st.guard_interval(events, *limits)
