@@ -307,13 +307,13 @@ def _adaptive(spark, sf):
     return pol.decide_adaptive_budget(segmented, ["segment"], stretch_rows=2000, **ADAPTIVE)
 
 
-def adaptive_sql(scored: str) -> str:
+def adaptive_sql(scored: str, alpha: float = 0.05) -> str:
     """Decisions of the online cutoff by a fold over the requests; ``scored`` defines s(event_id, segment, seq, score)."""
-    step = "(case when x.s > tau0 + 0.025 * (a.k - 0.05 * a.i) then 1 else 0 end)"
+    step = f"(case when x.s > tau0 + 0.025 * (a.k - {alpha} * a.i) then 1 else 0 end)"
     return scored + f""",
       o as (select *, row_number() over (partition by segment order by seq) as k from s),
       t as (select segment, list_sort(list(score)) as w from o where k <= 128 group by segment),
-      q as (select segment, w[cast(ceil(0.95 * len(w)) as int)] as tau0 from t),
+      q as (select segment, w[cast(ceil({1 - alpha} * len(w)) as int)] as tau0 from t),
       f as (select o.segment, tau0, list(struct_pack(s := score) order by seq) as xs
             from o join q using (segment) where k > 128 group by all),
       r as (select segment, list_reduce(xs, lambda a, x: struct_pack(
@@ -324,8 +324,8 @@ def adaptive_sql(scored: str) -> str:
           case when k = 128 then round(tau0, 6) end as tau_after from o join q using (segment) where k <= 128
         union all
         select event_id, segment, case when d[k - 128] > coalesce(d[k - 129], 0) then 'BLOCK' else 'ALLOW' end,
-          round(tau0 + 0.025 * (coalesce(d[k - 129], 0) - 0.05 * (k - 129)), 6),
-          round(tau0 + 0.025 * (d[k - 128] - 0.05 * (k - 128)), 6)
+          round(tau0 + 0.025 * (coalesce(d[k - 129], 0) - {alpha} * (k - 129)), 6),
+          round(tau0 + 0.025 * (d[k - 128] - {alpha} * (k - 128)), 6)
         from o join q using (segment) join r using (segment) where k > 128)"""
 
 
@@ -388,6 +388,33 @@ def policy_sweep(spark, sf):
     return pol.policy_sweep(scores(spark, sf), [("a", 9.0), ("b", 11.0), ("c", 12.0), ("d", 13.0)])
 
 
+SWEEP_SEGMENTS = """,
+      s as (select event_id, seq, label, score, case when seq % 3 = 0 then 'small' else 'large' end as segment from scored
+            where event_us >= {cut})""".replace("{cut}", str(TUNED_CUT_US))
+
+
+def _sweep_sql() -> str:
+    counts = """count(*) as requests, count(*) filter (block) as blocks, count(*) filter (block and label = 1) as tp,
+      count(*) filter (block and label = 0) as fp, count(*) filter (not block and label = 1) as fn,
+      count(*) filter (not block and label = 0) as tn"""
+    online = " union all ".join(
+        "(" + with_cte(SCORES, adaptive_sql(SWEEP_SEGMENTS, alpha)) + f""" select '{name}' as config, null::double as tau, {counts}
+          from (select d.decision = 'BLOCK' as block, s.label from decided d join s using (event_id) where d.decision <> 'LEARNING'))"""
+        for name, alpha in (("low", 0.05), ("high", 0.125))
+    )
+    plain = "(" + _sql(f" select 'fixed' as config, 12.0::double as tau, {counts} from (select score > 12.0 as block, label from scored where event_us >= {TUNED_CUT_US})") + ")"
+    return plain + " union all " + online
+
+
+@query("policy_sweep_online", _sweep_sql())
+def policy_sweep_online(spark, sf):
+    """Fixed and adaptive configurations side by side."""
+    df = scores(spark, sf).filter(F.col("event_us") >= TUNED_CUT_US)
+    df = df.withColumn("segment", F.when(F.col("seq") % 3 == 0, "small").otherwise("large"))
+    online = [{"config": n, "alpha": a, "eta": 0.025, "warmup": 128} for n, a in (("low", 0.05), ("high", 0.125))]
+    return pol.sweep_policies(df, fixed=[("fixed", 12.0)], adaptive=online, by=["segment"])
+
+
 DISTINCT_TIMES = """, u as (select event_us, row_number() over (order by event_us) - 1 as r,
   count(*) over () as n from (select distinct event_us from scored))"""
 

@@ -501,3 +501,45 @@ def policy_sweep(
         F.coalesce(F.sum(F.when(~blocked, F.col("pos"))), F.lit(0)).alias("fn"),
         F.coalesce(F.sum(F.when(~blocked, F.col("neg"))), F.lit(0)).alias("tn"),
     )
+
+
+def sweep_policies(
+    df: DataFrame,
+    fixed: Sequence[tuple[str, float]] = (),
+    tuned: Sequence[tuple[str, float, float]] = (),
+    calibration: DataFrame | None = None,
+    adaptive: Sequence[dict] = (),
+    by: Sequence[str] = (),
+    score: str = "score",
+) -> DataFrame:
+    """Counts of cached scores under fixed, tuned and adaptive configurations, one row each.
+
+    ``tuned`` are (config, cost of a false block, cost of a missed fraud), each with the cutoff that is cheapest on
+    ``calibration``; ``adaptive`` are configurations of ``decide_adaptive_budget``, whose warm-up rows do
+    not count and whose drifting cutoff shows as NULL.
+    """
+    parts = [policy_sweep(df, fixed, score)] if fixed else []
+
+    def counted(decisions: DataFrame) -> DataFrame:
+        blocked = F.col("decision") == "BLOCK"
+        return decisions.filter(F.col("decision").isin("BLOCK", "ALLOW")).groupBy("config", "tau").agg(
+            F.count(F.lit(1)).alias("requests"),
+            F.count_if(blocked).alias("blocks"),
+            F.count_if(blocked & (F.col("label") == 1)).alias("tp"),
+            F.count_if(blocked & (F.col("label") == 0)).alias("fp"),
+            F.count_if(~blocked & (F.col("label") == 1)).alias("fn"),
+            F.count_if(~blocked & (F.col("label") == 0)).alias("tn"),
+        )
+
+    for config, false_block, missed_fraud in tuned:
+        decided = decide_tuned(df, calibration, false_block=false_block, missed_fraud=missed_fraud)
+        parts.append(counted(decided.withColumn("config", F.lit(config))))
+    if adaptive:
+        decided = decide_adaptive_budget(df, by, configs=adaptive, score=score)
+        parts.append(counted(decided.withColumn("tau", F.lit(None).cast("double"))))
+    if not parts:
+        raise ValueError("no configuration to sweep")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
