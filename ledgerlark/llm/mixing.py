@@ -57,7 +57,7 @@ def source_targets(
     return levels.select(source, "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(
+def plan_mix(
     docs: DataFrame,
     shares: Sequence[float] = (3, 1, 2),
     total_share: float = 1.5,
@@ -66,34 +66,40 @@ def mix(
     text: str = "text",
     key: str = "doc_id",
     weight: Column | None = None,
+    weights: DataFrame | None = None,
     seed: int = 7,
     rows_per_task: int = 1_000_000,
 ) -> DataFrame:
-    """The documents with ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken`` (words taken,
-    copies x size).
+    """One narrow row per document: key, source, ``tie`` (text hash), ``size`` (words), ``source_size``,
+    ``target``, ``copies`` and ``taken`` (words taken, copies x size).
 
     copies = the complete epochs that fit the target, plus 1 for the documents at the front of the key order
     whose middle word lies below the rest of the target. So a source misses its target by half a document
-    at most, and no document exceeds ``most_epochs`` times its size. ``weight`` (default 1) must not depend
-    on the order of rows; null counts as 1, values below 1e-9 as 1e-9. Null and empty texts have size 0 and
-    are taken with copies like others. A null source is a source. Ties of keys go by key, then text hash;
-    rows equal in both are interchangeable. An empty table returns no rows.
+    at most, and no document exceeds ``most_epochs`` times its size. The weight is a column of the documents or
+    comes from ``weights`` (key, weight; one row per key); without one it is 1, values below 1e-9 are 1e-9. Null
+    and empty texts have size 0. A null source is a source. Ties of draws go by key, then text hash; rows equal
+    in both are interchangeable. An empty table returns no rows. Texts are read once and not shuffled.
     """
-    docs = without(docs, *OUTPUTS)
-    rate = F.greatest(F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(1.0)).cast("double"), F.lit(1e-9))
+    rate = weight if weight is not None else F.lit(1.0)
+    narrow = docs.select(
+        F.col(key), F.col(source), F.size(words(F.col(text))).cast("long").alias("size"),
+        F.xxhash64(text).alias("tie"), rate.cast("double").alias("__rate"),
+    )
+    if weights is not None:
+        known = weights.select(F.col(key).alias("__k"), F.col("weight").cast("double").alias("__given"))
+        narrow = narrow.join(known, F.col(key) == F.col("__k"), "left").withColumn(
+            "__rate", F.coalesce("__given", "__rate")
+        ).drop("__k", "__given")
+    rate = F.greatest(F.coalesce("__rate", F.lit(1.0)), F.lit(1e-9))
     draw = -F.log(uniform(F.lit(seed), F.col(key))) / rate
-    # Positive doubles sort like their bits; the leading ones name a range of keys. How many depends on the
-    # rows, so that a range of even the largest source has a fraction of rows_per_task.
-    n = docs.count()
-    cells = max(4, 1 << max(0, math.ceil(math.log2(max(1, 8 * n / rows_per_task)))))
+    sized = stash(narrow.withColumn("__draw", draw).drop("__rate"), "mix-rows")
+    # Positive doubles sort like their exponents and mantissas; the leading bits name a range of draws. How many
+    # bits depends on the rows, so that a range of even the largest source has a fraction of rows_per_task.
+    cells = max(4, 1 << max(0, math.ceil(math.log2(max(1, 8 * sized.count() / rows_per_task)))))
     octave = F.floor(F.log2("__draw"))
     cell = octave * cells + F.floor((F.col("__draw") / F.pow(F.lit(2.0), octave) - 1) * cells)
-    sized = docs.withColumns({"size": F.size(words(F.col(text))).cast("long"), "__draw": draw}).withColumn(
-        "__cell", cell.cast("long")
-    )
-    totals = stash(
-        sized.groupBy(source, "__cell").agg(F.sum("size").alias("cell_size")), "mix-cells"
-    )
+    sized = sized.withColumn("__cell", cell.cast("long"))
+    totals = stash(sized.groupBy(source, "__cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
     sizes = totals.groupBy(source).agg(F.sum("cell_size").alias("source_size"))
     targets = source_targets(sizes, source, shares, total_share, most_epochs)
     earlier = Window.partitionBy(source).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,32 +110,37 @@ def mix(
     )
     starts = stash(starts, "mix-starts")
     inside = (
-        Window.partitionBy(source, "__cell")
-        .orderBy("__draw", key, "__tie")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(source, "__cell").orderBy("__draw", key, "tie").rowsBetween(Window.unboundedPreceding, -1)
     )
     same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__cell") == F.col("__at"))
-    placed = (
-        sized.withColumn("__tie", F.xxhash64(text))
-        .withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(small(starts, starts.count()), same)
+    placed = sized.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+        small(starts, starts.count()), same
     )
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("target") - epochs * F.col("source_size")
     front = F.col("__start") + F.col("__inside") + F.col("size") / 2.0 < left
-    copies = epochs + front.cast("int")
-    return (
-        placed.withColumn("copies", copies.cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("__draw", "__cell", "__tie", "__inside", "__source", "__at", "__start")
+    return placed.withColumn("copies", (epochs + front.cast("int")).cast("long")).select(
+        key, source, "tie", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def label_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents with ``__weight``: 2 for labelled quality, 0.5 for labelled junk, 1 without a label.
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The documents with the columns OUTPUTS of ``plan_mix``; see there.
 
-    Repeated labels of a document count as the worst of them.
+    The plan is joined back on key and text hash, which moves each text once. Repeated rows are numbered on both
+    sides, so each gets the plan of one of them.
     """
-    worst = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min("quality").alias("__q"))
-    rate = F.when(F.col("__q") >= 1, 2.0).when(F.col("__q") <= 0, 0.5).otherwise(1.0)
-    return docs.join(worst, F.col(key) == F.col("__k"), "left").withColumn("__weight", rate).drop("__k", "__q")
+    docs = without(docs, *OUTPUTS)
+    plan = stash(plan_mix(docs, text=text, key=key, **options), "mix-plan")
+    number = F.row_number().over(Window.partitionBy("__key", "__tie").orderBy(F.desc("copies")))
+    plan = plan.select(F.col(key).alias("__key"), F.col("tie").alias("__tie"), *OUTPUTS).withColumn("__n", number)
+    mine = F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0)))
+    rows = docs.withColumn("__hash", F.xxhash64(text)).withColumn("__m", mine)
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__tie")) & (F.col("__m") == F.col("__n"))
+    return rows.join(plan, same).drop("__key", "__tie", "__n", "__hash", "__m")
+
+
+def label_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, weight): 2 for labelled quality, 0.5 for labelled junk; repeated labels count as the worst of them."""
+    worst = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("q"))
+    return worst.select(key, F.when(F.col("q") >= 1, 2.0).otherwise(0.5).alias("weight"))

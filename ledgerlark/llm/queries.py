@@ -64,8 +64,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents; labelled quality is twice, labelled junk half as likely to come early."""
-    docs = mixing.label_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, weight=F.col("__weight")).select("doc_id", "size", "source_size", "target", "taken")
+    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"), weights=weights)
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
