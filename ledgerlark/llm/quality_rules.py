@@ -172,22 +172,35 @@ def judge(rows: DataFrame, cutoffs: DataFrame, strata: Sequence[str]) -> DataFra
     return joined.drop(*[f"__s{c}" for c in strata], *[f"__c{m}" for m in CANDIDATES])
 
 
-def apply_rules(
-    docs: DataFrame,
-    labels: DataFrame,
-    strata: Sequence[str] = ("lang",),
-    text: str = "text",
-    key: str = "doc_id",
-    risk: float = 0.01,
-    level: float = 0.05,
+def fit_cutoffs(
+    rows: DataFrame, labels: DataFrame, strata: Sequence[str] = ("lang",), key: str = "doc_id", risk: float = 0.01, level: float = 0.05
 ) -> DataFrame:
-    """The documents with the measures, ``base_failed`` and ``kept``.
+    """Cutoffs from narrow measured rows and all labels; see ``select_cutoffs``."""
+    holdout = rows.join(good_labels(labels, key), F.col(key) == F.col("__good"), "left_semi")
+    return select_cutoffs(holdout.filter(~F.col("base_failed")), strata, risk, level)
+
+
+def verdicts(
+    docs: DataFrame, labels: DataFrame, strata: Sequence[str] = ("lang",), text: str = "text", key: str = "doc_id", **limits
+) -> DataFrame:
+    """One narrow row per document: key, strata, measures, ``base_failed`` and ``kept``.
 
     Words are runs without blanks and ASCII controls 9 to 13. Null and empty texts have no words and fail the base
     rules. A null stratum is a stratum of its own; without labels only the base rules decide. Every row
-    returns a row, also repeated ones.
+    returns a row, also repeated ones. Texts are read once and never shuffled.
+    """
+    narrow = measured(docs.select(key, *strata, text), text).select(key, *strata, *MEASURES, "base_failed")
+    rows = stash(narrow, "measures")
+    return judge(rows, fit_cutoffs(rows, labels, strata, key, **limits), strata)
+
+
+def apply_rules(
+    docs: DataFrame, labels: DataFrame, strata: Sequence[str] = ("lang",), text: str = "text", key: str = "doc_id", **limits
+) -> DataFrame:
+    """The documents with the columns of ``verdicts``, by the same rules.
+
+    Texts are read twice, once for the cutoffs and once for the verdicts, and never shuffled.
     """
-    rows = measured(docs, text)
-    holdout = measured(docs.join(good_labels(labels, key), F.col(key) == F.col("__good"), "left_semi"), text)
-    cutoffs = select_cutoffs(holdout.filter(~F.col("base_failed")), strata, risk, level)
-    return judge(rows, cutoffs, strata)
+    narrow = measured(docs.select(key, *strata, text), text).select(key, *strata, *MEASURES, "base_failed")
+    cutoffs = fit_cutoffs(stash(narrow, "measures"), labels, strata, key, **limits)
+    return judge(measured(docs, text), cutoffs, strata)

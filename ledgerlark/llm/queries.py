@@ -85,7 +85,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdicts of all documents."""
-    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
