@@ -15,6 +15,7 @@ fall into the same bucket, because the bucket is a function of the order value a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -355,59 +356,50 @@ def decayed_prefix(
     decay: float,
     name: str = "decayed",
     width: float = 2.0,
-    reach: int = 28,
+    per_task: int | None = None,
 ) -> DataFrame:
     """Add to every probe the sum of ``weight * exp(-(t - when) / decay)`` over strictly earlier rows.
 
-    ``time`` is an integer column in the unit of ``decay``. Rows are cut into time buckets of
-    ``width`` decays; inside a bucket the sum is a plain prefix of ``exp((when - start) / decay)``
-    and the ``reach`` buckets before it enter with their totals. What is left out has decayed
-    below exp(-width * reach).
+    ``time`` is an integer column in the unit of ``decay``. Rows are cut into time slots of ``width`` decays;
+    inside a slot the sum is a plain prefix of ``exp((when - start) / decay)`` and the slots before it enter
+    with their totals, back to where the factor is zero as a double. A slot of one key with more than
+    ``per_task`` rows is cut by time like any other hot key.
     """
-    keys = list(keys)
+    keys, slot = list(keys), "__slot"
     span = float(decay) * width
-    bucket = F.floor(F.col(time) / F.lit(span)).cast("bigint")
-    grown = F.exp((F.col(time) - F.col(BUCKET) * F.lit(span)) / F.lit(float(decay)))
-    past = history.withColumn(BUCKET, bucket).select(
-        *keys, BUCKET, time, (weight * grown).alias("__w"),
-    )
-    asked = probes.withColumn(BUCKET, bucket)
-    totals = past.groupBy(*keys, BUCKET).agg(F.sum("__w").alias("__t"))
-    # Every bucket that holds history or probes gets the decayed total of the buckets before it.
-    slots = totals.unionByName(
-        asked.select(*keys, BUCKET).distinct().withColumn("__t", F.lit(0.0))
-    )
-    slots = slots.groupBy(*keys, BUCKET).agg(F.sum("__t").alias("__t"))
-    near = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(-reach, -1)
+    reach = math.ceil(746 / width)  # exp(-746) is 0.0
+    number = F.floor(F.col(time) / F.lit(span)).cast("bigint")
+    grown = F.exp((F.col(time) - F.col(slot) * F.lit(span)) / F.lit(float(decay)))
+    past = history.withColumn(slot, number).select(*keys, slot, time, (weight * grown).alias("__w"))
+    asked = probes.withColumn(slot, number)
+    totals = past.groupBy(*keys, slot).agg(F.sum("__w").alias("__t"))
+    # Every slot that holds history or probes gets the decayed total of the slots before it.
+    slots = totals.unionByName(asked.select(*keys, slot).distinct().withColumn("__t", F.lit(0.0)))
+    slots = slots.groupBy(*keys, slot).agg(F.sum("__t").alias("__t"))
+    near = Window.partitionBy(*keys).orderBy(slot).rangeBetween(-reach, -1)
     slots = slots.withColumn(
-        "__near", F.collect_list(F.struct(F.col(BUCKET).alias("b"), F.col("__t").alias("t"))).over(near)
+        "__near", F.collect_list(F.struct(F.col(slot).alias("b"), F.col("__t").alias("t"))).over(near)
     ).select(
         *keys,
-        BUCKET,
+        slot,
         F.aggregate(
             "__near",
             F.lit(0.0),
-            lambda acc, x: acc + x["t"] * F.exp((x["b"] - F.col(BUCKET)) * F.lit(float(width))),
+            lambda acc, x: acc + x["t"] * F.exp((x["b"] - F.col(slot)) * F.lit(float(width))),
         ).alias("__carry"),
     )
-    probe_type = row_type(asked)
-    both = past.withColumn("__probe", F.lit(None).cast(probe_type)).unionByName(
+    both = past.withColumn("__probe", F.lit(None).cast(row_type(probes))).unionByName(
         asked.select(
             *keys,
-            BUCKET,
+            slot,
             time,
             F.lit(None).cast("double").alias("__w"),
             F.struct(*[F.col(c) for c in probes.columns]).alias("__probe"),
         )
     )
-    strictly = Window.partitionBy(*keys, BUCKET).orderBy(time).rangeBetween(
-        Window.unboundedPreceding, -1
-    )
-    found = (
-        both.withColumn("__w", F.coalesce(F.sum("__w").over(strictly), F.lit(0.0)))
-        .filter(F.col("__probe").isNotNull())
-        .join(slots, [*keys, BUCKET], "left")
-    )
-    shrink = F.exp(-(F.col(time) - F.col(BUCKET) * F.lit(span)) / F.lit(float(decay)))
-    total = (F.col("__w") + F.coalesce(F.col("__carry"), F.lit(0.0))) * shrink
+    layout = plan_layout(both, [*keys, slot], time, per_task)
+    summed = strict_prefix(both, [*keys, slot], time, {"__sum": F.col("__w")}, layout=layout)
+    found = summed.filter(F.col("__probe").isNotNull()).join(slots, [*keys, slot], "left")
+    shrink = F.exp(-(F.col(time) - F.col(slot) * F.lit(span)) / F.lit(float(decay)))
+    total = (F.col("__sum") + F.coalesce(F.col("__carry"), F.lit(0.0))) * shrink
     return found.select("__probe.*", total.alias(name))

@@ -49,9 +49,10 @@ def test_bucketed_prefix_both_directions(rows):
                 assert r["s"] == pytest.approx(sum(before))
 
 
-def test_decayed_prefix(rows):
+@pytest.mark.parametrize("per_task", [None, 5])
+def test_decayed_prefix(rows, per_task):
     probes = rows.select("key", "at", "seq")
-    got = px.decayed_prefix(rows, probes, ["key"], "at", F.col("v"), 5.0, "d")
+    got = px.decayed_prefix(rows, probes, ["key"], "at", F.col("v"), 5.0, "d", per_task=per_task)
     for r in got.collect():
         want = sum(x[3] * math.exp(-(r["at"] - x[1]) / 5.0) for x in past(r["key"], r["at"]))
         assert r["d"] == pytest.approx(want, abs=1e-9)
