@@ -86,6 +86,11 @@ def clean_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def training_sample(marks: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` of the labelled keys, those with the smallest hashes: the same ones in every run."""
+    return marks.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def fit_evidence(labelled: DataFrame, text: str = "text", least_gain: float = 30.0, most: int = 100_000) -> dict:
     """Naive Bayes weights {feature: (quality, toxic)} from all rows with ``__quality`` and ``__toxic``.
 
@@ -186,19 +191,23 @@ def classify(
     text: str = "text",
     key: str = "doc_id",
     cutoff: float = 0.5,
+    train_rows: int = 200_000,
     **fit,
 ) -> DataFrame:
     """One row per document: key, sites, both evidences, ``p_quality``, ``p_toxic`` and ``kept``.
 
     ``sites`` name the host and, inside it, path levels, from coarse to fine; a null site is a site of its
-    own. Kept are documents with p_quality of at least ``cutoff`` and p_toxic below it. A null or empty text
+    own. Kept are documents with p_quality of at least ``cutoff`` and p_toxic below it. The evidence is fitted on
+    at most ``train_rows`` labelled documents, whose keys are broadcast, so texts are not shuffled; all labels
+    and all documents count for the sites. A null or empty text
     has only style evidence. Without any labels both evidences are 0 and both rates 0.5. Repeated rows return
     a row each; a repeated key with labels takes them for each row; an empty table returns no rows.
     """
     spark = docs.sparkSession
     marks = clean_labels(labels, key)
     plain = without(docs, *OUTPUTS, "__quality", "__toxic").select(key, *sites, text)
-    model = fit_evidence(plain.join(marks, key), text, **fit)
+    sample = stash(training_sample(marks, key, train_rows), "training-keys")
+    model = fit_evidence(plain.join(F.broadcast(sample), key), text, **fit)  # at most train_rows narrow rows
     scored = plain.withColumn("__e", evidence(F.col(text), model, spark)).select(
         key, *sites, F.col("__e")[0].alias("quality_evidence"), F.col("__e")[1].alias("toxic_evidence")
     )
