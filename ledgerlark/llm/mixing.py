@@ -95,7 +95,7 @@ def plan_mix(
     sized = stash(narrow.withColumn("__draw", draw).drop("__rate"), "mix-rows")
     # Positive doubles sort like their exponents and mantissas; the leading bits name a range of draws. How many
     # bits depends on the rows, so that a range of even the largest source has a fraction of rows_per_task.
-    cells = max(4, 1 << max(0, math.ceil(math.log2(max(1, 8 * sized.count() / rows_per_task)))))
+    cells = max(32, 1 << max(0, math.ceil(math.log2(max(1, 8 * sized.count() / rows_per_task)))))
     octave = F.floor(F.log2("__draw"))
     cell = octave * cells + F.floor((F.col("__draw") / F.pow(F.lit(2.0), octave) - 1) * cells)
     sized = sized.withColumn("__cell", cell.cast("long"))
