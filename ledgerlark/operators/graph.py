@@ -16,7 +16,7 @@ from ledgerlark.plans.prefix import (
     strict_prefix,
     with_scalars,
 )
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import written
 
 # Page limits of the explorer.
 MAX_NODES = 500
@@ -302,7 +302,7 @@ def _jump(hooks: DataFrame) -> DataFrame:
 def follow_hooks(hooks: DataFrame) -> DataFrame:
     """(ctx, node, root) after every chain of pointers was followed to its end; ends point to themselves."""
     while True:
-        jumped = cut_lineage(_jump(_jump(_jump(hooks))))
+        jumped = written(_jump(_jump(_jump(hooks))))
         hooks = jumped.select("ctx", "node", "root")
         if jumped.filter("moved").isEmpty():
             return hooks
@@ -316,7 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
     so chains end; at least half of the nodes that still have edges disappear, so the rounds are
     logarithmic. Hubs only meet map-side combined minima and equi-joins.
     """
-    rest = cut_lineage(edges.filter("a <> b").distinct())
+    rest = written(edges.filter("a <> b").distinct())
     labels = rest.select("ctx", F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     while not rest.isEmpty():
         hooks = (
@@ -325,12 +325,12 @@ def components(edges: DataFrame) -> DataFrame:
             .agg(F.min("y").alias("m"))
             .select("ctx", F.col("x").alias("node"), F.least("x", "m").alias("root"))
         )
-        hooks = follow_hooks(cut_lineage(hooks))
+        hooks = follow_hooks(written(hooks))
         fresh = hooks.join(labels.select("ctx", "node"), ["ctx", "node"], "left_anti")
-        labels = cut_lineage(_follow(labels, hooks).unionByName(fresh))
+        labels = written(_follow(labels, hooks).unionByName(fresh))
         at_a = hooks.select("ctx", F.col("node").alias("a"), F.col("root").alias("__a"))
         at_b = hooks.select("ctx", F.col("node").alias("b"), F.col("root").alias("__b"))
-        rest = cut_lineage(
+        rest = written(
             rest.join(at_a, ["ctx", "a"])
             .join(at_b, ["ctx", "b"])
             .select("ctx", F.col("__a").alias("a"), F.col("__b").alias("b"))

@@ -22,7 +22,7 @@ from ledgerlark.operators.graph import (
 )
 from ledgerlark.plans.ordering import previous_value
 from ledgerlark.plans.prefix import bucketed_prefix, measure_cuts, plan_layout, strict_prefix
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, written
 
 # Fixed values of the PageRank snapshots and of the local walks.
 DAMPING = 0.85
@@ -218,17 +218,17 @@ def contraction_tree(contacts: DataFrame) -> DataFrame:
     at least halve, so there are logarithmic many rounds and rows per node; hubs only meet map-side combined
     minima and equi-joins.
     """
-    edges = cut_lineage(
+    edges = written(
         contacts.select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.struct("us", "lo", "hi").alias("w"))
     )
     tops = contact_ends(contacts).select("node", F.col("node").alias("top")).distinct()
-    tops = tops.withColumn("until", F.lit(None).cast("bigint"))
+    tops = written(tops.withColumn("until", F.lit(None).cast("bigint")))
     levels, level = [], 0
     while not edges.isEmpty():
         level += 1
         both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(edges.select("b", "a", "w"))
         best = both.groupBy("x").agg(F.min(F.struct("w", "y")).alias("m"))
-        best = cut_lineage(best.select("x", F.col("m.y").alias("y"), F.col("m.w.us").alias("at")))
+        best = written(best.select("x", F.col("m.y").alias("y"), F.col("m.w.us").alias("at")))
         # Two groups that take each other's contact end the chains; the smaller of them is the root.
         back = best.select(F.col("x").alias("y"), F.col("y").alias("__back"))
         own = (F.col("__back") == F.col("x")) & (F.col("x") < F.col("y"))
@@ -237,16 +237,14 @@ def contraction_tree(contacts: DataFrame) -> DataFrame:
         )
         hooks = follow_hooks(hooks).select(F.col("node").alias("x"), F.col("root").alias("__root"))
         steps = best.select("x", "at").join(hooks, "x")
-        tops = cut_lineage(
-            tops.join(steps, F.col("top") == F.col("x")).select(
-                "node", F.col("__root").alias("top"), F.greatest("until", "at").alias("until")
-            )
+        tops = tops.join(steps, F.col("top") == F.col("x")).select(
+            "node", F.col("__root").alias("top"), F.greatest("until", "at").alias("until")
         )
         levels.append(tops.withColumn("level", F.lit(level)))
         at_a = hooks.select(F.col("x").alias("a"), F.col("__root").alias("__a"))
         at_b = hooks.select(F.col("x").alias("b"), F.col("__root").alias("__b"))
         moved = edges.join(at_a, "a").join(at_b, "b").filter("__a <> __b")
-        edges = cut_lineage(
+        edges = written(
             moved.groupBy(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).agg(F.min("w").alias("w"))
         )
     tree = tops.withColumn("level", F.lit(0)).filter("level > 0") if not levels else levels[0]
@@ -263,7 +261,7 @@ def temporal_components(contacts: DataFrame, probes: DataFrame) -> DataFrame:
     their number is a running count over the times at which nodes reach it. Probes of nodes not seen yet come
     back with size 0 and no root.
     """
-    tree = cut_lineage(contraction_tree(contacts))
+    tree = written(contraction_tree(contacts))
     asked = probes.select("node", "us").distinct()
     reached = (
         asked.join(tree, "node")
@@ -391,10 +389,10 @@ def bounded_ppr(
     each, so tasks are bounded however large a hub is; nothing is broadcast. The rounds end when
     no walk asks, which is after ``budget`` rounds at most and after about the depth of the walks usually.
     """
-    chunks = cut_lineage(contact_chunks(contacts, budget))
+    chunks = written(contact_chunks(contacts, budget))
     heads = chunks.filter("chunk = 0").select("node", F.col("others").alias("head"))
     base = ["walk", "start", "target", "us"]
-    asking = cut_lineage(walks.select(*base, F.array("start").alias("asks")))
+    asking = written(walks.select(*base, F.array("start").alias("asks")))
     known, settled = None, None
 
     def run(batches):
@@ -451,8 +449,8 @@ def bounded_ppr(
         )
         if known is not None:
             found = found.unionByName(known.join(asking.select("walk"), "walk", "left_semi").select(columns))
-        known = cut_lineage(found)
-        result = cut_lineage(known.repartition("walk").sortWithinPartitions("walk").mapInPandas(run, kind))
+        known = written(found)
+        result = written(known.repartition("walk").sortWithinPartitions("walk").mapInPandas(run, kind))
         done = result.filter(F.size("asks") == 0)
         settled = done if settled is None else settled.unionByName(done)
         asking = result.filter(F.size("asks") > 0).select(*base, "asks")

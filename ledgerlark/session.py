@@ -76,3 +76,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write the frame as a table of the shared folder and continue from it.
+
+    For loops: unlike a checkpoint, the table carries no constraints of the plan behind it into the next round, and
+    its size is known to the planner.
+    """
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
