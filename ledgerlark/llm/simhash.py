@@ -157,7 +157,11 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents, one of each near-duplicate component: that with the smallest key (null last)."""
-    found = near_duplicates(docs, text, key, **options)
+    return first_of_each(docs, near_duplicates(docs, text, key, **options), text, key)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, one of each ``root`` of (key, ``text_digest``, ``root``): that with the smallest key (null last)."""
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("text_digest").alias("d")))
     keepers = found.groupBy("root").agg(first.alias("f")).select(
         F.col("f.k").alias("__k"), F.col("f.d").alias("__d")
