@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-The base rules are fixed. Beyond them, each metric has a cutoff per stratum that is selected on labelled
-documents: among candidates from lenient to strict, the strictest up to which every one rejects good
-documents at a rate proved to be below the allowed one. The proof is the exact binomial test of the
-good documents in the stratum; testing in a fixed order needs no correction along the candidates, and
-the level is divided over strata and metrics (Bonferroni). A stratum with too few labels gets no cutoff.
+The base rules are fixed. Beyond them, cutoffs per stratum are selected on labelled documents along one path
+that tightens all metrics: the strictest step up to which every step rejects good documents at a rate
+proved to be below the allowed one. Labelled junk orders the path, so that what catches junk is tightened first;
+the proof is the exact binomial test of the good documents in the stratum, which had no part in the order.
+Testing in a fixed order needs no correction along the path, and the level is divided over the
+strata (a stratum that passes its whole path leaves its share to the others). Strata with too few labels take the
+cutoffs that are proved, as one more test, on all labelled good documents, as far as their own ones bear them out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -115,47 +119,85 @@ def strictest(counts: Sequence[int], n: int, risk: float, level: float) -> int:
     return len(counts)
 
 
+def tightening_path(junk: dict[str, Sequence[int]] | None = None) -> list[dict[str, float]]:
+    """Cutoffs by metric, step by step; every step rejects what the one before does.
+
+    ``junk``: junk documents over each candidate. Steps go where most junk a candidate is caught and end where no
+    more is. Without any, all metrics are tightened evenly.
+    """
+    if not junk or not any(c[-1] for c in junk.values()):
+        n = max(map(len, CANDIDATES.values()))
+        return [{m: c[i * len(c) // n - 1] for m, c in CANDIDATES.items() if i * len(c) >= n} for i in range(1, n + 1)]
+    at, path = dict.fromkeys(CANDIDATES, -1), []
+    while True:
+        caught = {m: junk[m][i] if i >= 0 else 0 for m, i in at.items()}
+        gains = [((junk[m][j] - caught[m]) / (j - at[m]), m, j) for m in CANDIDATES for j in range(at[m] + 1, len(junk[m]))]
+        gain, m, to = max(gains, key=lambda g: g[0], default=(0, "", 0))
+        if gain <= 0:
+            return path
+        for at[m] in range(at[m] + 1, to + 1):
+            path.append({x: CANDIDATES[x][i] for x, i in at.items() if i >= 0})
+
+
+def labels_needed(risk: float, level: float, strata: int) -> int:
+    """Good documents with which a stratum gets a cutoff if none of them is rejected."""
+    return math.ceil(math.log(level / max(1, strata)) / math.log1p(-risk))
+
+
 def select_cutoffs(
-    holdout: DataFrame, strata: Sequence[str], risk: float = 0.01, level: float = 0.05
+    holdout: DataFrame, strata: Sequence[str], risk: float = 0.01, level: float = 0.05,
+    path: Sequence[dict[str, float]] | None = None,
 ) -> DataFrame:
     """(strata..., one nullable cutoff per metric) from measured good documents that pass the base rules.
 
-    With probability 1 - ``level``, no stratum loses more than ``risk`` of its good documents: each metric
-    may reject risk / metrics, tested at level / (metrics x strata).
+    With probability 1 - ``level``, no stratum of ``labels_needed`` loses more than ``risk`` of its good documents, and
+    the pooled cutoffs of the others reject no more than ``risk`` of the good documents of all strata. Strata without
+    any good label are not listed.
     """
-    sums = [
-        F.sum((metric(name) > c).cast("long")).alias(f"{name}__{i}")
-        for name, cuts in CANDIDATES.items()
-        for i, c in enumerate(cuts)
-    ]
+    path = tightening_path() if path is None else list(path)
+    over = [reduce(or_, [metric(m) > c for m, c in step.items()]) for step in path]
+    sums = [F.sum(x.cast("long")).alias(f"__k{i}") for i, x in enumerate(over)]
     counted = stash(holdout.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"), *sums), "holdout-counts")
-    n_strata = max(1, counted.count())
-    m = len(CANDIDATES)
+    names = ["__n", *[f"__k{i}" for i in range(len(path))]]
+    n_all, *k_all = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in names]).first()
+    family = max(1, counted.count())
+    needed = labels_needed(risk, level, family)
     fields = [f for f in counted.schema.fields if f.name in strata]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", {x} double" for x in CANDIDATES)
-
-    def choose(batches):
-        for batch in batches:
-            out = batch[list(strata)].copy()
-            for name, cuts in CANDIDATES.items():
-                picked = []
-                for _, row in batch.iterrows():
-                    got = strictest([int(row[f"{name}__{i}"]) for i in range(len(cuts))], int(row["__n"]), risk / m, level / m / n_strata)
-                    picked.append(cuts[got - 1] if got else None)
-                out[name] = pd.Series(picked, index=out.index, dtype="float64")
-            yield out
-
-    return stash(counted.mapInPandas(choose, schema), "cutoffs")
-
-
-def good_labels(labels: DataFrame, key: str) -> DataFrame:
-    """Keys labelled good: quality 1 in every row that labels them."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", {x} double" for x in CANDIDATES) + ", __whole boolean"
+    whole = 0
+    while True:
+        share = level / (family - whole)
+        pooled = strictest(k_all, n_all, risk, share)
+
+        def choose(batches, share=share, pooled=pooled):
+            for batch in batches:
+                picked, own = [], batch["__n"] >= needed
+                for n, *ks in batch[names].itertuples(index=False, name=None):
+                    if n >= needed:
+                        picked.append(strictest(ks, n, risk, share))
+                    else:
+                        picked.append(next((i for i, k in enumerate(ks[:pooled]) if k > n * risk), pooled))
+                out = batch[list(strata)].copy()
+                for m in CANDIDATES:
+                    out[m] = pd.Series([path[i - 1].get(m) if i else None for i in picked], index=out.index, dtype="float64")
+                yield out.assign(__whole=own & (pd.Series(picked, index=out.index) == len(path)))
+
+        cutoffs = stash(counted.mapInPandas(choose, schema), "cutoffs")
+        # Only a stratum that errs in no step can have passed its whole path: its share is free (Holm).
+        passed = min(cutoffs.filter("__whole").count(), family - 1)
+        if passed <= whole:
+            return cutoffs.drop("__whole")
+        whole = passed
+
+
+def labelled(labels: DataFrame, key: str, good: bool = True) -> DataFrame:
+    """Keys labelled good, or junk: quality 1, or below, in every row that labels them."""
     return (
         labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col(key).alias("__good"))
-        .agg(F.min("quality").alias("__q"))
-        .filter("__q >= 1")
-        .select("__good")
+        .groupBy(F.col(key).alias("__key"))
+        .agg(F.min("quality").alias("__q"), F.max("quality").alias("__r"))
+        .filter("__q >= 1" if good else "__r < 1")
+        .select("__key")
     )
 
 
@@ -176,8 +218,12 @@ def fit_cutoffs(
     rows: DataFrame, labels: DataFrame, strata: Sequence[str] = ("lang",), key: str = "doc_id", risk: float = 0.01, level: float = 0.05
 ) -> DataFrame:
     """Cutoffs from narrow measured rows and all labels; see ``select_cutoffs``."""
-    holdout = rows.join(good_labels(labels, key), F.col(key) == F.col("__good"), "left_semi")
-    return select_cutoffs(holdout.filter(~F.col("base_failed")), strata, risk, level)
+    passing = rows.filter(~F.col("base_failed"))
+    of = lambda good: passing.join(labelled(labels, key, good), F.col(key) == F.col("__key"), "left_semi")
+    over = [F.coalesce(F.sum((metric(m) > c).cast("long")), F.lit(0)) for m, cuts in CANDIDATES.items() for c in cuts]
+    counts = iter(of(False).agg(*[x.alias(f"__{i}") for i, x in enumerate(over)]).first())
+    path = tightening_path({m: [next(counts) for _ in cuts] for m, cuts in CANDIDATES.items()})
+    return select_cutoffs(of(True), strata, risk, level, path)
 
 
 def verdicts(

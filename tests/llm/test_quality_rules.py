@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from ledgerlark.llm import quality_rules
 from ledgerlark.llm.common import table
 from ledgerlark.llm.quality_rules import apply_rules, binomial_tail, measure_text, select_cutoffs, measured, strictest
 
@@ -84,3 +85,35 @@ def test_odd_inputs(spark):
     assert [(r.n_words, r.kept) for r in apply_rules(docs, marks).collect()] == [(0, False)] * 3
     assert apply_rules(docs.limit(0), marks).collect() == []
     assert apply_rules(docs, marks.limit(0)).count() == 3
+
+
+def test_path_is_nested_and_follows_junk():
+    cuts = quality_rules.CANDIDATES
+    for junk in (None, {m: [0] * len(c) for m, c in cuts.items()}, {m: list(range(len(c))) for m, c in cuts.items()}):
+        path = quality_rules.tightening_path(junk)
+        assert path[-1] == {m: c[-1] for m, c in cuts.items()}
+        assert all(b.get(m, math.inf) <= c for a, b in zip(path, path[1:]) for m, c in a.items())
+    junk = {m: [0] * len(c) for m, c in cuts.items()}
+    junk["symbols_per_word"] = [0, 0, 50] + [60] * 11
+    assert quality_rules.tightening_path(junk) == [{"symbols_per_word": x} for x in (4.0, 3.0, 2.0, 1.5)]
+
+
+def test_a_few_hundred_labels_prove_cutoffs_and_sparse_strata_share_them(spark):
+    rows, labels = [], []
+    for i in range(2000):  # good: 900 aa, 600 bb, 60 cc, 60 dd (odd: many symbols are good there), none of ee
+        lang, good = ("aa", 1) if i < 900 else ("bb", 1) if i < 1500 else ("cc", 1) if i < 1560 else ("dd", 1) if i < 1620 else (["aa", "bb", "cc", "dd", "ee"][i % 5], 0)
+        words = [f"word{i}x{j}" for j in range(12)]
+        if not good or lang == "dd":
+            words = [w + "##" for w in words]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in apply_rules(docs, marks, risk=0.01).collect()}
+    assert all(kept[i] for i in range(1620))
+    # The pool has 60 of 1,620 good documents with many symbols: no cutoff there. aa and bb have their own.
+    assert {rows[i][2] for i in range(1620, 2000) if kept[i]} == {"cc", "dd", "ee"}
+    calm = docs.filter("lang <> 'dd'")
+    kept = {r.doc_id: r.kept for r in apply_rules(calm, marks, risk=0.01).collect()}
+    assert {rows[i][2] for i in kept if i >= 1620 and kept[i]} == {"ee"}
+    assert quality_rules.labels_needed(0.01, 0.05, 4) == 437
