@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.llm import (
-    chat_format, decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, token_count, url_filter,
-    warc_zip,
+    centroids, chat_format, decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, spelling, style_tree,
+    token_count, url_filter, warc_zip,
 )
 from ledgerlark.llm.common import table
 
@@ -96,6 +96,21 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents (with planted deletions), their near words, forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199)
+
+
+def op12_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds."""
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return style_tree.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 OP4_SQL = r"""
 with words as (
   select doc_id, text, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -243,6 +258,9 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_warc_zip": op10_warc_zip,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_heap_centroids": op12_heap_centroids,
+    "op13_site_style_tree": op13_site_style_tree,
 }
 ORACLES = {
     "op4_minhash_containment": OP4_SQL,
