@@ -250,7 +250,7 @@ from rows join firsts using (html)"""
 #: One round of assignments and one of new centroids; floor division by the remainder that is never negative.
 _ASSIGNED = """, a{r} as materialized (
   select vec_id, v, min_by(c, (d, c)) as c, min(d) as d from (
-    select vec_id, v, c, list_sum(list_transform(list_zip(v, w), p -> (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+    select vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
     from kept, c{r}) group by vec_id, v)"""
 _MOVED = """, s{r} as (
   select c, i, sum(v[i])::hugeint as s, count(*) as n from a{r}, range(1, 65) t(i) group by c, i
@@ -260,8 +260,8 @@ _MOVED = """, s{r} as (
   select c{r}.c, coalesce(m{r}.w, c{r}.w) as w from c{r} left join m{r} on m{r}.c = c{r}.c)"""
 OP12_SQL = (
     """with kept as materialized (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)::hugeint) as v from embeddings
-  where len(embedding) = 64 and len(list_filter(embedding, x -> x is not null and isfinite(x))) = 64
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::hugeint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
 ), c0 as materialized (
   select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as w from kept order by 1 limit 16)"""
     + "".join(_ASSIGNED.format(r=r) + _MOVED.format(r=r, q=r + 1) for r in range(3))
@@ -279,9 +279,9 @@ with articles as (
     '<article>(.*?)(</article>|\z)', 1, 's') as a
   from pages
 ), texts as (
-  select page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(a, '</?(h1|p)>'), x -> trim(regexp_replace(
+  select page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(a, '</?(h1|p)>'), lambda x: trim(regexp_replace(
     replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' '),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), x -> x <> ''), chr(10) || chr(10)) as text
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) as text
   from articles
 )
 select page_id, url, text, length(text)::bigint as n_chars from texts"""
