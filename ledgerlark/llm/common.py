@@ -7,6 +7,7 @@ and are dropped; other columns pass through.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,38 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stashed = path
+    return written
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of stashed frames that nothing will read again; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "stashed", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A map of used keys has a fixed size of 2^26 bits, however many keys there are.
+MAP_BITS = 26
+
+
+def key_map(keys: DataFrame, key: str) -> np.ndarray:
+    """Bit map over the top bits of 64-bit keys, as words of 64 bits: a filter that never misses a key."""
+    top = keys.select(F.shiftrightunsigned(key, 64 - MAP_BITS).alias("top"))
+    bits = top.selectExpr("int(shiftright(top, 6)) as at", "shiftleft(1L, int(top & 63)) as bit")
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Mask of the 64-bit keys that the map may hold."""
+    top = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    return (words[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) == 1
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,27 +1,34 @@
 """Near duplicates by the exact Jaccard similarity of word shingles.
 
-Two sets with similarity t or more share a shingle among the |s| - ceil(t |s|) + 1 first ones of each, in any
-order that holds for all sets (prefix filter), so candidates miss no pair. Frequent shingles come last
-in the order; their frequencies are estimated on a sample, which bears on the speed only. Keys are not
-capped: in each round some members of a key are compared with all its members outside their component, four
-times as many as in the round before, until a key holds one component or all its pairs were compared. A
-group of near copies collapses in the first rounds, so no pair list of it is made.
+First links come from ``simhash``: fingerprints of the shingle sets at a small Hamming distance, found by multi-index
+hashing. They connect most copies but not all that are similar, so the rest comes from a prefix filter:
+two sets with similarity t or more share a shingle among the |s| - ceil(t |s|) + 1 first ones of each, in any
+order that holds for all sets, so candidates miss no pair. Frequent shingles come last in the order; their
+frequencies are estimated on a sample, which bears on the speed only. Keys are not capped: in each round some
+members of a key are compared with all its members outside their component, four times as many as in the round
+before, until a key holds one component or all its pairs were compared. A group of near copies collapses in the
+first rounds, so no pair list of it is made. Every link is verified on the texts; bit maps of the sets reject most
+other pairs before, by a bound that rejects no similar pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import small, stash
-from ledgerlark.llm.simhash import _LOWER, connected
+from ledgerlark.llm.common import discard, in_map, key_map, small, stash
+from ledgerlark.llm.simhash import _LOWER, connected, hamming_links
 
 #: Documents on which shingle frequencies are estimated, and how many of them make a shingle frequent.
 SAMPLE, FREQUENT = 20_000, 4
 _MOST_FREQUENT = 500_000
+#: Members of a key that one task compares with the key's leaders.
+_DEAL = 2_000
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -49,23 +56,57 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefixes(text: Column, width: int, percent: int, late: np.ndarray) -> Column:
-    """(sid, n, head): 64-bit id of the shingle set, its size, and its first shingles; those in the sorted ``late``
-    come last, the rest in the order of the hashes."""
+def held_in(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mask of the members of ``s`` in the sorted table."""
+    if not len(table):
+        return np.zeros(len(s), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
+
+
+def majority(s: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: a bit is 1 if set in over half of the hashes; 0 without any."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(s), 100_000):
+        ones += np.unpackbits(s[at : at + 100_000].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(s)).tobytes(), "big", signed=True)
+
+
+def bit_map(s: np.ndarray) -> bytes:
+    """The set as bits at the hashes' low bits; the number of bits is a power of two, four times the set or more."""
+    size = max(512, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 512
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s & (size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """False only if two sets of these bit maps and sizes can't reach the similarity."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):  # bit k of a map of half the size is bit k or k + half of the map
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    common = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * common >= percent * (na + nb - common)
+
 
-    @F.arrow_udf("struct<sid:bigint,n:bigint,head:array<bigint>>")
+def sketches(text: Column, width: int, percent: int, late) -> Column:
+    """(sid, n, fp, head, bits): 64-bit id of the shingle set, its size, fingerprint, first shingles and bit map; shingles
+    in the sorted broadcast ``late`` come last, the rest in the order of the hashes."""
+
+    @F.arrow_udf("struct<sid:bigint,n:bigint,fp:bigint,head:array<bigint>,bits:binary>")
     def of(texts: pa.Array) -> pa.Array:
-        sids, sizes, heads = [], [], []
+        sids, sizes, prints, heads, maps = [], [], [], [], []
         for t in texts.cast(pa.binary()):
             s = shingle_set(t.as_py(), width)
-            last = np.isin(s, late) if len(late) else np.zeros(len(s), dtype=bool)
+            last = held_in(s, late.value)
             sids.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), 1), "big", signed=True))
             sizes.append(len(s))
+            prints.append(majority(s))
             heads.append(np.r_[s[~last], s[last]][: prefix_length(len(s), percent)])
-        return pa.StructArray.from_arrays(
-            [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
-            names=["sid", "n", "head"],
-        )
+            maps.append(bit_map(s))
+        columns = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+        return pa.StructArray.from_arrays(columns, names=["sid", "n", "fp", "head", "bits"])
 
     return of(text)
 
@@ -77,58 +118,134 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     sample = docs.select(F.col(text).alias("__t")).filter(F.pmod(F.xxhash64("__t"), F.lit(every)) == 0).distinct()
     counts = sample.select(F.explode(shingle_sets(F.col("__t"), width)).alias("h")).groupBy("h").count()
     top = counts.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(_MOST_FREQUENT)
-    return np.sort(np.array([r.h for r in top.select("h").collect()], dtype=np.int64))
-
-
-def similar_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that leave two sets connected exactly if a chain of similarities of at least ``percent`` joins them.
-
-    ``entries``: (h, sid, n), the keys of every set that shares one; ``sets``: (sid, grams) of these.
+    return np.sort(top.select("h").toArrow()["h"].to_numpy().astype(np.int64))
+
+
+class Verifier:
+    """Keeps those pairs of sets (a, b) whose similarity is at least ``percent``: sizes, then bit maps, then whole texts."""
+
+    def __init__(self, docs: DataFrame, text: str, classes: DataFrame, width: int, percent: int) -> None:
+        self.texts = docs.select(F.col(text).alias("t")).withColumn("d", F.coalesce(F.md5("t"), F.lit("")))
+        self.classes, self.width, self.percent = classes, width, percent
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        percent, width = self.percent, self.width
+
+        @F.arrow_udf("boolean")
+        def possible(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+            rows = zip(a.to_pylist(), b.to_pylist(), na.to_pylist(), nb.to_pylist())
+            return pa.array([may_be_similar(*r, percent) for r in rows], pa.bool_())
+
+        @F.arrow_udf("boolean")
+        def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+            out, last, left = [], None, None
+            for x, y in zip(a.cast(pa.binary()), b.cast(pa.binary())):
+                if left is None or x != last:
+                    last, left = x, shingle_set(x.as_py(), width)
+                right = shingle_set(y.as_py(), width)
+                common = int(held_in(left, right).sum())
+                out.append(100 * common >= percent * (len(left) + len(right) - common))
+            return pa.array(out, pa.bool_())
+
+        side = lambda c: self.classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("d").alias(f"d{c}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        open_ = stash(sized.filter(possible("bitsa", "bitsb", "na", "nb")).select("a", "b", "da", "db"), "possible-pairs")
+        wanted = stash(open_.select(F.explode(F.array("da", "db")).alias("d")).distinct(), "wanted-texts")
+        texts = stash(self.texts.join(small(wanted, wanted.count()), "d").dropDuplicates(["d"]), "texts")
+        both = open_.join(texts.withColumnsRenamed({"d": "da", "t": "ta"}), "da").join(texts.withColumnsRenamed({"d": "db", "t": "tb"}), "db")
+        found = stash(both.filter(alike("ta", "tb")).select("a", "b"), "similar")
+        discard(open_, wanted, texts)
+        return found
+
+
+def first_links(classes: DataFrame, verifier: Verifier, radius: int = 2) -> DataFrame:
+    """Verified links among sets whose fingerprints lie within ``radius`` bits, by multi-index hashing."""
+    prints = stash(classes.groupBy("fp").agg(F.min("sid").alias("first")), "set-prints")
+    near = hamming_links(prints.select("fp"), radius)
+    ends = near.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b")
+    same = classes.select("fp", "sid").join(prints, "fp").filter("sid <> first").select("first", "sid")
+    pairs = stash(ends.select("fa", "fb").union(same).toDF("a", "b"), "print-pairs")
+    found = verifier.similar(pairs)
+    discard(prints, pairs)
+    return found
+
+
+def similar_links(entries: DataFrame, links: DataFrame, verifier: Verifier) -> DataFrame:
+    """Edges (root, sid) that leave two sets connected exactly if a chain of similar pairs joins them.
+
+    ``entries``: (h, sid, n), the keys of every set that shares one; ``links``: what is known already.
     """
-    live, links, leaders = entries.withColumn("root", F.col("sid")), None, 1
+    percent, leaders, stars = verifier.percent, 1, None
     while True:
+        if not links.isEmpty():
+            known = links if stars is None else links.union(stars)
+            old, stars = stars, stash(connected(known).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
+            discard(old)
+        discard(links)
+        rooted = entries if stars is None else entries.join(stars.select(F.col("b").alias("sid"), F.col("a").alias("root")), "sid", "left")
+        root = F.col("sid") if stars is None else F.coalesce("root", "sid")
+        live = stash(rooted.select("h", "sid", "n", root.alias("root")), "rooted-keys")
         keys = live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sid").alias("first"))
-        live = stash(live.join(keys.filter("lo <> hi"), "h").drop("lo", "hi"), "live-keys")
-        if live.isEmpty():
-            break
+        led = stash(live.join(keys.filter("lo <> hi"), "h").drop("lo", "hi"), "live-keys")
+        discard(entries, live)
+        if led.isEmpty():
+            discard(led)
+            return stars if stars is not None else entries.sparkSession.createDataFrame([], "a long, b long")
         # All members of a small key lead; else the first one and about 4^round more, much the same ones in all keys.
         draw = F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / 2.0**30 * F.col("m") < float(leaders - 1)
-        led = live.withColumn("leads", (F.col("sid") == F.col("first")) | (F.col("m") <= 8) | draw).drop("m", "first")
-        lead = led.filter("leads").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        led = led.withColumn("leads", (F.col("sid") == F.col("first")) | (F.col("m") <= 8) | draw)
+        # The members of a large key are dealt over several places, each of which gets all its leaders.
+        places = F.ceil(F.col("m") / _DEAL)
+        lead = led.filter("leads").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"))
+        dealt = led.withColumn("place", F.pmod(F.xxhash64("sid"), places))
         near = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("root") != F.col("ra"))
-        met = lead.join(led, "h").filter(near & (~F.col("leads") | (F.col("a") < F.col("sid"))))
+        met = lead.join(dealt, ["h", "place"]).filter(near & (~F.col("leads") | (F.col("a") < F.col("sid"))))
         pairs = stash(met.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), "pairs")
-        left = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga"))
-        right = sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
-        common = F.size(F.array_intersect("ga", "gb"))
-        both = F.size("ga") + F.size("gb") - common
-        found = stash(pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * both).select("a", "b"), "similar")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            links = stash(connected(links).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
-        roots = links.select(F.col("b").alias("sid"), F.col("a").alias("r"))
-        rest = led.filter(~F.col("leads")).select("h", "sid", "n")
-        live = rest.join(roots, "sid", "left").select("h", "sid", "n", F.coalesce("r", "sid").alias("root"))
+        links = verifier.similar(pairs)
+        entries = stash(led.filter(~F.col("leads")).select("h", "sid", "n"), "left-keys")
+        discard(pairs)
         leaders *= 4
-    return links if links is not None else entries.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(h, sid, n) of the keys in ``head`` that two sets or more have, and few others (a bit map decides)."""
+    heads = classes.select(F.explode("head").alias("h"))
+    shared = stash(heads.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h"), "shared-keys")
+    used = classes.sparkSession.sparkContext.broadcast(key_map(shared, "h"))
+    discard(shared)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(2), len(batch)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            mask = in_map(used.value, keys)
+            at = pa.array(row[mask])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[mask], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], names=["h", "sid", "n"])
+
+    return stash(classes.select("sid", "n", "head").mapInArrow(keep, "h bigint, sid bigint, n bigint"), "keys")
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, ``text_digest``, ``root``): the component of every document over links of similarity percent / 100 or more.
 
-    Words as in ``simhash``. Documents without words are copies of one another. Shingles and whole sets
-    are compared by 64-bit hashes.
+    Words as in ``simhash``. Documents without words (null, empty, blank) are copies of one another. Shingles and
+    whole sets are compared by 64-bit hashes. Repeated rows each return their row, in one component; keys may
+    be null; other columns don't matter; an empty table returns no rows. Very long texts are read whole.
     """
-    late = frequent_shingles(docs, text, width)
-    found = docs.select(F.col(key), F.md5(F.col(text)).alias("text_digest"), prefixes(F.col(text), width, percent, late).alias("p"))
-    prints = stash(found.select(key, "text_digest", "p.*"), "prefixes")
-    classes = stash(prints.groupBy("sid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.coalesce("text_digest", F.lit(""))).alias("d")), "classes")
-    entries = classes.select("sid", "n", F.explode("head").alias("h"))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
-    entries = stash(entries.join(shared, "h").select("h", "sid", "n"), "shared-keys")
-    wanted = stash(classes.select("sid", "d").join(entries.select("sid").distinct(), "sid", "left_semi"), "wanted")
-    texts = docs.select(F.col(text).alias("__t")).withColumn("d", F.md5("__t"))
-    chosen = texts.join(small(wanted, wanted.count()), "d").dropDuplicates(["d"])
-    sets = stash(chosen.select("sid", shingle_sets(F.col("__t"), width).alias("grams")), "shingle-sets")
-    roots = similar_links(entries, sets, percent).select(F.col("b").alias("sid"), F.col("a").alias("r"))
+    docs = docs.select(F.col(key), F.col(text))
+    late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
+    found = docs.select(F.col(key), F.md5(F.col(text)).alias("text_digest"), sketches(F.col(text), width, percent, late).alias("p"))
+    whole = stash(found.select(key, "text_digest", "p.*"), "sketches")
+    digest = F.min(F.coalesce("text_digest", F.lit(""))).alias("d")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "head", "bits")]  # the same for every row of a set
+    classes = stash(whole.groupBy("sid").agg(*firsts, digest), "classes")
+    prints = stash(whole.select(key, "text_digest", "sid"), "prints")
+    discard(whole)
+    entries = shared_keys(classes)
+    narrow = stash(classes.drop("head"), "set-maps")
+    discard(classes)
+    verifier = Verifier(docs, text, narrow, width, percent)
+    stars = similar_links(entries, first_links(narrow, verifier), verifier)
+    roots = stars.select(F.col("b").alias("sid"), F.col("a").alias("r"))
     return prints.join(roots, "sid", "left").select(key, "text_digest", F.coalesce("r", "sid").alias("root"))

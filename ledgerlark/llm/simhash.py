@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import stash
+from ledgerlark.llm.common import discard, stash
 
 BITS = 64
 _CHUNK = 200_000  # shingles hashed at once, so that very long texts need no more memory
@@ -122,7 +122,8 @@ def connected(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a is the larger end
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("m").alias("a"), F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"))
-        now = stash(small.filter("a <> b").distinct(), "links")
+        old, now = now, stash(small.filter("a <> b").distinct(), "links")
+        discard(old)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import stash
+from ledgerlark.llm.common import in_map, key_map, stash
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Distinct words that a task counts before it hands them on.
 _HELD = 300_000
 SYMBOLS = 8
-#: The map of used keys has a fixed size of 2^26 bits, whatever the vocabulary.
-MAP_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LONGEST = 1 << 12  # powers are kept so far; longer words compute theirs
@@ -103,16 +101,6 @@ def neighbourhood(word: str, symbols: int = SYMBOLS) -> tuple[int, np.ndarray]:
     return int(own.view(np.int64)), np.unique(np.concatenate([deleted, replaced.ravel(), inserted.ravel()])).view(np.int64)
 
 
-def _map_of(keys: DataFrame) -> np.ndarray:
-    """Bit map of the keys' top bits: words of 64 bits, a fixed number of them at most."""
-    top = keys.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("top"))
-    bits = top.selectExpr("int(shiftright(top, 6)) as at", "shiftleft(1L, int(top & 63)) as bit")
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
-    rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n): all pairs of words that differ by one inserted, deleted or replaced code point, both ways.
 
@@ -126,7 +114,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(0), batch.column(1)], names=["key", "word", "n"])
 
     vocabulary = stash(words.select("word", "n").mapInArrow(keys, "key bigint, word string, n bigint"), "reduced-words")
-    used = words.sparkSession.sparkContext.broadcast(_map_of(vocabulary))
+    used = words.sparkSession.sparkContext.broadcast(key_map(vocabulary, "key"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = used.value
@@ -134,8 +122,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
             counts, lists = [], []
             for w in batch.column(0).to_pylist():
                 near = neighbourhood(w, symbols)[1]
-                top = near.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-                near = near[(bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) == 1]
+                near = near[in_map(bits, near)]
                 counts.append(len(near))
                 lists.append(near)
             at = np.repeat(np.arange(len(counts)), counts)
