@@ -7,6 +7,9 @@ and are dropped; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows an Arrow batch for jobs inside: whole texts in Python workers need bounded memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files of stashed frames that nothing will read again; other frames are left alone."""
     for df in frames:

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import discard, in_map, key_map, small, stash
+from ledgerlark.llm.common import arrow_rows, discard, in_map, key_map, small, stash
 from ledgerlark.llm.simhash import _LOWER, connected, hamming_links
 
 #: Documents on which shingle frequencies are estimated, and how many of them make a shingle frequent.
 SAMPLE, FREQUENT = 20_000, 4
 _MOST_FREQUENT = 500_000
+#: Whole texts that a Python worker gets at once.
+TEXTS = 1_000
 #: Members of a key that one task compares with the key's leaders.
 _DEAL = 2_000
 
@@ -233,19 +235,20 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     whole sets are compared by 64-bit hashes. Repeated rows each return their row, in one component; keys may
     be null; other columns don't matter; an empty table returns no rows. Very long texts are read whole.
     """
-    docs = docs.select(F.col(key), F.col(text))
-    late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
-    found = docs.select(F.col(key), F.md5(F.col(text)).alias("text_digest"), sketches(F.col(text), width, percent, late).alias("p"))
-    whole = stash(found.select(key, "text_digest", "p.*"), "sketches")
-    digest = F.min(F.coalesce("text_digest", F.lit(""))).alias("d")
-    firsts = [F.first(c).alias(c) for c in ("n", "fp", "head", "bits")]  # the same for every row of a set
-    classes = stash(whole.groupBy("sid").agg(*firsts, digest), "classes")
-    prints = stash(whole.select(key, "text_digest", "sid"), "prints")
-    discard(whole)
-    entries = shared_keys(classes)
-    narrow = stash(classes.drop("head"), "set-maps")
-    discard(classes)
-    verifier = Verifier(docs, text, narrow, width, percent)
-    stars = similar_links(entries, first_links(narrow, verifier), verifier)
-    roots = stars.select(F.col("b").alias("sid"), F.col("a").alias("r"))
-    return prints.join(roots, "sid", "left").select(key, "text_digest", F.coalesce("r", "sid").alias("root"))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        docs = docs.select(F.col(key), F.col(text))
+        late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
+        found = docs.select(F.col(key), F.md5(F.col(text)).alias("text_digest"), sketches(F.col(text), width, percent, late).alias("p"))
+        whole = stash(found.select(key, "text_digest", "p.*"), "sketches")
+        digest = F.min(F.coalesce("text_digest", F.lit(""))).alias("d")
+        firsts = [F.first(c).alias(c) for c in ("n", "fp", "head", "bits")]  # the same for every row of a set
+        classes = stash(whole.groupBy("sid").agg(*firsts, digest), "classes")
+        prints = stash(whole.select(key, "text_digest", "sid"), "prints")
+        discard(whole)
+        entries = shared_keys(classes)
+        narrow = stash(classes.drop("head"), "set-maps")
+        discard(classes)
+        verifier = Verifier(docs, text, narrow, width, percent)
+        stars = similar_links(entries, first_links(narrow, verifier), verifier)
+        roots = stars.select(F.col("b").alias("sid"), F.col("a").alias("r"))
+        return prints.join(roots, "sid", "left").select(key, "text_digest", F.coalesce("r", "sid").alias("root"))
