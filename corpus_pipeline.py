@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontaminate, jaccard, mixing, quality_rules, sharding, simhash
-from ledgerlark.llm.common import discard, stash, table
+from ledgerlark.llm.common import arrow_rows, discard, stash, table
 
 SHARDS = 40
 
@@ -37,7 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns keep their values, also those named like a measure; repeated rows are judged alike; null texts go.
     """
-    return back(quality_rules.apply_rules(aside(docs), table(spark, sf_dir, "labels")).filter("kept"), docs)
+    with arrow_rows(spark, jaccard.TEXTS):
+        judged = quality_rules.apply_rules(aside(docs), table(spark, sf_dir, "labels"))
+    return back(judged.filter("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
