@@ -589,6 +589,59 @@ def replay_fixed_history(spark, sf):
     return rows.select("event_id", *[r6(F.col(n)).alias(n) for n in ("sender_out_count", "pair_out_count")])
 
 
+def _retained_sql(limit: int, frozen: int | None = None) -> str:
+    """All features from the last events before each time, by a self-join on positions."""
+    ask = "event_us" if frozen is None else f"least(event_us, {frozen})"
+    head, rest = HISTORY_SQL.split("st as (", 1)
+    tail = rest[rest.index("raw as (") :]
+    moves = head.replace("event_us, 1 as o", "event_us, pos, 1 as o").replace("event_us, 0, 1, case", "event_us, pos, 0, 1, case")
+    moves = moves.replace("event_us, 0, 0, 1, 0", "event_us, pos, 0, 0, 1, 0").replace("from pay", "from placed").strip().strip(",")
+    return f"""with {PAY_ORDERS.strip()},
+placed as (select *, row_number() over (order by event_us, seq) - 1 as pos from pay),
+frozen as (select count(*) as n from pay where {'true' if frozen is None else f'event_us < {frozen}'}),
+clock as (
+  select event_us, {ask} as asked, least(min(pos), (select n from frozen)) as stop,
+    greatest(0, least(min(pos), (select n from frozen)) - {limit}) as first
+  from placed group by 1, 2
+),
+{moves},
+st as (
+  select a.acct, a.event_us, coalesce(sum(o), 0) as oc, coalesce(sum(i), 0) as ic, coalesce(sum(o * v), 0) as ov,
+    coalesce(sum(i * v), 0) as iv, coalesce(sum(touch), 0) as seen, max(case when touch = 1 then m.event_us end) as last_us,
+    coalesce(sum(o) filter (m.event_us >= asked - 3600000000), 0) as roc, coalesce(sum(i) filter (m.event_us >= asked - 3600000000), 0) as ric,
+    coalesce(sum(o * v) filter (m.event_us >= asked - 3600000000), 0) as rov, coalesce(sum(i * v) filter (m.event_us >= asked - 3600000000), 0) as riv
+  from (select distinct acct, event_us, asked, stop, first from inc join clock using (event_us)) a
+    left join inc m on m.acct = a.acct and m.pos >= a.first and m.pos < a.stop
+  group by 1, 2
+),
+pr as (
+  select p.event_id, count(d.event_id) filter (d.source = p.source) as same,
+    count(d.event_id) filter (d.source = p.destination) as back
+  from pay p join clock c using (event_us) left join placed d on d.kind = 'payment' and d.pos >= c.first and d.pos < c.stop and
+    ((d.source = p.source and d.destination = p.destination) or (d.source = p.destination and d.destination = p.source))
+  where p.kind = 'payment' group by 1
+),
+{tail}
+select event_id, label, {", ".join(f"round(cast({FEATURE_SQL[n]} as double), 6) as {n}" for n in ft.PAYMENT_FEATURES)}
+from raw join (select event_id, label from pay) using (event_id) where event_us >= 883612800000000"""
+
+
+def _retained(spark, sf, history):
+    events, outcomes = _replay_input(spark, sf)
+    rows, _ = rp.replay(events, outcomes, SPLIT_US, _scorer, ft.PAYMENT_FEATURES, history, max_events=500)
+    return rows.select("event_id", "label", *[r6(F.col(n)).alias(n) for n in ft.PAYMENT_FEATURES])
+
+
+@query("replay_retained", _retained_sql(500))
+def replay_retained(spark, sf):
+    return _retained(spark, sf, "growing")
+
+
+@query("replay_retained_fixed", _retained_sql(500, 883612800000000))
+def replay_retained_fixed(spark, sf):
+    return _retained(spark, sf, "fixed")
+
+
 @query("replay_split", with_cte(PAY_ORDERS, """
  select case when event_us < 883612800000000 then 'prefix' else 'evaluation' end as part, count(*) as rows from pay group by 1"""))
 def replay_split(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.features import PAYMENT_FEATURES, payment_features
+from ledgerlark.operators.retained import retained_features
 from ledgerlark.plans.prefix import bucketed_prefix, measure_cuts, plan_layout, strict_prefix, with_scalars
 
 
@@ -84,15 +85,20 @@ def replay_rows(
     scorer: Callable[[DataFrame], DataFrame],
     names: Sequence[str] = tuple(PAYMENT_FEATURES),
     history: str = "growing",
+    max_events: int | None = None,
 ) -> DataFrame:
     """Scored evaluation rows with their final outcomes.
 
-    ``scorer`` gets the feature rows and adds ``score``. ``fixed`` history stops at the split.
-    Outcomes are joined only afterwards.
+    ``scorer`` gets the feature rows and adds ``score``. ``fixed`` history stops at the split; with ``max_events``
+    features see only so many of the latest events. Outcomes are joined only afterwards.
     """
     if history not in ("fixed", "growing"):
         raise ValueError("history must be fixed or growing")
-    features = payment_features(payments, names, freeze_us=split_us if history == "fixed" else None)
+    freeze_us = split_us if history == "fixed" else None
+    if max_events is None:
+        features = payment_features(payments, names, freeze_us=freeze_us)
+    else:
+        features = retained_features(payments, max_events, names, freeze_us)
     # The filter follows the features: earlier rows are their history.
     scored = scorer(features.filter(F.col("event_us") >= split_us))
     return scored.join(outcomes.select("event_id", "label", "available_us"), "event_id", "left").withColumn(
@@ -155,8 +161,9 @@ def replay(
     names: Sequence[str] = tuple(PAYMENT_FEATURES),
     history: str = "growing",
     label_delay_us: int | None = None,
+    max_events: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Evaluation rows and manifest of one replay."""
     replay_split(payments, split_us)
-    rows = replay_rows(payments, outcomes, split_us, scorer, names, history)
-    return rows, replay_manifest(payments, outcomes, split_us, label_delay_us, history)
+    rows = replay_rows(payments, outcomes, split_us, scorer, names, history, max_events)
+    return rows, replay_manifest(payments, outcomes, split_us, label_delay_us, history, max_events)
