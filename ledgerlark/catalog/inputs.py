@@ -184,18 +184,33 @@ def _stream_of(spark, sf, graph=True):
     return Stream(descriptor, events, outcomes)
 
 
-@query("open_prepared", with_cte(PAY_ORDERS, " select count(*) as events, count(*) as outcomes, 'mixed' as availability from pay"))
+@query("open_prepared", with_cte(PAY_ORDERS, """
+ select event_id, event_us, seq as arrival_seq, split_part(source, ':', 2) as source, split_part(destination, ':', 2) as destination,
+   cast(amount as double) as amount, label, case when label >= 0 then available_us end as available_us from pay"""))
 def open_prepared(spark, sf):
+    """Every stored event and outcome after the digests of all ranges were checked."""
     path = scratch_dir(spark, "prepared")
     st.write_prepared(_stream_of(spark, sf), path)
     stream = st.open_prepared(spark, path)
-    kind = mt.label_availability_kind(stream.outcomes).select("availability")
-    from ledgerlark.plans.prefix import with_scalars
-
-    sizes = with_scalars(
-        stream.events.agg(F.count(F.lit(1)).alias("events")), stream.outcomes.agg(F.count(F.lit(1)).alias("outcomes"))
+    name = lambda i: F.element_at("entities", i)["id"]
+    events = stream.events.select(
+        "event_id", "event_us", "arrival_seq", name(1).alias("source"), name(2).alias("destination"),
+        F.col("features")["amount"].cast("double").alias("amount"),
     )
-    return with_scalars(sizes, kind)
+    available = F.round(F.col("available_at") * 1e6).cast("bigint").alias("available_us")
+    return events.join(stream.outcomes.select("event_id", "label", available), "event_id")
+
+
+@query("prepared_range_digests", with_cte(PAY_ORDERS, """
+ select 'events' as part, count(*) as rows, min(event_us) as low, max(event_us) as high from pay
+ union all select 'outcomes', count(*), null, null from pay"""))
+def prepared_range_digests(spark, sf):
+    """The digests of all ranges as the manifest has them, added up."""
+    path = scratch_dir(spark, "prepared")
+    stream = _stream_of(spark, sf)
+    st.write_prepared(stream, path)
+    stored = spark.read.parquet(f"{path}/digests")
+    return stored.groupBy("part").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @query("scan_interval", with_cte(PAY_ORDERS, " select event_id from pay where event_us >= 852076800000000 and event_us < 883612800000000"))

@@ -754,7 +754,7 @@ def late_event_audit(spark, sf):
     early = (F.col("event_us") < low + (high - low) // 2) & (F.col("seq") % 7 != 0)
     part = F.when(early, 1).when(F.col("event_us") < low + (high - low) * 3 // 4, 2).otherwise(3)
     for number in (1, 2, 3):
-        events.filter(part == number).coalesce(1).write.mode("append").parquet(source)
+        events.filter(part == number).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
         sfb.late_event_audit(stream, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
     late = spark.read.parquet(f"{out}/late").select("event_id", F.lit("late").alias("part"))

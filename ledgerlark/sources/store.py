@@ -6,13 +6,13 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import mask_label
 from ledgerlark.operators.metrics import dataset_fingerprint, label_availability_kind
 from ledgerlark.operators.splits import chronological_split, label_cutoffs
-from ledgerlark.plans.prefix import with_scalars
+from ledgerlark.plans.prefix import BUCKET, Cuts, measure_cuts, with_scalars
 from ledgerlark.schema import Descriptor, Stream
 from ledgerlark.sources.csv_layouts import validate_events
 
@@ -30,8 +30,39 @@ def _read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
+#: Ranges of outcomes, which have no time of their own, are shares of the hashed ids.
+OUTCOME_RANGES = 64
+
+
+def range_digests(stream: Stream, cuts: Cuts) -> DataFrame:
+    """(part, range, rows, total, mix, low, high): a digest of all columns of the rows of every range.
+
+    Events are cut by time, outcomes by hashed id. Digests are sums and exclusive ors of row hashes: they don't depend on
+    files or order, and those of neighbouring ranges add up. ``low`` and ``high`` are the times in the range.
+    """
+
+    def of(part: str, df: DataFrame, at: Column) -> DataFrame:
+        row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c != BUCKET]))
+        return df.groupBy(F.lit(part).alias("part"), F.col(BUCKET).cast("int").alias("range")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("total"),
+            F.bit_xor(F.xxhash64(row, F.lit("mix"))).alias("mix"), F.min(at).alias("low"), F.max(at).alias("high"),
+        )
+
+    outcomes = stream.outcomes.withColumn(BUCKET, F.pmod(F.xxhash64("event_id"), F.lit(OUTCOME_RANGES)))
+    none = F.lit(None).cast("bigint")
+    return of("events", cuts.add(stream.events, "event_us"), F.col("event_us")).union(of("outcomes", outcomes, none))
+
+
+def changed_ranges(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranges whose rows are not those of the manifest, with the stored and the found number of rows and times."""
+    keys = ["part", "range"]
+    now = found.select(*keys, *[F.col(c).alias("now_" + c) for c in found.columns if c not in keys])
+    same = F.col("rows").eqNullSafe(F.col("now_rows")) & F.col("total").eqNullSafe(F.col("now_total")) & F.col("mix").eqNullSafe(F.col("now_mix"))
+    return stored.join(now, keys, "full").filter(~same).orderBy(*keys)
+
+
 def write_prepared(stream: Stream, path: str) -> None:
-    """Events in chronological files, outcomes apart, and a one-row manifest. Never overwrites."""
+    """Events in chronological files, outcomes apart, digests per time range, and a one-row manifest. Never overwrites."""
     spark = stream.events.sparkSession
     (
         stream.events.repartitionByRange("event_us", "arrival_seq")
@@ -40,13 +71,17 @@ def write_prepared(stream: Stream, path: str) -> None:
         .parquet(f"{path}/events")
     )
     stream.outcomes.write.mode("errorifexists").parquet(f"{path}/outcomes")
-    written = spark.read.parquet(f"{path}/events").count()
+    kept = Stream(stream.descriptor, spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/outcomes"))
+    cuts = measure_cuts(kept.events, "event_us")
+    range_digests(kept, cuts).coalesce(1).write.mode("errorifexists").parquet(f"{path}/digests")  # a row per range
+    written = kept.events.count()
     if not written:
         raise ValueError("the source contains no transactions")
     kind = label_availability_kind(stream.outcomes).first()["availability"]
     manifest = {
         "tag": STREAM_TAG,
         "rows": written,
+        "cuts": {"bounds": list(cuts.bounds), "fine": cuts.fine},
         "descriptor": asdict(stream.descriptor),
         "label_availability": kind,
     }
@@ -54,7 +89,10 @@ def write_prepared(stream: Stream, path: str) -> None:
 
 
 def open_prepared(spark: SparkSession, path: str, check: bool = True) -> Stream:
-    """Open a prepared stream; ``check`` re-reads it against its manifest and rules."""
+    """Open a prepared stream; ``check`` re-reads it against the digests of its ranges and its rules.
+
+    A changed, lost or added row is refused, and the error names its range.
+    """
     manifest = _read_manifest(spark, f"{path}/manifest")
     if manifest.get("tag") != STREAM_TAG:
         raise ValueError("not a prepared transaction stream")
@@ -67,8 +105,13 @@ def open_prepared(spark: SparkSession, path: str, check: bool = True) -> Stream:
         spark.read.parquet(f"{path}/outcomes"),
     )
     if check:
-        if stream.events.count() != manifest["rows"]:
-            raise ValueError("the stored event count differs from the manifest")
+        cuts = Cuts(tuple(manifest["cuts"]["bounds"]), manifest["cuts"]["fine"])
+        stored = spark.read.parquet(f"{path}/digests")
+        if changed := changed_ranges(stored, range_digests(stream, cuts)).limit(1).collect():
+            r = changed[0]
+            times = [t for t in (r["low"], r["now_low"], r["high"], r["now_high"]) if t is not None]
+            span = f" from {min(times)} to {max(times)} microseconds" if times else ""
+            raise ValueError(f"{r['part']}, range {r['range']}{span}: {r['rows'] or 0} rows were written, {r['now_rows'] or 0} are there, or their content changed")
         bad = validate_events(stream).limit(1).collect()
         if bad:
             raise ValueError(f"event {bad[0]['event_id']}: {bad[0]['rule']}")
