@@ -722,16 +722,18 @@ def stream_released_feedback(spark, sf):
          from pay where kind = 'payment')""") + " select event_id, decision, tau_after from decided"))
 def stream_adaptive_budget(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", sft.STATE_STORE)
-    out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-state")
-    rows = _stream(spark, sf).filter("kind = 'payment'").select(
-        "event_id", F.when(F.col("seq") % 2 == 0, "even").otherwise("odd").alias("segment"), "seq",
-        F.log(1 + F.col("amount")).alias("score"),
-    )
-    run = (
-        sfb.stream_adaptive_budget(rows, 0.05).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    source, out, checkpoint = (scratch_dir(spark, f"stream-{n}") for n in ("source", "out", "state"))
+    rows = pay_events(spark, sf).filter("kind = 'payment'").select(
+        "event_id", F.when(F.col("seq") % 2 == 0, "even").otherwise("odd").alias("segment"), F.col("seq").cast("bigint").alias("seq"),
+        F.log(1 + F.col("amount").cast("double")).alias("score"),
     )
-    run.awaitTermination()
+
+    def step():
+        stream = sfb.stream_adaptive_budget(spark.readStream.schema(rows.schema).parquet(source), 0.05)
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start().awaitTermination()
+
+    sfb.in_request_order(rows, source, step)
     stored = spark.read.schema("event_id string, decision string, tau_after double").parquet(out)
     return stored.select("event_id", "decision", r6(F.col("tau_after")).alias("tau_after"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,13 @@ class AdaptiveCutoff(StatefulProcessor):
     """Warm-up, then a drifting cutoff per stream key, in request order.
 
     A request that arrives after a later one of its key was decided changes nothing and comes out as LATE, so the
-    decisions do not depend on how the stream is cut into batches as long as it arrives in order.
+    decisions do not depend on how the stream is cut into batches as long as it arrives in order. Of a micro-batch
+    a key holds (order, position, score) as numbers; the rows go out in pieces. ``in_request_order`` bounds
+    a micro-batch.
     """
 
+    piece = 10_000
+
     def __init__(self, alpha: float, eta: float, warmup: int) -> None:
         self.alpha, self.eta, self.warmup = alpha, eta, warmup
 
@@ -54,29 +59,35 @@ class AdaptiveCutoff(StatefulProcessor):
         self.last = handle.getValueState("last", "seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
+        parts = list(rows)
+        order = np.concatenate([p["seq"].to_numpy() for p in parts])
+        ranked = np.argsort(order, kind="stable")
+        starts = np.cumsum([0, *map(len, parts)])
         tau0, decided, blocked = self.cutoff.get() if self.cutoff.exists() else (None, 0, 0)
         learned = [r[0] for r in self.learned.get()] if tau0 is None and self.learned.exists() else []
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in batch.itertuples(index=False):
-            if last is not None and row.seq <= last:
-                out.append((row.event_id, row.segment, row.seq, row.score, "LATE", None, None))
-                continue
-            last = int(row.seq)
-            if tau0 is None:
-                learned.append(float(row.score))
-                if len(learned) >= self.warmup:
-                    tau0 = sorted(learned)[max(0, math.ceil((1 - self.alpha) * len(learned)) - 1)]
-                out.append((row.event_id, row.segment, row.seq, row.score, "LEARNING", None, tau0))
-                continue
-            before = tau0 + self.eta * (blocked - self.alpha * decided)
-            block = row.score > before
-            decided, blocked = decided + 1, blocked + int(block)
-            after = tau0 + self.eta * (blocked - self.alpha * decided)
-            out.append(
-                (row.event_id, row.segment, row.seq, row.score, "BLOCK" if block else "ALLOW", before, after)
-            )
+        columns = ["event_id", "segment", "seq", "score", "decision", "tau_before", "tau_after"]
+        for at in range(0, len(ranked), self.piece):
+            out = []
+            for i in ranked[at : at + self.piece].tolist():
+                p = int(np.searchsorted(starts, i, "right")) - 1
+                event_id, segment, seq, score = (parts[p][c].iat[i - starts[p]] for c in columns[:4])
+                if last is not None and seq <= last:
+                    out.append((event_id, segment, seq, score, "LATE", None, None))
+                    continue
+                last = int(seq)
+                if tau0 is None:
+                    learned.append(float(score))
+                    if len(learned) >= self.warmup:
+                        tau0 = sorted(learned)[max(0, math.ceil((1 - self.alpha) * len(learned)) - 1)]
+                    out.append((event_id, segment, seq, score, "LEARNING", None, tau0))
+                    continue
+                before = tau0 + self.eta * (blocked - self.alpha * decided)
+                block = score > before
+                decided, blocked = decided + 1, blocked + int(block)
+                after = tau0 + self.eta * (blocked - self.alpha * decided)
+                out.append((event_id, segment, seq, score, "BLOCK" if block else "ALLOW", before, after))
+            yield pd.DataFrame(out, columns=columns)
         if last is not None:
             self.last.update((last,))
         if tau0 is None:
@@ -85,14 +96,27 @@ class AdaptiveCutoff(StatefulProcessor):
         else:
             self.learned.clear()
             self.cutoff.update((tau0, decided, blocked))
-        yield pd.DataFrame(
-            out, columns=["event_id", "segment", "seq", "score", "decision", "tau_before", "tau_after"]
-        )
 
     def close(self) -> None:
         pass
 
 
+def in_request_order(rows: DataFrame, path: str, step: Callable[[], None], order: str = "seq", most: int = 250_000, least: int = 4) -> None:
+    """Hand a stored table to a file stream in the order of ``order``, at most about ``most`` rows at a time.
+
+    The rows are cut into ranges of equal size (``least`` or more of them). One range after another is appended
+    to the folder ``path`` by many tasks, and ``step`` is called, which runs the stream over what is new. No
+    micro-batch is larger than a range, whatever share of the rows a key has.
+    """
+    n = rows.count()
+    parts = max(least, -(-n // most))
+    cuts = sorted(set(rows.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if n else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = F.lit(True) if low is None else F.col(order) > low
+        rows.filter(inside & (F.lit(True) if high is None else F.col(order) <= high)).write.mode("append").parquet(path)
+        step()
+
+
 def stream_adaptive_budget(
     scores: DataFrame, alpha: float = 0.02, eta: float = 0.025, warmup: int = 128
 ) -> DataFrame:
