@@ -150,7 +150,10 @@ class Verifier:
             return pa.array(out, pa.bool_())
 
         side = lambda c: self.classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("d").alias(f"d{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        # The narrow pairs go to the maps, not all maps to the pairs of a round.
+        asked = small(pairs, pairs.count())
+        met = asked.join(side("a"), "a").join(asked.join(side("b"), "b"), ["a", "b"])
+        sized = met.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         open_ = stash(sized.filter(possible("bitsa", "bitsb", "na", "nb")).select("a", "b", "da", "db"), "possible-pairs")
         wanted = stash(open_.select(F.explode(F.array("da", "db")).alias("d")).distinct(), "wanted-texts")
         texts = stash(self.texts.join(small(wanted, wanted.count()), "d").dropDuplicates(["d"]), "texts")
