@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import discard, stash
+from ledgerlark.llm.common import discard, small, stash
 
 BITS = 64
 _CHUNK = 200_000  # shingles hashed at once, so that very long texts need no more memory
@@ -163,10 +163,17 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
 
 def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents, one of each ``root`` of (key, ``text_digest``, ``root``): that with the smallest key (null last)."""
-    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("text_digest").alias("d")))
-    keepers = found.groupBy("root").agg(first.alias("f")).select(
-        F.col("f.k").alias("__k"), F.col("f.d").alias("__d")
-    )
+    rows = found.groupBy("root", key, "text_digest").agg(F.count(F.lit(1)).alias("m"))
+    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("text_digest").alias("d"), "m"))
+    keepers = stash(rows.groupBy("root").agg(first.alias("f")).select(
+        F.col("f.k").alias("__k"), F.col("f.d").alias("__d"), F.col("f.m").alias("__m")
+    ), "keepers")
     same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__digest").eqNullSafe(F.col("__d"))
     digests = docs.withColumn("__digest", F.md5(F.col(text)))
-    return digests.join(keepers, same, "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")
+    out = digests.join(keepers.filter("__m = 1"), same, "left_semi")
+    # Only documents whose rows repeat take another shuffle, which leaves one of them.
+    again = keepers.filter("__m > 1")
+    if repeated := again.count():
+        one = digests.join(small(again, repeated), same, "left_semi").dropDuplicates([key, "__digest"])
+        out = out.unionByName(one)
+    return out.drop("__digest")
