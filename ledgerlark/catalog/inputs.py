@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlark.catalog.base import (
@@ -31,7 +32,7 @@ from ledgerlark.sources import exports as xp
 from ledgerlark.sources import store as st
 from ledgerlark.sources import views as vw
 from ledgerlark.schema import Descriptor, Stream
-from ledgerlark.session import scratch_dir
+from ledgerlark.session import cut_lineage, scratch_dir
 
 
 def _csv(df, name: str) -> str:
@@ -341,23 +342,44 @@ def export_payment_document(spark, sf):
     return back.events.select("id", "kind", r6(F.col("t")).alias("t"), "amount", "settled")
 
 
+def _documents(spark, sf, most=1000):
+    """The events table as many documents of at most ``most`` rows, each with accounts of its own."""
+    rows = pay_events(spark, sf).filter("source is null or source <> destination").withColumn(
+        "document", F.format_string("part-%012d", F.floor(F.col("seq") / most))
+    )
+    ends = rows.select("document", F.explode(F.array("source", "destination")).alias("external_id"))
+    within = Window.partitionBy("document").orderBy("external_id")  # the accounts of one document
+    accounts = cut_lineage(
+        ends.filter("external_id is not null").distinct().withColumn("id", (F.row_number().over(within) - 1).cast("bigint"))
+    ).withColumn("name", F.col("external_id"))
+    u = accounts.select("document", F.col("external_id").alias("source"), F.col("id").alias("u"))
+    v = accounts.select("document", F.col("external_id").alias("destination"), F.col("id").alias("v"))
+    events = rows.join(u, ["document", "source"], "left").join(v, ["document", "destination"]).select(
+        "document", F.col("event_id").alias("id"), "kind", (F.col("event_us") / 60e6).alias("t"),
+        F.coalesce("u", F.lit(-1)).cast("bigint").alias("u"), "v", "amount", "settled", F.lit(None).cast("string").alias("reference"), "seq",
+    )
+    outcomes = events.filter("kind = 'payment'").select(
+        "document", "id", F.when(F.col("amount") > 40, 1).otherwise(0).alias("label"),
+        F.when(F.col("seq") % 2 == 0, F.col("t") + 30).alias("available_at"),
+    )
+    return dc.PaymentDocuments(accounts.select("document").distinct(), accounts, events, outcomes)
+
+
 @query("read_payment_json", with_cte(PAY_EVENTS, DOCUMENT_SQL + """
- select event_id as id, kind, amount, cast(case when kind = 'payment' then case when amount > 40 then 1 else 0 end end as integer) as label from d"""))
+ select 'part-' || lpad(cast(seq // 1000 as varchar), 12, '0') as document, event_id as id, kind, round(event_us / 60e6, 6) as t,
+   source as sender, destination as recipient, amount, settled,
+   cast(case when kind = 'payment' then case when amount > 40 then 1 else 0 end end as integer) as label,
+   case when kind = 'payment' and seq % 2 = 0 then round(event_us / 60e6 + 30, 6) end as available_at from d"""))
 def read_payment_json(spark, sf):
-    document = _document(spark, sf)
     path = scratch_dir(spark, "json")
-    # One nested document per file is what the format is; it is folded here only to have such a file.
-    fields = ["id", "kind", "t", "u", "v", "amount", "settled", "reference"]
-    events = document.events.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", *fields))), lambda e: e.dropFields("seq")).alias("events")
+    dc.write_payment_documents(_documents(spark, sf), path, per_file=4)
+    read = dc.read_payment_documents(spark, path)
+    names = lambda i, name: read.accounts.select("document", F.col("id").alias(i), F.col("external_id").alias(name))
+    rows = read.events.join(read.outcomes, ["document", "id"], "left").join(names("u", "sender"), ["document", "u"], "left")
+    return rows.join(names("v", "recipient"), ["document", "v"], "left").select(
+        "document", "id", "kind", r6(F.col("t")).alias("t"), "sender", "recipient", "amount", "settled", "label",
+        r6(F.col("available_at")).alias("available_at"),
     )
-    accounts = document.accounts.agg(F.array_sort(F.collect_list(F.struct("id", "external_id", "name"))).alias("accounts"))
-    truth = document.outcomes.agg(F.map_from_entries(F.collect_list(F.struct("id", F.col("label").cast("boolean").alias("x")))).alias("truth"))
-    from ledgerlark.plans.prefix import with_scalars
-
-    with_scalars(with_scalars(events, accounts), truth).coalesce(1).write.json(path)
-    read = dc.read_payment_json(spark, path)
-    return read.events.join(read.outcomes, "id", "left").select("id", "kind", "amount", "label")
 
 
 @query("compose_episodes", with_cte(PAY_EVENTS, DOCUMENT_SQL + """,

@@ -344,8 +344,31 @@ def _numeric(spark, sf):
     return ft.payment_features(pay_orders(spark, sf), NUMERIC, keep=["label", "available_us"])
 
 
-@query("fit_logistic")
+def _numeric_sql(where: str) -> str:
+    """Mean and deviation of the features over some rows, and the gradient that an optimum has."""
+    rows = " union all ".join(
+        f"select '{n}' as feature, {FEATURE_SQL[n]}::double as x from raw join chosen using (event_id)" for n in NUMERIC
+    )
+    return f""", chosen as (select event_id as event_id from {where})
+ select feature, round(avg(x), 6) as mean, round(greatest(1e-6, stddev_pop(x)), 6) as scale, 0.0::double as gradient from ({rows}) group by 1
+ union all select 'intercept', 0.0, 1.0, 0.0"""
+
+
+def _certificate(df):
+    # Rounded to five decimals of the mean loss; adding zero takes the sign off a zero.
+    return df.select("feature", r6(F.col("mean")).alias("mean"), r6(F.col("scale")).alias("scale"), (F.round("gradient", 5) + 0.0).alias("gradient"))
+
+
+@query("fit_logistic", "with " + PAY_ORDERS.strip() + HISTORY_SQL + SPLIT_SQL.replace("scored", "pay")
+       + _numeric_sql("parts where partition = 'train' and label >= 0"))
 def fit_logistic(spark, sf):
+    """The weights' certificate: standardisation, and a gradient that vanishes at the optimum alone."""
+    train = cut_lineage(sp.chronological_split(_numeric(spark, sf)).filter("partition = 'train'"))
+    return _certificate(so.logistic_gradient(train, so.fit_logistic(train, NUMERIC)))
+
+
+@query("score_logistic")
+def score_logistic(spark, sf):
     rows = cut_lineage(sp.chronological_split(_numeric(spark, sf)))
     model = so.fit_logistic(rows.filter("partition = 'train'"), NUMERIC)
     scored = so.score_logistic(rows.filter("partition = 'test'"), model)
@@ -453,8 +476,19 @@ def fit_boosted_trees(spark, sf):
     return scored.select("event_id", F.round("margin", 4).alias("margin"))
 
 
-@query("fit_history_head")
+@query("fit_history_head", "with " + PAY_ORDERS.strip() + HISTORY_SQL + _numeric_sql("pay where label >= 0")
+       + " union all select 'bits', null, null, 0.0")
 def fit_history_head(spark, sf):
+    """Certificate of the class-weighted head; the surprise in it has a query of its own, only its gradient is shown."""
+    base = pay_orders(spark, sf)
+    rows = so.history_rows(base, base.select("event_id", "label"), NUMERIC)
+    model = so.fit_logistic(rows, [*NUMERIC, "bits"], balanced=True)
+    found = _certificate(so.logistic_gradient(rows, model, balanced=True))
+    return found.withColumns({c: F.when(F.col("feature") != "bits", F.col(c)) for c in ("mean", "scale")})
+
+
+@query("score_history_head")
+def score_history_head(spark, sf):
     base = pay_orders(spark, sf)
     _, scored = so.fit_history_head(base, base.select("event_id", "label"), NUMERIC)
     return scored.select("event_id", F.round("probability", 4).alias("probability"))
@@ -520,6 +554,49 @@ def _replay_input(spark, sf):
     return base, base.select("event_id", "label", "available_us")
 
 
+def _fit_means(train, features):
+    known = train.filter("label >= 0")
+    means = known.groupBy("label").agg(*[F.avg(f).alias(f) for f in features]).collect()  # two rows
+    return {str(r["label"]): [r[f] for f in features] for r in means}
+
+
+def _score_means(state, features):
+    near = [((features - state[c]) ** 2).sum(axis=1) for c in ("0", "1")]
+    return near[0] / (near[0] + near[1]).where(lambda d: d > 0)
+
+
+@query("register_scorer", with_cte(SCORES, SPLIT_SQL + """,
+ m as (select avg(score) filter (label = 0) as s0, avg(score) filter (label = 1) as s1,
+   avg(ln(1 + amount)) filter (label = 0) as a0, avg(ln(1 + amount)) filter (label = 1) as a1 from parts where partition = 'train'),
+ d as (select event_id, power(score - s0, 2) + power(ln(1 + amount) - a0, 2) as d0,
+   power(score - s1, 2) + power(ln(1 + amount) - a1, 2) as d1 from parts, m where partition <> 'train')
+ select event_id, round(d0 / (d0 + d1), 6) as probability from d"""))
+def register_scorer(spark, sf):
+    """A scorer of one's own: nearness to the mean of each class, frozen and run on Arrow batches."""
+    rows = scores(spark, sf).withColumn("log_amount", F.log(1 + F.col("amount").cast("double")))
+    parts = cut_lineage(sp.chronological_split(rows))
+    model = so.SCORERS.get("class-means") or so.arrow_scorer("class-means", _fit_means, _score_means)
+    state = model.fit(parts.filter("partition = 'train'"), ["score", "log_amount"])
+    return model.predict(parts.filter("partition <> 'train'"), state).select("event_id", r6(F.col("probability")).alias("probability"))
+
+
+def _fit_spread(reference):
+    row = reference.agg(F.avg("logit").alias("mean"), F.stddev_pop("logit").alias("scale")).first()
+    return {"mean": row["mean"], "scale": row["scale"]}
+
+
+@query("register_head", with_cte(SCORES, """,
+ r as (select avg(score) as m, stddev_pop(score) as s from scored where event_us < 883612800000000)
+ select event_id, round((score - m) / s, 6) as score, (score - m) / s > -log2(0.3) as above from scored, r where event_us >= 883612800000000"""))
+def register_head(spark, sf):
+    """A head of one's own: distance from the mean of the reference in deviations, run on Arrow batches."""
+    rows = scores(spark, sf).withColumnRenamed("score", "logit")
+    past, queries = rows.filter(F.col("event_us") < SPLIT_US), rows.filter(F.col("event_us") >= SPLIT_US)
+    head = so.HEADS.get("deviations") or so.arrow_head("deviations", _fit_spread, lambda s, x: (x - s["mean"]) / s["scale"])
+    scored = head.score(queries, past)
+    return scored.select("event_id", r6(F.col("score")).alias("score"), (F.col("score") > head.cutoff(0.3)).alias("above"))
+
+
 @query("timestamp_groups", with_cte(PAY_ORDERS, """
  select event_us, count(*) as events, min(seq) as first_seq, max(seq) as last_seq from pay group by 1"""))
 def timestamp_groups(spark, sf):
@@ -717,6 +794,43 @@ def stream_released_feedback(spark, sf):
     return spark.read.schema("event_id string, label int").parquet(out)
 
 
+@query("stream_settled_feedback", with_cte(PAY_EVENTS, """,
+ o as (select *, event_us + (seq % 5) * 86400000000 as available_us from pay where seq % 7 <> 0)
+ select event_id, case when amount > 40 then 1 else 0 end::integer as label,
+   case when seq % 5 <= 2 and seq % 11 <> 0 then 'RELEASED' else 'EXPIRED' end as state,
+   case when seq % 5 <= 2 and seq % 11 <> 0 then event_us end as event_us, available_us from o"""))
+def stream_settled_feedback(spark, sf):
+    """Labels come after 0 to 4 days with a horizon of 2; every eleventh event never arrives. Ordered ranges of bounded size."""
+    source, out, checkpoint = (scratch_dir(spark, f"settled-{n}") for n in ("in", "out", "state"))
+    pay = pay_events(spark, sf)
+    available = F.col("event_us") + (F.col("seq") % 5) * 86_400_000_000
+    events = pay.filter("seq % 11 <> 0").select("event_id", F.col("event_us").alias("at_us"), F.lit("event").alias("kind"), F.lit(-1).alias("label"))
+    outcomes = pay.filter("seq % 7 <> 0").select(
+        "event_id", available.alias("at_us"), F.lit("outcome").alias("kind"), F.when(F.col("amount") > 40, 1).otherwise(0).alias("label")
+    )
+    rows = cut_lineage(events.union(outcomes))
+
+    def step():
+        at = F.timestamp_micros("at_us")
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        settled = sfb.stream_settled_feedback(
+            stream.filter("kind = 'event'").select("event_id", at.alias("event_ts")),
+            stream.filter("kind = 'outcome'").select("event_id", "label", at.alias("available_ts")), "2 days",
+        )
+        run = settled.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start().awaitTermination()
+
+    sfb.in_request_order(rows, source, step, "at_us")
+    last = rows.agg(F.max("at_us")).first()[0]
+    if last is not None:
+        spark.createDataFrame(sfb.closing_feedback(last, 10 * 86_400_000_000), rows.schema).write.mode("append").parquet(source)
+        step()
+    done = spark.read.schema("event_id string, label int, available_ts timestamp, event_ts timestamp, state string").parquet(out)
+    return done.select(
+        "event_id", "label", "state", F.unix_micros("event_ts").alias("event_us"), F.unix_micros("available_ts").alias("available_us")
+    )
+
+
 @query("stream_adaptive_budget", with_cte(PAY_EVENTS, adaptive_sql(""",
    s as (select event_id, seq, ln(1 + amount) as score, case when seq % 2 = 0 then 'even' else 'odd' end as segment
          from pay where kind = 'payment')""") + " select event_id, decision, tau_after from decided"))

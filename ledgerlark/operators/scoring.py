@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,37 @@ def fit_logistic(
     )
 
 
+def logistic_gradient(
+    train: DataFrame, model: LogisticModel, label: str = "label", c: float = 1.0, balanced: bool = False
+) -> DataFrame:
+    """Certificate of a fit: (feature, mean, scale, gradient), one row per feature and one for the intercept.
+
+    ``gradient`` is that of the mean weighted loss plus penalty at the model's weights. The objective is strictly
+    convex, so it vanishes at the fitted optimum and nowhere else. One grouped pass over the known rows.
+    """
+    known = train.filter(F.col(label) >= 0)
+    size = class_weight(known, None, label).select(F.col("weight").alias("__fraud"))
+    weight = F.when(F.col(label) == 1, F.col("__fraud") if balanced else F.lit(1.0)).otherwise(1.0)
+    error = F.col("__w") * (sigmoid(model.margin(), 700.0) - F.col(label))
+    rows = with_scalars(known, size).withColumn("__w", weight).withColumn("__e", error)
+    parts = [*zip(model.features, model.mean, model.scale, model.weights), ("intercept", 0.0, 1.0, 0.0)]
+    sums = rows.agg(
+        F.sum("__w").alias("__n"),
+        *[
+            F.sum(F.col("__e") * (F.lit(1.0) if f == "intercept" else (F.col(f) - F.lit(m)) / F.lit(s))).alias(f"g_{f}")
+            for f, m, s, _ in parts
+        ],
+    )
+    entries = [
+        F.struct(
+            F.lit(f).alias("feature"), F.lit(m).alias("mean"), F.lit(s).alias("scale"),
+            ((F.col(f"g_{f}") + F.lit(w / c)) / F.col("__n")).alias("gradient"),
+        )
+        for f, m, s, w in parts
+    ]
+    return sums.select(F.inline(F.array(*entries)))
+
+
 def score_logistic(df: DataFrame, model: LogisticModel) -> DataFrame:
     """Add ``margin`` and ``probability``."""
     return df.withColumn("margin", model.margin()).withColumn(
@@ -185,16 +217,71 @@ def register_scorer(scorer: Scorer) -> Scorer:
     return scorer
 
 
-def fit_history_head(payments: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> tuple[LogisticModel, DataFrame]:
-    """Class-weighted logistic head over history features and the surprise of amount and gap."""
+def arrow_scorer(
+    id: str, fit: Callable[[DataFrame, Sequence[str]], dict], score: Callable[[dict, pd.DataFrame], pd.Series]
+) -> Scorer:
+    """A scorer whose ``score(state, features)`` runs on Arrow batches in the executors.
+
+    ``fit`` returns the numbers that the model consists of. They are frozen as text together with the names of the features,
+    so an artifact can store them, and are read once per Python worker; probabilities outside 0 to 1 are refused.
+    """
+
+    def freeze(train: DataFrame, features: Sequence[str]) -> str:
+        return json.dumps({"scorer": id, "features": list(features), "state": fit(train, features)}, sort_keys=True)
+
+    def predict(df: DataFrame, text: str) -> DataFrame:
+        frozen = json.loads(text)
+        if frozen.get("scorer") != id:
+            raise ValueError(f"state of another scorer: {frozen.get('scorer')}")
+        names, state = frozen["features"], frozen["state"]
+
+        def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for part in parts:
+                part.columns = names
+                found = pd.Series(score(state, part), dtype="float64")
+                if not found.dropna().between(0.0, 1.0).all():
+                    raise ValueError(f"{id}: probabilities must lie between zero and one")
+                yield found
+
+        taken = F.struct(*[F.col(f).cast("double").alias(f) for f in names])
+        return df.withColumn("probability", F.pandas_udf(batches, "double")(taken))
+
+    return register_scorer(Scorer(id, freeze, predict))
+
+
+def arrow_head(
+    id: str, fit: Callable[[DataFrame], dict], score: Callable[[dict, pd.Series], pd.Series], cutoff: Callable[[float], float] = tail_cutoff
+) -> Head:
+    """A head whose ``score(state, logits)`` runs on Arrow batches; ``fit`` sees the reference logits and returns numbers."""
+
+    def apply(queries: DataFrame, reference: DataFrame | None) -> DataFrame:
+        if reference is None:
+            raise ValueError(f"{id} needs reference logits")
+        state = json.loads(json.dumps(fit(reference)))
+
+        def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series(score(state, part), dtype="float64")
+
+        return queries.withColumn("score", F.pandas_udf(batches, "double")(F.col("logit").cast("double")))
+
+    return register_head(Head(id, apply, cutoff))
+
+
+def history_rows(payments: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """What the history head sees: features, ``bits`` and label per payment, written once as fitting reads them several times."""
     from ledgerlark.operators.features import payment_features
     from ledgerlark.operators.histories import surprise_bits
 
-    # Written once: fitting reads the rows several times.
-    rows = cut_lineage(
+    return cut_lineage(
         payment_features(payments, names)
         .join(surprise_bits(payments).select("event_id", "bits"), "event_id")
         .join(outcomes.select("event_id", "label"), "event_id")
     )
+
+
+def fit_history_head(payments: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> tuple[LogisticModel, DataFrame]:
+    """Class-weighted logistic head over history features and the surprise of amount and gap."""
+    rows = history_rows(payments, outcomes, names)
     model = fit_logistic(rows, [*names, "bits"], balanced=True)
     return model, score_logistic(rows, model)

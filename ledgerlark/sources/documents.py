@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,40 +103,33 @@ def read_payment_json(spark: SparkSession, path: str, check: bool = True) -> Pay
     return PaymentDocument(accounts, events, result.outcomes.filter("label >= 0"))
 
 
-def document_violations(document: PaymentDocument) -> DataFrame:
-    """One row (event_id, arrival_seq, rule) per broken rule of a payment document."""
-    accounts, events, outcomes = document.accounts, document.events, document.outcomes
-    size = accounts.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("id").alias("d"),
-        F.min("id").alias("lo"),
-        F.max("id").alias("hi"),
+def _broken(good: dict[str, Column]) -> Column:
+    """Names of the rules that do not hold; a rule without a value is broken."""
+    named = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in good.items()]
+    return F.explode(F.filter(F.array(*named), lambda r: r.isNotNull())).alias("rule")
+
+
+def _account_sizes() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("lo"), F.max("id").alias("hi"),
         F.count_distinct("external_id").alias("x"),
-    )
-    none = F.lit(-1).cast("bigint").alias("arrival_seq")
-    account_rules = size.select(
-        F.lit("accounts").alias("event_id"),
-        none,
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(F.col("n") == 0, "accounts must not be empty"),
-                    F.when(
-                        (F.col("n") != F.col("d")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1),
-                        "account ids must be contiguous indices",
-                    ),
-                    F.when(F.col("x") != F.col("n"), "duplicate external account identity"),
-                ),
-                lambda r: r.isNotNull(),
-            )
-        ).alias("rule"),
-    )
-    count = size.select(F.col("n").alias("__accounts"))
-    ordered = with_scalars(running_max(events, ["seq"], "t", "__latest"), count)
+    ]
+
+
+def _account_rules() -> dict[str, Column]:
+    span = (F.col("n") == F.col("d")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
+    return {
+        "accounts must not be empty": F.col("n") > 0,
+        "account ids must be contiguous indices": (F.col("n") == 0) | span,
+        "duplicate external account identity": F.col("x") == F.col("n"),
+    }
+
+
+def _event_rules() -> dict[str, Column]:
     sender = (F.col("u") >= -1) & (F.col("u") < F.col("__accounts"))
     recipient = (F.col("v") >= 0) & (F.col("v") < F.col("__accounts"))
     finite = finite_number(F.col("t"), True).isNotNull() & finite_number(F.col("amount"), True).isNotNull()
-    good = {
+    return {
         "event ids must be nonempty": F.col("id") != "",
         "times and amounts must be finite and nonnegative": finite,
         "invalid event account index": sender & recipient & (F.col("u") != F.col("v")),
@@ -143,13 +137,26 @@ def document_violations(document: PaymentDocument) -> DataFrame:
         "exactly payments have a sender": (F.col("kind") == "payment") == (F.col("u") >= 0),
         "events must be chronological": F.coalesce(F.col("t") >= F.col("__latest"), F.lit(True)),
     }
-    broken = F.filter(
-        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in good.items()]),
-        lambda r: r.isNotNull(),
-    )
-    event_rules = ordered.select(
-        F.col("id").alias("event_id"), F.col("seq").alias("arrival_seq"), F.explode(broken).alias("rule")
-    )
+
+
+def _outcome_rules() -> dict[str, Column]:
+    known = F.coalesce(F.col("label") >= 0, F.lit(False))
+    return {
+        "outcome refers to an unknown payment": F.col("__t").isNotNull(),
+        "label availability requires a known outcome": F.col("available_at").isNull() | known,
+        "an outcome cannot be confirmed before the payment": F.coalesce(F.col("available_at") >= F.col("__t"), F.lit(True)),
+    }
+
+
+def document_violations(document: PaymentDocument) -> DataFrame:
+    """One row (event_id, arrival_seq, rule) per broken rule of a payment document."""
+    accounts, events, outcomes = document.accounts, document.events, document.outcomes
+    size = accounts.agg(*_account_sizes())
+    none = F.lit(-1).cast("bigint").alias("arrival_seq")
+    account_rules = size.select(F.lit("accounts").alias("event_id"), none, _broken(_account_rules()))
+    count = size.select(F.col("n").alias("__accounts"))
+    ordered = with_scalars(running_max(events, ["seq"], "t", "__latest"), count)
+    event_rules = ordered.select(F.col("id").alias("event_id"), F.col("seq").alias("arrival_seq"), _broken(_event_rules()))
     twice = (
         events.groupBy("id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("arrival_seq"))
@@ -157,30 +164,108 @@ def document_violations(document: PaymentDocument) -> DataFrame:
         .select(F.col("id").alias("event_id"), "arrival_seq", F.lit("duplicate event id").alias("rule"))
     )
     paid = events.filter("kind = 'payment'").select("id", F.col("t").alias("__t"))
-    known = outcomes.join(paid, "id", "left")
-    outcome_rules = known.select(
-        F.col("id").alias("event_id"),
-        none,
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(F.col("__t").isNull(), "outcome refers to an unknown payment"),
-                    F.when(
-                        F.col("available_at").isNotNull() & ~F.coalesce(F.col("label") >= 0, F.lit(False)),
-                        "label availability requires a known outcome",
-                    ),
-                    F.when(
-                        F.col("available_at") < F.col("__t"),
-                        "an outcome cannot be confirmed before the payment",
-                    ),
-                ),
-                lambda r: r.isNotNull(),
-            )
-        ).alias("rule"),
+    outcome_rules = outcomes.join(paid, "id", "left").select(F.col("id").alias("event_id"), none, _broken(_outcome_rules()))
+    return account_rules.unionByName(event_rules).unionByName(twice).unionByName(outcome_rules)
+
+
+@dataclass(frozen=True)
+class PaymentDocuments:
+    """Many documents side by side: the tables of ``PaymentDocument``, each with a column ``document``, and
+    ``documents(document)`` with a row per record that was read, also of one that holds nothing."""
+
+    documents: DataFrame
+    accounts: DataFrame
+    events: DataFrame
+    outcomes: DataFrame
+
+
+def read_payment_documents(spark: SparkSession, path: str | Sequence[str], lines: bool = True, check: bool = True) -> PaymentDocuments:
+    """Any number of payment documents, parsed where their files lie.
+
+    With ``lines`` every line of the files is a document and goes by its ``name``; otherwise every file is one
+    and goes by its path. Account indices, event ids, clocks and the order of events belong to a document, so nothing
+    is compared across documents and a window holds one document. With ``check`` the first broken rule raises;
+    a record that can't be parsed, a missing and a repeated name are broken rules. Outcomes keep known labels.
+    """
+    raw = spark.read.schema(JSON_SCHEMA).option("multiLine", not lines).json(path)
+    parsed = raw.withColumn("document", F.col("name") if lines else F.col("_metadata.file_path"))
+    documents = parsed.select("document")
+    accounts = parsed.select("document", F.inline("accounts")).withColumn(
+        "external_id", F.coalesce("external_id", F.col("id").cast("string"))
+    )
+    accounts = accounts.withColumn("name", F.coalesce("name", "external_id"))
+    events = parsed.select("document", F.posexplode("events").alias("seq", "e")).select(
+        "document", "e.*", F.col("seq").cast("bigint").alias("seq")
+    )
+    truth, available = F.col("truth"), F.col("label_available_at")
+    known = F.array_union(F.coalesce(F.map_keys(truth), F.array()), F.coalesce(F.map_keys(available), F.array()))
+    outcomes = parsed.select("document", truth, available, F.explode(known).alias("id")).select(
+        "document", "id", tri_label(F.try_element_at(truth, F.col("id"))).alias("label"),
+        F.try_element_at(available, F.col("id")).alias("available_at"),
+    )
+    result = PaymentDocuments(documents, accounts, events, outcomes)
+    if check:
+        first = documents_violations(result).orderBy("document", "arrival_seq", "event_id", "rule").limit(1).collect()
+        for row in first:
+            raise ValueError(f"document {row['document']!r}, row {row['arrival_seq']}: event {row['event_id']!r}: {row['rule']}")
+    return PaymentDocuments(documents, accounts, events, outcomes.filter("label >= 0"))
+
+
+def documents_violations(documents: PaymentDocuments) -> DataFrame:
+    """One row (document, event_id, arrival_seq, rule) per broken rule, document by document."""
+    none = F.lit(-1).cast("bigint").alias("arrival_seq")
+    records = documents.documents.groupBy("document").agg(F.count(F.lit(1)).alias("r"))
+    record_rules = records.select("document", F.lit("").alias("event_id"), none, _broken({
+        "a document needs a name": F.col("document").isNotNull(), "duplicate document name": F.col("r") == 1,
+    }))
+    sizes = documents.accounts.groupBy("document").agg(*_account_sizes())
+    counted = records.filter("document is not null").join(sizes, "document", "left").fillna(0, ["n", "d", "x"])
+    account_rules = counted.select("document", F.lit("accounts").alias("event_id"), none, _broken(_account_rules()))
+    before = Window.partitionBy("document").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = documents.events.withColumn("__latest", F.max("t").over(before)).join(
+        counted.select("document", F.col("n").alias("__accounts")), "document"
+    )
+    event_rules = ordered.select(
+        "document", F.col("id").alias("event_id"), F.col("seq").alias("arrival_seq"), _broken(_event_rules())
+    )
+    twice = (
+        documents.events.groupBy("document", "id")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("arrival_seq"))
+        .filter("n > 1")
+        .select("document", F.col("id").alias("event_id"), "arrival_seq", F.lit("duplicate event id").alias("rule"))
+    )
+    paid = documents.events.filter("kind = 'payment'").select("document", "id", F.col("t").alias("__t"))
+    outcome_rules = documents.outcomes.join(paid, ["document", "id"], "left").select(
+        "document", F.col("id").alias("event_id"), none, _broken(_outcome_rules())
+    )
+    parts = (account_rules, event_rules, twice, outcome_rules)
+    return reduce(DataFrame.unionByName, parts, record_rules)
+
+
+def write_payment_documents(documents: PaymentDocuments, path: str, per_file: int = 1000) -> None:
+    """Write documents as lines (see ``read_payment_documents``), at most about ``per_file`` of them in a file.
+
+    A document is one record, so its caller bounds it, for instance by an account or a stretch of time. Records are
+    put together in many tasks; outcomes are ``(document, id, label, available_at)``.
+    """
+    n = documents.documents.count()
+    fields = ["id", "kind", "t", "u", "v", "amount", "settled", "reference"]
+    keyed = lambda value: F.struct("id", value.alias("x"))
+    entries = lambda c: F.map_from_entries(F.array_sort(c))
+    accounts = documents.accounts.groupBy("document").agg(
+        F.array_sort(F.collect_list(F.struct("id", "external_id", "name"))).alias("accounts")
+    )
+    events = documents.events.groupBy("document").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", *fields))), lambda e: e.dropFields("seq")).alias("events")
     )
-    return (
-        account_rules.unionByName(event_rules).unionByName(twice).unionByName(outcome_rules)
+    outcomes = documents.outcomes.groupBy("document").agg(
+        entries(F.collect_list(keyed(F.col("label").cast("boolean")))).alias("truth"),
+        entries(F.collect_list(F.when(F.col("available_at").isNotNull(), keyed(F.col("available_at"))))).alias("label_available_at"),
     )
+    whole = documents.documents.withColumn("name", F.col("document"))
+    for part in (accounts, events, outcomes):
+        whole = whole.join(part, "document", "left")
+    whole.drop("document").repartition(max(1, -(-n // per_file))).write.json(path)
 
 
 def read_payment_csv(

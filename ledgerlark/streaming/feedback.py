@@ -39,6 +39,35 @@ def expired_feedback(events: DataFrame, outcomes: DataFrame, horizon: str) -> Da
     return events.select("event_id", "event_ts").join(known, "event_id").filter(late).select("event_id", "label", "available_ts")
 
 
+def stream_settled_feedback(events: DataFrame, outcomes: DataFrame, horizon: str, delay: str = "1 hour") -> DataFrame:
+    """Every known label of the stream exactly once: (event_id, label, available_ts, event_ts, state).
+
+    ``state`` is RELEASED for a label that becomes available from its event's time on and at most ``horizon`` later,
+    as soon as both have arrived. Any other label is EXPIRED, without ``event_ts``: it came too long after its event,
+    before it, or its event is not there. It comes out when the watermark of both streams, ``delay`` behind their latest
+    rows, shows that no event can match any more, and then leaves the state. So the state holds what lies
+    within horizon and delay, however long the stream runs. Rows more than ``delay`` late, and all before 1970, are
+    the matter of ``late_event_audit``. ``closing_feedback`` makes the rows that complete a stored stream.
+    """
+    known = outcomes.filter(F.col("label") >= 0).withColumnRenamed("event_id", "o_id")
+    left = known.withWatermark("available_ts", delay).alias("o")
+    right = events.select("event_id", "event_ts").withWatermark("event_ts", delay).alias("e")
+    matched = f"e.event_id = o.o_id and e.event_ts <= o.available_ts and o.available_ts <= e.event_ts + interval {horizon}"
+    state = F.when(F.col("event_id").isNull(), "EXPIRED").otherwise("RELEASED").alias("state")
+    joined = left.join(right, F.expr(matched), "left_outer")
+    return joined.select(F.col("o_id").alias("event_id"), "label", "available_ts", "event_ts", state)
+
+
+def closing_feedback(last_us: int, beyond_us: int) -> list[tuple[str, int, str, int]]:
+    """An event and an outcome (event_id, at_us, kind, label) beyond all others; behind them every other label is settled.
+
+    The ids are not null, as a join drops null keys before the watermark sees them. They are for the end of a
+    stream: the outcome itself stays in the state.
+    """
+    at = last_us + beyond_us
+    return [("closing:event", at, "event", -1), ("closing:outcome", at, "outcome", 0)]
+
+
 class AdaptiveCutoff(StatefulProcessor):
     """Warm-up, then a drifting cutoff per stream key, in request order.
 
@@ -110,7 +139,7 @@ def in_request_order(rows: DataFrame, path: str, step: Callable[[], None], order
     """
     n = rows.count()
     parts = max(least, -(-n // most))
-    cuts = sorted(set(rows.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if n else []
+    cuts = sorted(set(rows.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if n and parts > 1 else []
     for low, high in zip([None, *cuts], [*cuts, None]):
         inside = F.lit(True) if low is None else F.col(order) > low
         rows.filter(inside & (F.lit(True) if high is None else F.col(order) <= high)).write.mode("append").parquet(path)
