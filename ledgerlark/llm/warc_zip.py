@@ -29,6 +29,7 @@ from ledgerlark.session import scratch_dir
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PER_TASK = 64 << 20  # packed bytes that a reading task gets beyond the session's number of partitions
 MANIFEST = "package string, records long, bytes long"
 ENTRIES = "package string, ordinal long, position long, length long"
 RECORDS = (
@@ -287,8 +288,11 @@ def read_records(packages: DataFrame, run: int = 256) -> DataFrame:
         if rows:
             yield batch()
 
-    entries = read_index(packages).withColumn("__run", F.floor(F.col("ordinal") / run))
-    dealt = entries.repartition("package", "__run").sortWithinPartitions("package", "position")
+    # The index is tiny next to what it points at, so the number of tasks comes from the bytes of the records.
+    entries = stash(read_index(packages).withColumn("__run", F.floor(F.col("ordinal") / run)), "warc-index")
+    packed = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packed // PER_TASK))
+    dealt = entries.repartition(tasks, "package", "__run").sortWithinPartitions("package", "position")
     return dealt.select("package", "position", "length").mapInArrow(fetch, RECORDS)
 
 
