@@ -61,11 +61,11 @@ def contaminated_pairs(
     grams = item_shingles(items.select(item, text), text, item, width)
     sketch = stash(sketches(grams, item, threshold), "item-sketches")
     n_sketch = sketch.count()
-    places = shingles(docs.select(key, F.col(text).alias("__t")), F.col("__t"), width, key, "__t")
-    met = places.select(key, "__t", "h").join(small(sketch, n_sketch), "h")
-    candidates = stash(
-        met.select(key, F.md5("__t").alias("text_digest"), item).distinct(), "candidates"
-    )
+    # The digest goes with every shingle, not the text.
+    digested = docs.select(key, F.col(text).alias("__t"), F.md5(text).alias("text_digest"))
+    places = shingles(digested, F.col("__t"), width, key, "text_digest")
+    met = places.select(key, "text_digest", "h").join(small(sketch, n_sketch), "h")
+    candidates = stash(met.select(key, "text_digest", item).distinct(), "candidates")
     verified = _verify(docs.select(F.col(text).alias("__t")), candidates, grams, item, width)
     enough = verified.filter(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9))
     return candidates.join(enough, ["text_digest", item]).select(
