@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more training windows. Prefix sums of turn tokens place each turn in the window
-of its budget step; a window repeats the system turn and a limited stretch of the turns just before it. The
-loss mask covers assistant texts in the window that they are new in, so every target is trained once.
+A conversation becomes one or more training windows. Prefix sums of turn tokens place each turn in a cell of the
+budget; cells and the turns that cross their ends make turn-aligned windows that leave room for the system turn and
+a limited stretch of the turns just before, both repeated. The loss mask covers assistant texts in the window that they are new in, so every target is trained once.
 
 Template: ``<s>[INST]role[/INST]text</s>`` per turn. A backslash is inserted after the first character of every
 control string inside a role or text, and backslashes are doubled; so control strings in data are
@@ -51,15 +51,16 @@ def windows(
     ``formatted``, ``loss_from`` and ``loss_to`` (code point offsets of the target in it, equal without one),
     ``fresh`` (false for repeated turns).
 
-    A turn with t tokens before it in the conversation is new in window floor(t / step), where step = budget -
-    history; it is repeated in the next window if it starts within ``history`` tokens of that one's
-    beginning. The system turn (the first, if its role is system) is repeated in every window. Turns are never
-    cut, so a window exceeds the budget only by its last turn and the system turn. Tokens default to words
-    plus 4 for the marks. Null roles and texts are empty; the order is turn (null first), role, text; null
-    conversations are one conversation; repeated rows are turns of their own. No rows, no windows.
+    A conversation has cells of budget - history - (tokens of its system turn). A turn that lies in one cell is new in that
+    cell's window. One that crosses the end of a cell joins the window before if it fits there, else the one behind
+    if it fits there, else it is a window of its own. The system turn (the first, if its role is system) leads every
+    window. Repeated are the turns of the window before that start within ``history`` tokens of the new ones, and in any case
+    the last of them if the first new turn is an assistant's and the budget has room. So new, repeated and system turns keep to
+    the budget together. Turns are never cut: only a turn that is longer than a cell exceeds it, with what leads it.
+    Tokens default to words plus 4 for the marks. Null roles and texts are empty; the order is turn (null first), role, text;
+    null conversations are one conversation; repeated rows are turns of their own. No rows, no windows.
     """
-    step = budget - history
-    if not 0 <= history < step:
+    if not 0 <= history < budget - history:
         raise ValueError("history must be smaller than half the budget")
     clean = turns.select(
         F.col(conv).alias("conv_id"),
@@ -72,14 +73,15 @@ def windows(
     inside = Window.partitionBy("conv_id", "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rank = Window.partitionBy("conv_id", "__bucket").orderBy(*order)
     totals = clean.groupBy("conv_id", "__bucket").agg(
-        F.sum("__t").alias("__bt"), F.count(F.lit(1)).alias("__bn")
+        F.sum("__t").alias("__bt"), F.count(F.lit(1)).alias("__bn"), F.min(F.struct(*order, "__t")).alias("__first")
     )
     earlier = Window.partitionBy("conv_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         F.col("conv_id").alias("__c"), F.col("__bucket").alias("__b"),
         F.coalesce(F.sum("__bt").over(earlier), F.lit(0)).alias("__t0"),
         F.coalesce(F.sum("__bn").over(earlier), F.lit(0)).alias("__n0"),
-    )
+        F.first("__first").over(earlier.rowsBetween(Window.unboundedPreceding, 0)).alias("__first"),
+    ).withColumn("__lead", F.when(F.col("__first.role") == "system", F.col("__first.__t")).otherwise(0)).drop("__first")
     placed = (
         clean.withColumns({
             "__before": F.coalesce(F.sum("__t").over(inside), F.lit(0)),
@@ -88,25 +90,60 @@ def windows(
         .join(starts, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__bucket") == F.col("__b")))
         .withColumns({"__at": F.col("__t0") + F.col("__before"), "position": F.col("__n0") + F.col("__rank")})
     )
-    own = F.floor(F.col("__at") / step)
     system = (F.col("position") == 0) & (F.col("role") == "system")
-    shown = ["conv_id", "position", "role", "text", "__at", "__own", "__system"]
-    return _show(stash(placed.withColumns({"__own": own, "__system": system}).select(shown), "turns"), step, history)
-
-
-def _show(placed: DataFrame, step: int, history: int) -> DataFrame:
+    # The system turn takes no place of the cells, it leads every window.
+    laid = placed.withColumns({
+        "__system": system,
+        "__at": F.when(system, 0).otherwise(F.col("__at") - F.col("__lead")),
+        "__t": F.when(system, 0).otherwise(F.col("__t")),
+        "__step": F.greatest(F.lit(1), budget - history - F.col("__lead")),
+    })
+    cell = F.floor(F.col("__at") / F.col("__step"))
+    crosses = F.col("__at") + F.col("__t") > (cell + 1) * F.col("__step")
+    shown = ["conv_id", "position", "role", "text", "__at", "__t", "__lead", "__step", "__system", "__cell", "__crosses"]
+    rows = stash(laid.withColumns({"__cell": cell, "__crosses": crosses}).select(shown), "turns")
+    return _show(_own(rows), budget, history)
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """The window ``__own`` in which each turn is new: twice the cell, odd for a crossing turn that stands alone."""
+    tokens = lambda these: F.coalesce(F.sum(F.when(these, F.col("__t"))), F.lit(0))
+    cells = rows.groupBy("conv_id", "__cell").agg(
+        F.first("__step").alias("__step"), tokens(~F.col("__crosses")).alias("__in"), tokens(F.col("__crosses")).alias("__out"),
+        F.count_if(~F.col("__crosses") & ~F.col("__system")).alias("__n"),
+    )
+    back = (F.col("__n") == 0) | (F.col("__in") + F.col("__out") <= F.col("__step"))
+    sums = cells.withColumn("__back", back).withColumn("__all", F.col("__in") + F.when(F.col("__back"), F.col("__out")).otherwise(0))
+    following = Window.partitionBy("conv_id").orderBy("__cell")
+    ahead = F.col("__out") + F.lead("__all").over(following) <= F.col("__step")
+    target = F.when(F.col("__back"), 2 * F.col("__cell")).when(ahead, 2 * F.lead("__cell").over(following)).otherwise(2 * F.col("__cell") + 1)
+    targets = sums.select(F.col("conv_id").alias("__c"), F.col("__cell").alias("__k"), target.alias("__to"))
+    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__cell") == F.col("__k"))
+    own = F.when(F.col("__crosses"), F.col("__to")).otherwise(2 * F.col("__cell"))
+    return rows.join(targets, same).withColumn("__own", own).drop("__c", "__k", "__to")
+
+
+def _show(placed: DataFrame, budget: int, history: int) -> DataFrame:
     """Explode every turn into the windows that show it; only windows with a new turn exist."""
-    used = placed.select("conv_id", "__own").distinct()
+    used = placed.groupBy("conv_id", "__own").agg(
+        F.min("__at").alias("__from"), F.sum("__t").alias("__new"), F.min(F.struct("position", "role")).alias("__head")
+    )
     fresh = placed.withColumns({"window": F.col("__own"), "fresh": F.lit(True)})
-    # Repeated in the next window that exists, if the turn starts within history of where that one begins.
+    # Repeated in the next window that exists, as far as its history reaches.
     following = Window.partitionBy("conv_id").orderBy("__own")
     links = used.select(
-        F.col("conv_id").alias("__lc"), F.col("__own").alias("__lo"), F.lead("__own").over(following).alias("__next")
+        F.col("conv_id").alias("__lc"), F.col("__own").alias("__lo"),
+        *[F.lead(c).over(following).alias(f"__next{c}") for c in ("__own", "__from", "__new", "__head")],
     )
     same = F.col("conv_id").eqNullSafe(F.col("__lc")) & (F.col("__own") == F.col("__lo"))
-    linked = placed.join(links, same)
-    near = linked.filter(~F.col("__system") & (F.col("__at") >= F.col("__next") * step - history))
-    repeated = near.withColumns({"window": F.col("__next"), "fresh": F.lit(False)}).drop("__lc", "__lo", "__next")
+    prompt = (
+        (F.col("__next__head.role") == "assistant") & (F.col("position") + 1 == F.col("__next__head.position"))
+        & (F.col("__t") + F.col("__next__new") + F.col("__lead") <= budget)
+    )
+    near = (F.col("__at") >= F.col("__next__from") - history) | prompt
+    repeated = placed.join(links, same).filter(~F.col("__system") & near).withColumns(
+        {"window": F.col("__next__own"), "fresh": F.lit(False)}
+    )
     system = placed.filter("__system")
     later = used.select(F.col("conv_id").alias("__lc"), F.col("__own").alias("window"))
     retained = system.join(
@@ -129,7 +166,7 @@ def read_back(shown: DataFrame) -> DataFrame:
     """Digests per conversation, from the formatted text alone: ``n_turns``, ``turns_sha256``, ``loss_chars``,
     ``loss_sha256``, ``formatted_chars`` and ``n_windows``.
 
-    The rows of a conversation are read in order as a stream; a digest is the only state that is kept, so a
+    Conversation ids are read as whole numbers. The rows of a conversation are read in order as a stream; a digest is the only state that is kept, so a
     conversation may be of any length.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"

@@ -209,19 +209,43 @@ with turns as (
   select *, row_number() over o as position,
     coalesce(sum(t) over (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as ahead
   from sized window o as (partition by conv_id order by turn nulls first, role, text)
+), leads as (
+  select conv_id, sum(case when role = 'system' then t else 0 end) as lead from placed where position = 1 group by 1
+), laid as (
+  select p.*, lead, position = 1 and role = 'system' as is_system, greatest(1, 384 - lead) as step,
+    case when position = 1 and role = 'system' then 0 else ahead - lead end as spot,
+    case when position = 1 and role = 'system' then 0 else t end as n
+  from placed p join leads l on l.conv_id is not distinct from p.conv_id
+), celled as (
+  select *, floor(spot / step) as cell, spot + n > (floor(spot / step) + 1) * step as crosses from laid
+), cells as (
+  select conv_id, cell, any_value(step) as step, coalesce(sum(n) filter (not crosses), 0) as inside,
+    coalesce(sum(n) filter (crosses), 0) as outside, count(*) filter (not crosses and not is_system) as turns
+  from celled group by 1, 2
+), sums as (
+  select *, turns = 0 or inside + outside <= step as back from cells
+), ends as (
+  select conv_id, cell, case when back then 2 * cell
+    when outside + lead(inside + case when back then outside else 0 end) over c <= step then 2 * lead(cell) over c
+    else 2 * cell + 1 end as target
+  from sums window c as (partition by conv_id order by cell)
 ), owned as (
-  select *, floor(ahead / 384) as own from placed
+  select c.*, case when crosses then target else 2 * c.cell end as own
+  from celled c join ends e on e.conv_id is not distinct from c.conv_id and e.cell = c.cell
+), windows as (
+  select conv_id, own, min(spot) as start, sum(n) as fresh, min(position) as head, arg_min(role, position) as head_role from owned group by 1, 2
 ), used as (
-  select conv_id, own, lead(own) over (partition by conv_id order by own) as next
-  from (select distinct conv_id, own from owned)
+  select conv_id, own, lead(own) over w as next, lead(start) over w as start, lead(fresh) over w as fresh,
+    lead(head) over w as head, lead(head_role) over w as head_role
+  from windows window w as (partition by conv_id order by own)
 ), shown as (
   select conv_id, chars from owned
   union all
   select o.conv_id, chars from owned o join used u on u.conv_id is not distinct from o.conv_id and u.own = o.own
-  where not (position = 1 and role = 'system') and ahead >= next * 384 - 128
+  where not is_system and (spot >= start - 128 or (head_role = 'assistant' and position + 1 = head and n + fresh + o.lead <= 512))
   union all
   select o.conv_id, chars from owned o join used u on u.conv_id is not distinct from o.conv_id and u.own > o.own
-  where position = 1 and role = 'system'
+  where is_system
 ), lengths as (
   select conv_id, sum(chars)::bigint as formatted_chars from shown group by 1
 ), digests as (
