@@ -142,9 +142,9 @@ def scan_csv_files(spark, sf):
     )
 
 
-@query("validate_events", """select cast(o_orderkey as varchar) as event_id, 'fraud labels must be 0, 1 or unknown' as rule from orders where o_orderkey % 29 = 0 and o_orderkey % 31 <> 0
- union all select cast(o_orderkey as varchar), 'TX_AMOUNT must be finite and nonnegative' from orders where o_orderkey % 31 = 0
- union all select 'twice', 'duplicate event identity'""")
+@query("validate_events", """select cast(o_orderkey as varchar) as event_id, 'label-value' as rule from orders where o_orderkey % 29 = 0 and o_orderkey % 31 <> 0
+ union all select cast(o_orderkey as varchar), 'range TX_AMOUNT' from orders where o_orderkey % 31 = 0
+ union all select 'twice', 'event-id-repeated'""")
 def validate_events(spark, sf):
     orders = table(spark, sf, "orders")
     key = F.col("o_orderkey")
@@ -160,7 +160,7 @@ def validate_events(spark, sf):
         "bad",
     )
     parsed, descriptor = cl.read_parsed(spark, "handbook", path)
-    return cl.parse_violations(parsed, descriptor).filter("rule not like 'event has no outcome%'").select("event_id", "rule").distinct()
+    return cl.parse_violations(parsed, descriptor).filter("rule <> 'outcome-absent'").select("event_id", "rule").distinct()
 
 
 def _stream_of(spark, sf, graph=True):
@@ -323,8 +323,8 @@ DOCUMENT_SQL = """, d as (select * from pay where source is null or source <> de
 
 
 @query("document_violations", with_cte(PAY_EVENTS, DOCUMENT_SQL + """
- select event_id, 'times and amounts must be finite and nonnegative' as rule from d where seq % 101 = 0
- union all select event_id, 'outcome refers to an unknown payment' from d where kind = 'deposit' and seq % 50 = 0"""))
+ select event_id, 'time-or-amount' as rule from d where seq % 101 = 0
+ union all select event_id, 'outcome-unpaid' from d where kind = 'deposit' and seq % 50 = 0"""))
 def document_violations(spark, sf):
     document = _document(spark, sf)
     broken = document.events.withColumn("amount", F.when(F.col("seq") % 101 == 0, -1.0).otherwise(F.col("amount")))

@@ -119,9 +119,9 @@ def _account_sizes() -> list[Column]:
 def _account_rules() -> dict[str, Column]:
     span = (F.col("n") == F.col("d")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
     return {
-        "accounts must not be empty": F.col("n") > 0,
-        "account ids must be contiguous indices": (F.col("n") == 0) | span,
-        "duplicate external account identity": F.col("x") == F.col("n"),
+        "accounts-none": F.col("n") > 0,
+        "account-gaps": (F.col("n") == 0) | span,
+        "account-name-repeated": F.col("x") == F.col("n"),
     }
 
 
@@ -130,26 +130,32 @@ def _event_rules() -> dict[str, Column]:
     recipient = (F.col("v") >= 0) & (F.col("v") < F.col("__accounts"))
     finite = finite_number(F.col("t"), True).isNotNull() & finite_number(F.col("amount"), True).isNotNull()
     return {
-        "event ids must be nonempty": F.col("id") != "",
-        "times and amounts must be finite and nonnegative": finite,
-        "invalid event account index": sender & recipient & (F.col("u") != F.col("v")),
-        "invalid event kind": F.col("kind").isin("payment", "deposit", "report"),
-        "exactly payments have a sender": (F.col("kind") == "payment") == (F.col("u") >= 0),
-        "events must be chronological": F.coalesce(F.col("t") >= F.col("__latest"), F.lit(True)),
+        "event-id": F.col("id") != "",
+        "time-or-amount": finite,
+        "event-account": sender & recipient & (F.col("u") != F.col("v")),
+        "event-kind": F.col("kind").isin("payment", "deposit", "report"),
+        "sender-kind": (F.col("kind") == "payment") == (F.col("u") >= 0),
+        "event-order": F.coalesce(F.col("t") >= F.col("__latest"), F.lit(True)),
     }
 
 
 def _outcome_rules() -> dict[str, Column]:
     known = F.coalesce(F.col("label") >= 0, F.lit(False))
     return {
-        "outcome refers to an unknown payment": F.col("__t").isNotNull(),
-        "label availability requires a known outcome": F.col("available_at").isNull() | known,
-        "an outcome cannot be confirmed before the payment": F.coalesce(F.col("available_at") >= F.col("__t"), F.lit(True)),
+        "outcome-unpaid": F.col("__t").isNotNull(),
+        "availability-unlabelled": F.col("available_at").isNull() | known,
+        "availability-early": F.coalesce(F.col("available_at") >= F.col("__t"), F.lit(True)),
     }
 
 
 def document_violations(document: PaymentDocument) -> DataFrame:
-    """One row (event_id, arrival_seq, rule) per broken rule of a payment document."""
+    """One row (event_id, arrival_seq, rule) per broken rule of a payment document.
+
+    Codes of the accounts: ``accounts-none``, ``account-gaps`` (ids are not 0 to n - 1), ``account-name-repeated``; of an
+    event: ``event-id``, ``time-or-amount``, ``event-account``, ``event-kind``, ``sender-kind`` (a payment without a
+    sender or the reverse), ``event-order``, ``event-id-repeated``; of an outcome: ``outcome-unpaid`` (of no payment),
+    ``availability-unlabelled``, ``availability-early``.
+    """
     accounts, events, outcomes = document.accounts, document.events, document.outcomes
     size = accounts.agg(*_account_sizes())
     none = F.lit(-1).cast("bigint").alias("arrival_seq")
@@ -161,7 +167,7 @@ def document_violations(document: PaymentDocument) -> DataFrame:
         events.groupBy("id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("arrival_seq"))
         .filter("n > 1")
-        .select(F.col("id").alias("event_id"), "arrival_seq", F.lit("duplicate event id").alias("rule"))
+        .select(F.col("id").alias("event_id"), "arrival_seq", F.lit("event-id-repeated").alias("rule"))
     )
     paid = events.filter("kind = 'payment'").select("id", F.col("t").alias("__t"))
     outcome_rules = outcomes.join(paid, "id", "left").select(F.col("id").alias("event_id"), none, _broken(_outcome_rules()))
@@ -216,7 +222,7 @@ def documents_violations(documents: PaymentDocuments) -> DataFrame:
     none = F.lit(-1).cast("bigint").alias("arrival_seq")
     records = documents.documents.groupBy("document").agg(F.count(F.lit(1)).alias("r"))
     record_rules = records.select("document", F.lit("").alias("event_id"), none, _broken({
-        "a document needs a name": F.col("document").isNotNull(), "duplicate document name": F.col("r") == 1,
+        "document-unnamed": F.col("document").isNotNull(), "document-name-repeated": F.col("r") == 1,
     }))
     sizes = documents.accounts.groupBy("document").agg(*_account_sizes())
     counted = records.filter("document is not null").join(sizes, "document", "left").fillna(0, ["n", "d", "x"])
@@ -232,7 +238,7 @@ def documents_violations(documents: PaymentDocuments) -> DataFrame:
         documents.events.groupBy("document", "id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("arrival_seq"))
         .filter("n > 1")
-        .select("document", F.col("id").alias("event_id"), "arrival_seq", F.lit("duplicate event id").alias("rule"))
+        .select("document", F.col("id").alias("event_id"), "arrival_seq", F.lit("event-id-repeated").alias("rule"))
     )
     paid = documents.events.filter("kind = 'payment'").select("document", "id", F.col("t").alias("__t"))
     outcome_rules = documents.outcomes.join(paid, ["document", "id"], "left").select(
@@ -281,9 +287,9 @@ def read_payment_csv(
     numbered by first appearance in the file, senders before recipients."""
     required = ["id", "time", "sender", "recipient", "amount"]
     if any(key not in columns for key in required):
-        raise ValueError("columns must map id, time, sender, recipient and amount")
+        raise ValueError(f"columns: no column is given for {', '.join(k for k in required if k not in columns)}")
     if currency != "EUR":
-        raise ValueError("convert to EUR before loading payments")
+        raise ValueError(f"currency: amounts in {currency} go through convert_currency first")
     raw = scan_csv_files(spark, paths, list(columns.values()))
 
     def text(key: str):
@@ -471,9 +477,9 @@ def compose_episodes(
     The number of episodes is the length of the argument, so their bounds are collected.
     """
     if not episodes:
-        raise ValueError("at least one episode is required")
+        raise ValueError("episodes: the list is empty")
     if not 0 < gap_minutes < 1e9:
-        raise ValueError("the gap must be finite and positive")
+        raise ValueError(f"gap_minutes: {gap_minutes} is no length of time between episodes")
     stats = None
     for number, episode in enumerate(episodes, 1):
         size = episode.accounts.agg(F.count(F.lit(1)).alias("accounts"))

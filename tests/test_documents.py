@@ -43,15 +43,15 @@ def test_lines_and_files(spark, tmp_path):
 
 
 @pytest.mark.parametrize("bad, rule", [
-    (document("two", times=(2.0, 1.0)), "document 'two', row 1: event 'e1': events must be chronological"),
-    (document("one"), "duplicate document name"),
-    (document(None), "a document needs a name"),
-    (document("two", accounts=[]), "document 'two', row -1: event 'accounts': accounts must not be empty"),
-    (document("two", accounts=[{"id": 1}, {"id": 2}]), "contiguous"),
-    (document("two", accounts=[{"id": 0, "external_id": "x"}, {"id": 1, "external_id": "x"}]), "duplicate external"),
-    (document("two", truth={"e9": "true"}, label_available_at={}), "unknown payment"),
-    (document("two", label_available_at={"e1": 9.0}), "requires a known outcome"),
-    (document("two", label_available_at={"e0": 0.5}), "before the payment"),
+    (document("two", times=(2.0, 1.0)), "document 'two', row 1: event 'e1': event-order"),
+    (document("one"), "document-name-repeated"),
+    (document(None), "document-unnamed"),
+    (document("two", accounts=[]), "document 'two', row -1: event 'accounts': accounts-none"),
+    (document("two", accounts=[{"id": 1}, {"id": 2}]), "account-gaps"),
+    (document("two", accounts=[{"id": 0, "external_id": "x"}, {"id": 1, "external_id": "x"}]), "account-name-repeated"),
+    (document("two", truth={"e9": "true"}, label_available_at={}), "outcome-unpaid"),
+    (document("two", label_available_at={"e1": 9.0}), "availability-unlabelled"),
+    (document("two", label_available_at={"e0": 0.5}), "availability-early"),
 ])
 def test_rules_name_the_document(spark, tmp_path, bad, rule):
     with pytest.raises(ValueError, match=rule):

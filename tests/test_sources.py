@@ -16,36 +16,43 @@ def write(tmp_path, name, lines):
     return path
 
 
-def test_typed_identity_ties_and_unknown_label(spark, tmp_path):
-    path = write(tmp_path, "h.csv", [HEADER, "2,x,42,42,5.0,10,1,0", "1,x,42,7,2.5,10,,0", "0,x,1,7,1.0,3,0,2"])
-    stream = cl.read_handbook(spark, path)
+def test_customer_and_terminal_of_one_name_stay_apart(spark, tmp_path):
+    lines = [f"t{i},x,k{i % 3},k{(i + 1) % 3},{i}.25,{60 * (i // 4)},{'' if i % 5 == 4 else i % 2},0" for i in (7, 3, 11, 0, 8, 4)]
+    stream = cl.read_handbook(spark, write(tmp_path, "h.csv", [HEADER, *lines]))
     rows = stream.events.orderBy("event_us", "arrival_seq").collect()
-    assert [r["event_id"] for r in rows] == ["0", "2", "1"]
-    kinds = {(e["kind"], e["id"]) for e in rows[1]["entities"]}
-    assert kinds == {("customer", "42"), ("terminal", "42")}
+    assert [r["event_id"] for r in rows] == ["t3", "t0", "t7", "t4", "t11", "t8"]  # by time, then as they arrived
+    for r in rows:
+        i = int(r["event_id"][1:])
+        assert [(e["kind"], e["id"], e["role"]) for e in r["entities"]] == [
+            ("customer", f"k{i % 3}", "source"), ("terminal", f"k{(i + 1) % 3}", "destination")
+        ]
+        assert r["features"] == {"amount": i + 0.25}
     labels = {r["event_id"]: r["label"] for r in stream.outcomes.collect()}
-    assert labels == {"0": 0, "2": 1, "1": -1}
+    assert labels == {"t0": 0, "t3": 1, "t4": -1, "t7": 1, "t8": 0, "t11": 1}
 
 
 @pytest.mark.parametrize(
-    "line, message",
+    "line, rule",
     [
-        ("1,x,1,1,nan,5,0,0", "TX_AMOUNT"),
-        ("1,x,,1,2,5,0,0", "CUSTOMER_ID"),
-        ("1,x,1,1,2,5,2,0", "labels"),
-        ("1,x,1,1,2,5,0", "width"),
-        ("0,x,1,1,2,5,0,0", "duplicate"),
+        ("n,x,c,t,-0.01,90,1,0", "range TX_AMOUNT"),
+        ("n,x,c,t,1e999,90,1,0", "range TX_AMOUNT"),
+        ("n,x,c,t,6,soon,1,0", "range TX_TIME_SECONDS"),
+        (" ,x,c,t,6,90,1,0", "blank TRANSACTION_ID"),
+        ("n,x,c,  ,6,90,1,0", "blank TERMINAL_ID"),
+        ("n,x,c,t,6,90,-3,0", "label-value"),
+        ("n,x,c,t,6,90,1,0,0", "row-width"),
+        ("first,x,c,t,6,90,1,0", "event-id-repeated"),
     ],
 )
-def test_bad_rows_are_refused(spark, tmp_path, line, message):
-    path = write(tmp_path, "bad.csv", [HEADER, "0,x,1,7,1.0,3,0,2", line])
-    with pytest.raises(ValueError, match=message):
+def test_first_broken_rule_is_named(spark, tmp_path, line, rule):
+    path = write(tmp_path, "bad.csv", [HEADER, "first,x,c1,t1,8.5,30,1,2", line, "last,x,c2,t2,9,95,0,0"])
+    with pytest.raises(ValueError, match=rule):
         cl.read_handbook(spark, path)
 
 
-def test_missing_columns(spark, tmp_path):
-    path = write(tmp_path, "m.csv", ["TRANSACTION_ID,CUSTOMER_ID", "1,2"])
-    with pytest.raises(ValueError, match="missing CSV columns"):
+def test_columns_that_a_header_lacks_are_listed(spark, tmp_path):
+    path = write(tmp_path, "m.csv", ["TX_AMOUNT,TERMINAL_ID,TRANSACTION_ID", "4,t,a"])
+    with pytest.raises(ValueError, match="header-lacks CUSTOMER_ID, TX_TIME_SECONDS"):
         cl.read_handbook(spark, path)
 
 
@@ -67,7 +74,7 @@ def test_document_rules(spark, tmp_path):
     )
     good = dc.read_payment_json(spark, write(tmp_path, "g.json", [text % "3"]))
     assert good.outcomes.first()["label"] == 1 and good.events.count() == 2
-    with pytest.raises(ValueError, match="confirmed before"):
+    with pytest.raises(ValueError, match="availability-early"):
         dc.read_payment_json(spark, write(tmp_path, "b.json", [text % "0.5"]))
 
 
