@@ -4,7 +4,7 @@ A document's own evidence is the log likelihood ratio of its features (words, an
 under naive Bayes counts of all labelled documents. A site's evidence is a Beta posterior: the host
 level is shrunk towards the global rate and the path level towards its host, each with a strength that
 is estimated from the spread between sites. The posterior log odds of a document are those of its path
-plus its own evidence.
+plus its own evidence. The evidence leaves the document's own label out; the counts of its site keep it.
 """
 
 from __future__ import annotations
@@ -13,18 +13,25 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import small, stash, without
+from ledgerlark.llm.common import in_map, key_map, small, stash, without
 
 HEADS = ("quality", "toxic")
 OUTPUTS = ("quality_evidence", "toxic_evidence", "p_quality", "p_toxic", "kept")
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 300_000  # distinct features a task holds before it passes its counts on
 _SYMBOLS = b"#*$%&|<>"
+#: The most frequent features of a model, whose weights every task loads; the weights of the others are joined.
+LOADED = 100_000
+_SLICES = 1 << 16  # of the hash range in which the training sample ends
+_UNIT = 1e9  # weights are whole numbers of billionths, whose sums depend on no order
 
 
 def features(text: str | None) -> set[str]:
@@ -87,62 +94,168 @@ def clean_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def training_sample(marks: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` of the labelled keys, those with the smallest hashes: the same ones in every run."""
-    return marks.orderBy(F.xxhash64(key), key).limit(most)
+    """At most ``most`` of the labelled keys, those with the smallest hashes: the same ones in every run.
 
+    A count gives the range of hashes in which the sample must end, counts of its slices (a fixed number of rows)
+    give the slice; no task sorts or holds the sample.
+    """
+    n = marks.count()
+    if n <= most:
+        return marks
+    reach = 1.5 * most / n
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    near = marks.withColumn("__slice", F.floor(place / reach * _SLICES)).filter(F.col("__slice") < _SLICES)
+    sizes = {r["__slice"]: r["count"] for r in near.groupBy("__slice").count().collect()}
+    last, held = -1, 0
+    while last + 1 < _SLICES and held + sizes.get(last + 1, 0) <= most:
+        last += 1
+        held += sizes.get(last, 0)
+    return near.filter(F.col("__slice") <= last).drop("__slice")
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """Counts of a fitted model: ``whole`` documents by label pair, and a table (feature, n0..n3, quality, toxic) of
+    the features that count; the last two columns tell for which head."""
+
+    whole: tuple[int, ...]
+    table: DataFrame
+
+
+def _pairs(head: str) -> tuple[list[int], list[int]]:
+    """Label pairs in which the head's label is 1, and those in which it is 0."""
+    yes = [2, 3] if head == "quality" else [1, 3]
+    return yes, [p for p in range(4) if p not in yes]
 
-def fit_evidence(labelled: DataFrame, text: str = "text", least_gain: float = 30.0, most: int = 100_000) -> dict:
-    """Naive Bayes weights {feature: (quality, toxic)} from all rows with ``__quality`` and ``__toxic``.
 
-    A feature counts where its likelihood-ratio statistic passes ``least_gain`` (chance gives it to a
-    feature about once in 20 million); the ``most`` strongest make the model, which bounds what every task
-    loads. Counts are grouped sums over all labelled documents.
+def fit_evidence(labelled: DataFrame, text: str = "text", least_gain: float = 30.0) -> Evidence | None:
+    """Naive Bayes counts of all rows with ``__pair``; None without any.
+
+    A feature counts for a head where its likelihood-ratio statistic passes ``least_gain`` (chance gives it to a
+    feature about once in 20 million). Counts are grouped sums over all labelled documents, and every such feature
+    is in the model, however many there are.
     """
-    pair = (2 * F.col("__quality") + F.col("__toxic")).cast("int")
-    counted = labelled.select(text, pair.alias("pair")).mapInArrow(_count_features, "feature string, pair int, n long")
+    counted = labelled.select(text, "__pair").mapInArrow(_count_features, "feature string, pair int, n long")
     sums = [F.sum(F.when(F.col("pair") == p, F.col("n")).otherwise(0)).alias(f"n{p}") for p in range(4)]
     table = stash(counted.groupBy("feature").agg(*sums), "features")
-    whole = table.filter("feature = ''").first()
+    whole = table.filter("feature = ''").select("n0", "n1", "n2", "n3").first()
     if whole is None:
-        return {}
-    weights, gains = [], []
-    for yes in ([2, 3], [1, 3]):  # pairs in which the head's label is 1
-        no = [p for p in range(4) if p not in yes]
-        n1, n0 = (float(sum(whole[f"n{p}"] for p in side)) for side in (yes, no))
+        return None
+    counts: dict[str, Column] = {}
+    for head in HEADS:
+        yes, no = _pairs(head)
+        n1, n0 = (float(sum(whole[p] for p in side)) for side in (yes, no))
         k1, k0 = (sum(F.col(f"n{p}") for p in side) for side in (yes, no))
-        weight = F.log((k1 + 0.5) / (n1 + 1)) - F.log((k0 + 0.5) / (n0 + 1))
-        cells = [(k1, n1, n1), (k0, n0, n0), (n1 - k1, n1, n1), (n0 - k0, n0, n0)]
+        cells = [(k1, n1), (k0, n0), (n1 - k1, n1), (n0 - k0, n0)]
         rate = (k1 + k0) / (n1 + n0)
         gain = F.lit(0.0)
-        for (k, n, _), r in zip(cells, (rate, rate, 1 - rate, 1 - rate)):
+        for (k, n), r in zip(cells, (rate, rate, 1 - rate, 1 - rate)):
             gain = gain + F.when((k > 0) & (r * n > 0), 2 * k * F.log(k / (r * n))).otherwise(0.0)
-        gain = F.when(F.lit(n1 * n0 > 0), gain).otherwise(0.0)
-        weights.append(F.when(gain > least_gain, weight).otherwise(0.0))
-        gains.append(gain)
-    best = (
-        table.filter("feature <> ''")
-        .select("feature", weights[0].alias("q"), weights[1].alias("t"), F.greatest(*gains).alias("gain"))
-        .filter(F.col("gain") > least_gain)
-        .orderBy(F.desc("gain"), "feature")
-        .limit(most)
+        counts[head] = F.lit(n1 * n0 > 0) & (gain > least_gain)
+    table = table.filter("feature <> ''").withColumns(counts).filter("quality or toxic")
+    return Evidence(tuple(whole), stash(table, "model"))
+
+
+def weight(head: str, counts: Sequence[int], whole: Sequence[int]) -> int:
+    """Log likelihood ratio of a feature in billionths."""
+    (k1, k0), (n1, n0) = (
+        [sum(c[p] for p in side) for side in _pairs(head)] for c in (counts, whole)
     )
-    return {r["feature"]: (r["q"], r["t"]) for r in best.collect()}
+    return round(_UNIT * (math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))))
+
+
+def _weight_column(head: str, whole: Sequence[int]) -> Column:
+    """``weight`` of the counts n0..n3 without one document of the label pair ``__pair`` (-1: without none)."""
+    own = [(F.col("__pair") == p).cast("int") for p in range(4)]
 
+    def share(side: list[int]) -> Column:
+        k, n = sum(F.col(f"n{p}") - own[p] for p in side), sum(whole[p] - own[p] for p in side)
+        return F.log((k + 0.5) / (n + 1))
 
-def evidence(text: Column, model: dict, spark) -> Column:
-    """[quality, toxic] log likelihood ratios of a text."""
-    shared = spark.sparkContext.broadcast(model)
+    yes, no = _pairs(head)
+    return F.when(F.col(head), F.rint(_UNIT * (share(yes) - share(no))).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    @F.arrow_udf("array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        weights = shared.value
-        out = []
-        for t in texts:
-            hits = [weights[f] for f in sorted(features(t.as_py()) & weights.keys())]
-            out.append([math.fsum(h[0] for h in hits), math.fsum(h[1] for h in hits)])
-        return pa.array(out, pa.list_(pa.float64()))
 
-    return of(text)
+def _loaded_evidence(text: Column, pair: Column, model: Evidence, rows: list, spark) -> Column:
+    """[quality, toxic] sums of the loaded features, in billionths."""
+    whole = model.whole
+    loaded = {}
+    for feature, *counts, quality, toxic in rows:
+        heads = (quality, toxic)
+        full = [weight(h, counts, whole) if on else 0 for h, on in zip(HEADS, heads)]
+        loaded[feature] = (*full, tuple(counts), heads)
+    shared = spark.sparkContext.broadcast(loaded)
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+        known, out = shared.value, []
+        for t, pair in zip(texts, pairs.to_pylist()):
+            hits = [known[f] for f in features(t.as_py()) & known.keys()]
+            if pair < 0:
+                out.append([sum(h[0] for h in hits), sum(h[1] for h in hits)])
+                continue
+            less = tuple(n - (p == pair) for p, n in enumerate(whole))
+            sums = [0, 0]
+            for _, _, counts, heads in hits:
+                own = tuple(n - (p == pair) for p, n in enumerate(counts))
+                for i, head in enumerate(HEADS):
+                    sums[i] += weight(head, own, less) if heads[i] else 0
+            out.append(sums)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of(text, pair)
+
+
+def _joined_evidence(docs: DataFrame, text: str, model: Evidence, rest: DataFrame) -> DataFrame:
+    """(__text, __pair, __q, __t): sums of the features in ``rest`` per distinct text and label pair.
+
+    Only features that a bit map of fixed size may know leave the Python workers; what remains are rare features, so no
+    key of the join is hot, and copies of a text fall together before it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(key_map(rest.select(F.xxhash64("feature").alias("h")), "h"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for t, name, pair in zip(*batch.columns):
+                names = sorted(features(t.as_py()))
+                keys = np.array([xxhash.xxh64_intdigest(f, seed=42) for f in names], dtype=np.uint64)
+                names = [f for f, hit in zip(names, in_map(shared.value, keys)) if hit]
+                for column, values in zip(out, ([name.as_py()] * len(names), [pair.as_py()] * len(names), names)):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())],
+                names=["__text", "__pair", "feature"],
+            )
+
+    rows = docs.select(text, "__text", "__pair").mapInArrow(found, "__text string, __pair int, feature string").distinct()
+    sums = [F.sum(_weight_column(h, model.whole)).alias(f"__{h[0]}") for h in HEADS]
+    return rows.join(rest, "feature").groupBy("__text", "__pair").agg(*sums)
+
+
+def with_evidence(docs: DataFrame, text: str, model: Evidence | None) -> DataFrame:
+    """The documents (with ``__pair``: the label pair with which they were fitted, else -1) without their text and with both
+    log likelihood ratios; what a document's own label gave to the counts is left out (which features count at all is
+    decided once, with all of them)."""
+    names = [f"{h}_evidence" for h in HEADS]
+    if model is None:
+        return docs.drop(text).withColumns({n: F.lit(0.0) for n in names})
+    total = sum(F.col(f"n{p}") for p in range(4))
+    rows, loaded, rest = model.table.count(), model.table, None
+    if rows > LOADED:
+        ordered = model.table.orderBy(F.desc(total), "feature").limit(LOADED)
+        loaded = stash(ordered, "model-loaded")
+        rest = stash(model.table.join(loaded.select("feature"), "feature", "left_anti"), "model-joined")
+    listed = [tuple(r) for r in loaded.select("feature", *[f"n{p}" for p in range(4)], *HEADS).collect()]  # at most LOADED
+    mine = _loaded_evidence(F.col(text), F.col("__pair"), model, listed, docs.sparkSession)
+    if rest is None:
+        sums = docs.withColumn("__e", mine).drop(text)
+        return sums.withColumns({n: F.col("__e")[i] / _UNIT for i, n in enumerate(names)}).drop("__e")
+    named = docs.withColumn("__text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    other = _joined_evidence(named, text, model, rest)
+    sums = named.withColumn("__e", mine).drop(text).join(other, ["__text", "__pair"], "left")
+    both = {n: (F.col("__e")[i] + F.coalesce(F.col(f"__{n[0]}"), F.lit(0))) / _UNIT for i, n in enumerate(names)}
+    return sums.withColumns(both).drop("__e", "__q", "__t", "__text")
 
 
 def site_posteriors(scored: DataFrame, sites: Sequence[str], head: str) -> tuple[list[DataFrame], Column]:
@@ -199,19 +312,17 @@ def classify(
     ``sites`` name the host and, inside it, path levels, from coarse to fine; a null site is a site of its
     own. Kept are documents with p_quality of at least ``cutoff`` and p_toxic below it. The evidence is fitted on
     at most ``train_rows`` labelled documents, whose keys are broadcast, so texts are not shuffled; all labels
-    and all documents count for the sites. A null or empty text
-    has only style evidence. Without any labels both evidences are 0 and both rates 0.5. Repeated rows return
+    and all documents count for the sites. A document's evidence leaves its own label out. A null or
+    empty text has only style evidence. Without any labels both evidences are 0 and both rates 0.5. Repeated rows return
     a row each; a repeated key with labels takes them for each row; an empty table returns no rows.
     """
-    spark = docs.sparkSession
-    marks = clean_labels(labels, key)
+    marks = stash(clean_labels(labels, key), "labels")
     plain = without(docs, *OUTPUTS, "__quality", "__toxic").select(key, *sites, text)
-    sample = stash(training_sample(marks, key, train_rows), "training-keys")
+    pair = (2 * F.col("__quality") + F.col("__toxic")).cast("int").alias("__pair")
+    sample = stash(training_sample(marks, key, train_rows).select(key, pair), "training-keys")
+    paired = plain.join(F.broadcast(sample), key, "left").withColumn("__pair", F.coalesce("__pair", F.lit(-1)))
     model = fit_evidence(plain.join(F.broadcast(sample), key), text, **fit)  # at most train_rows narrow rows
-    scored = plain.withColumn("__e", evidence(F.col(text), model, spark)).select(
-        key, *sites, F.col("__e")[0].alias("quality_evidence"), F.col("__e")[1].alias("toxic_evidence")
-    )
-    scored = stash(scored, "evidence").join(marks, key, "left")
+    scored = stash(with_evidence(paired, text, model).drop("__pair"), "evidence").join(marks, key, "left")
     scored = stash(scored, "evidence-labelled")
     out = scored
     for head in HEADS:
