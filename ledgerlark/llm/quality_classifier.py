@@ -177,30 +177,25 @@ def _weight_column(head: str, whole: Sequence[int]) -> Column:
 
 
 def _loaded_evidence(text: Column, pair: Column, model: Evidence, rows: list, spark) -> Column:
-    """[quality, toxic] sums of the loaded features, in billionths."""
-    whole = model.whole
-    loaded = {}
+    """[quality, toxic] sums of the loaded features, in billionths.
+
+    A weight without one document depends on the document's label pair alone, so there are five of each.
+    """
+    loaded: dict[int, dict[str, tuple[int, int]]] = {pair: {} for pair in range(-1, 4)}
     for feature, *counts, quality, toxic in rows:
-        heads = (quality, toxic)
-        full = [weight(h, counts, whole) if on else 0 for h, on in zip(HEADS, heads)]
-        loaded[feature] = (*full, tuple(counts), heads)
+        for pair, weights in loaded.items():
+            if pair < 0 or counts[pair]:  # else no document of the pair has it
+                own, whole = ([n - (p == pair) for p, n in enumerate(c)] for c in (counts, model.whole))
+                weights[feature] = tuple(weight(h, own, whole) if on else 0 for h, on in zip(HEADS, (quality, toxic)))
     shared = spark.sparkContext.broadcast(loaded)
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array, pairs: pa.Array) -> pa.Array:
-        known, out = shared.value, []
+        out = []
         for t, pair in zip(texts, pairs.to_pylist()):
+            known = shared.value[pair]
             hits = [known[f] for f in features(t.as_py()) & known.keys()]
-            if pair < 0:
-                out.append([sum(h[0] for h in hits), sum(h[1] for h in hits)])
-                continue
-            less = tuple(n - (p == pair) for p, n in enumerate(whole))
-            sums = [0, 0]
-            for _, _, counts, heads in hits:
-                own = tuple(n - (p == pair) for p, n in enumerate(counts))
-                for i, head in enumerate(HEADS):
-                    sums[i] += weight(head, own, less) if heads[i] else 0
-            out.append(sums)
+            out.append([sum(h[0] for h in hits), sum(h[1] for h in hits)])
         return pa.array(out, pa.list_(pa.int64()))
 
     return of(text, pair)
