@@ -181,11 +181,11 @@ def _loaded_evidence(text: Column, pair: Column, model: Evidence, rows: list, sp
 
     A weight without one document depends on the document's label pair alone, so there are five of each.
     """
-    loaded: dict[int, dict[str, tuple[int, int]]] = {pair: {} for pair in range(-1, 4)}
+    loaded: dict[int, dict[str, tuple[int, ...]]] = {left: {} for left in range(-1, 4)}
     for feature, *counts, quality, toxic in rows:
-        for pair, weights in loaded.items():
-            if pair < 0 or counts[pair]:  # else no document of the pair has it
-                own, whole = ([n - (p == pair) for p, n in enumerate(c)] for c in (counts, model.whole))
+        for left, weights in loaded.items():
+            if left < 0 or counts[left]:  # else no document of the pair has it
+                own, whole = ([n - (p == left) for p, n in enumerate(c)] for c in (counts, model.whole))
                 weights[feature] = tuple(weight(h, own, whole) if on else 0 for h, on in zip(HEADS, (quality, toxic)))
     shared = spark.sparkContext.broadcast(loaded)
 
