@@ -92,3 +92,27 @@ def test_components_long_path(spark):
     edges = spark.createDataFrame([(0, i, i + 1) for i in range(200)], "ctx int, a int, b int")
     rows = gr.components(edges).collect()
     assert len(rows) == 201 and {r["root"] for r in rows} == {0}
+
+
+def test_walks_next_to_hubs_carry_no_contact_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    kept, sizes = tg.written, []
+
+    def measured(df):
+        table = kept(df)
+        sizes.append(table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return table
+
+    monkeypatch.setattr(tg, "written", measured)
+    pairs = [(f"hub{h:02d}", f"user{u:03d}") for h in range(20) for u in range(600)]
+    contacts = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "lo string, hi string, us bigint")
+    walks = spark.createDataFrame(
+        [(u, f"user{u:03d}", f"hub{u % 20:02d}", 20_000) for u in range(100)], "walk bigint, start string, target string, us bigint"
+    )
+    rows = tg.bounded_ppr(contacts, walks).collect()
+    for row in rows[::20]:
+        exact = oracles.exact_ppr(set(pairs), row["start"])[row["target"]]
+        assert -1e-12 <= exact - row["value"] <= row["error"] + 1e-12
+    # Each walk uses up its budget in the first hub; the lists of the other hubs were 7 MB before.
+    assert len(rows) == 100 and sum(sizes) < 3_000_000
