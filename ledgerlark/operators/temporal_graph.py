@@ -90,8 +90,10 @@ def pagerank_snapshots(
     """All snapshots at once: (snap, node, rank) and their certificates (snap, error).
 
     Snapshot sizes grow geometrically, so together they hold about eleven times the edges. A
-    snapshot stops when its L1 bound d/(1-d) * change meets the tolerance. The out-edges of a hub
-    are spread over salts.
+    snapshot stops when its L1 bound d/(1-d) * change meets the tolerance. Accounts that never receive all have the
+    same rank in a snapshot, and what they send is that rank times a sum of 1 / out-degree that never changes. So the
+    loop only carries accounts that receive and the edges among them; the others are one number of each snapshot.
+    The out-edges of a hub are spread over salts.
     """
     spark = edges.sparkSession
     times = [t for t, _ in schedule]
@@ -103,30 +105,48 @@ def pagerank_snapshots(
         )
     # First snapshot that contains an edge: the first snapshot time after the edge.
     since = _snapshot_of(times, F.col("us")) + 1
-    member = edges.withColumn("__k", since).filter(F.col("__k") < len(times))
+    member = edges.withColumn("__k", since).filter(F.col("__k") < len(times)).select("src", "dst", "__k")
     last = len(times) - 1
-    snap_edges = member.select(
-        "src", "dst", F.explode(F.sequence(F.col("__k"), F.lit(last))).alias("snap")
+    ends = member.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("src").alias("node"), F.lit(0).alias("in"), "__k"),
+                F.struct(F.col("dst").alias("node"), F.lit(1).alias("in"), "__k"),
+            )
+        ).alias("e")
     )
-    degrees = snap_edges.groupBy("snap", "src").agg(F.count(F.lit(1)).alias("deg"))
+    nodes = written(
+        ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.__k").alias("first"), (F.max("e.in") == 1).alias("receives"))
+    )
+    in_snaps = nodes.withColumn("snap", F.explode(F.sequence(F.col("first"), F.lit(last))))
+    sizes = in_snaps.groupBy("snap").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("receives")).alias("quiet"))
+    marked = written(member.join(nodes.select(F.col("node").alias("src"), "receives"), "src"))
+
+    def with_degrees(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        snap_edges = part.select("src", "dst", F.explode(F.sequence(F.col("__k"), F.lit(last))).alias("snap"))
+        degrees = snap_edges.groupBy("snap", "src").agg(F.count(F.lit(1)).alias("deg"))
+        return snap_edges.join(degrees, ["snap", "src"]), degrees
+
+    sent, degrees = with_degrees(marked.filter("receives"))
     salts = F.floor(F.col("deg") / hub_edges).cast("int")
-    links = cut_lineage(
-        snap_edges.join(degrees, ["snap", "src"]).select(
-            "snap", "src", "dst", F.pmod(F.xxhash64("dst"), salts + 1).cast("int").alias("salt")
-        )
+    links = written(
+        sent.select("snap", "src", "dst", F.pmod(F.xxhash64("dst"), salts + 1).cast("int").alias("salt"))
     )
-    nodes = links.select("snap", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sizes = nodes.groupBy("snap").agg(F.count(F.lit(1)).alias("n"))
-    state = (
-        nodes.join(F.broadcast(sizes), "snap")  # one row per snapshot, logarithmic in the edges
+    # What the accounts that never receive send to a node, as a multiple of their rank.
+    quiet_sent, _ = with_degrees(marked.filter(~F.col("receives")))
+    pushed = quiet_sent.groupBy("snap", F.col("dst").alias("node")).agg(F.sum(F.lit(1.0) / F.col("deg")).alias("push"))
+    state = written(
+        in_snaps.filter("receives").select("snap", "node")
+        .join(F.broadcast(sizes), "snap")  # one row per snapshot, logarithmic in the edges
         .join(degrees.withColumnRenamed("src", "node"), ["snap", "node"], "left")
+        .join(pushed, ["snap", "node"], "left")
         .select(
-            "snap", "node", "n", F.coalesce("deg", F.lit(0)).alias("deg"),
-            (F.lit(1.0) / F.col("n")).alias("rank"),
+            "snap", "node", "n", "quiet", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("push", F.lit(0.0)).alias("push"),
+            (F.lit(1.0) / F.col("n")).alias("rank"), (F.lit(1.0) / F.col("n")).alias("base"),
         )
     )
-    state = cut_lineage(state)
     factor = damping / (1 - damping)
+    fixed = ["snap", "node", "n", "quiet", "deg", "push"]
     errors: dict[int, float] = {k: 2.0 for k in range(len(times))}
     settled: list[DataFrame] = []
     for step in range(1, rounds + 1):
@@ -142,33 +162,38 @@ def pagerank_snapshots(
             .groupBy("snap", F.col("dst").alias("node"))
             .agg(F.sum("share").alias("inbound"))
         )
+        # Every account without out-edges receives.
         dangling = state.groupBy("snap").agg(
             F.sum(F.when(F.col("deg") == 0, F.col("rank")).otherwise(0.0)).alias("loose")
         )
+        arrived = F.coalesce("inbound", F.lit(0.0)) + F.col("push") * F.col("base")
         updated = (
             state.join(inbound, ["snap", "node"], "left")
             .join(F.broadcast(dangling), "snap")  # one row per snapshot
-            .withColumn(
-                "new",
-                F.lit(damping) * F.coalesce("inbound", F.lit(0.0))
-                + (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) / F.col("n"),
-            )
+            .withColumn("new_base", (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) / F.col("n"))
+            .withColumn("new", F.lit(damping) * arrived + F.col("new_base"))
         )
-        updated = cut_lineage(updated.select("snap", "node", "n", "deg", "rank", "new"))
-        state = updated.select("snap", "node", "n", "deg", F.col("new").alias("rank"))
+        updated = written(updated.select(*fixed, "rank", "base", "new", "new_base"))
+        state = updated.select(*fixed, F.col("new").alias("rank"), F.col("new_base").alias("base"))
         if step % check_every == 0 or step == rounds:
-            changes = updated.groupBy("snap").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("change"))
+            moved = F.sum(F.abs(F.col("new") - F.col("rank")))
+            moved_base = F.max(F.col("quiet") * F.abs(F.col("new_base") - F.col("base")))
+            changes = updated.groupBy("snap").agg((moved + moved_base).alias("change"))
             for row in changes.collect():  # one row per snapshot
                 errors[row["snap"]] = min(2.0, factor * row["change"] + 1e-14)
             # Settled snapshots leave the loop.
             active = [k for k, e in errors.items() if e > tolerance]
-            settled.append(state.filter(~F.col("snap").isin(active)).select("snap", "node", "rank"))
+            settled.append(state.filter(~F.col("snap").isin(active)).select("snap", "node", "rank", "base"))
             state = state.filter(F.col("snap").isin(active))
             if not active:
                 break
-    ranks = state.select("snap", "node", "rank")
+    found = state.select("snap", "node", "rank", "base")
     for part in settled:
-        ranks = ranks.unionByName(part)
+        found = found.unionByName(part)
+    bases = found.groupBy("snap").agg(F.max("base").alias("rank"))  # every snapshot has an account that receives
+    ranks = found.select("snap", "node", "rank").unionByName(
+        in_snaps.filter(~F.col("receives")).join(F.broadcast(bases), "snap").select("snap", "node", "rank")
+    )
     certificates = spark.createDataFrame(list(errors.items()), "snap int, error double")
     return ranks, certificates
 

@@ -116,3 +116,25 @@ def test_walks_next_to_hubs_carry_no_contact_lists(spark, monkeypatch):
         assert -1e-12 <= exact - row["value"] <= row["error"] + 1e-12
     # Each walk uses up its budget in the first hub; the lists of the other hubs were 7 MB before.
     assert len(rows) == 100 and sum(sizes) < 3_000_000
+
+
+def test_pagerank_loop_carries_only_accounts_that_receive(spark, monkeypatch):
+    sizes = []
+    for name in ("written", "cut_lineage"):
+        def measured(df, kept=getattr(tg, name)):
+            table = kept(df)
+            sizes.append(table.count())
+            return table
+
+        monkeypatch.setattr(tg, name, measured)
+    # Sixty payers to four shops; one shop pays on, the others pay nobody.
+    pairs = [(f"p{i:02d}", f"s{(i * j) % 4}") for i in range(60) for j in (1, 3)] + [("s1", "s2")]
+    edges = spark.createDataFrame([(*e, 0) for e in sorted(set(pairs))], "src string, dst string, us bigint")
+    ranks, errors = tg.pagerank_snapshots(edges, [(1, len(set(pairs)))])
+    exact = oracles.exact_pagerank(set(pairs))
+    got = {r["node"]: r["rank"] for r in ranks.collect()}
+    bound = errors.first()["error"]
+    assert got.keys() == exact.keys() and bound <= 1e-8
+    assert all(abs(got[n] - exact[n]) <= bound + 1e-12 for n in exact)
+    # Nodes and edges once, then four rows a round (64 before).
+    assert max(sizes[4:]) <= 4
