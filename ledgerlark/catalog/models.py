@@ -820,7 +820,8 @@ def stream_settled_feedback(spark, sf):
         run = settled.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         run.trigger(availableNow=True).start().awaitTermination()
 
-    sfb.in_request_order(rows, source, step, "at_us")
+    # A key of the join has two rows, so a range is dealt over all tasks and may be large.
+    sfb.in_request_order(rows, source, step, "at_us", most=2_000_000)
     last = rows.agg(F.max("at_us")).first()[0]
     if last is not None:
         spark.createDataFrame(sfb.closing_feedback(last, 10 * 86_400_000_000), rows.schema).write.mode("append").parquet(source)

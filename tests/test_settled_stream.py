@@ -55,3 +55,18 @@ def test_every_known_label_once(spark, least):
 
 def test_empty_stream(spark):
     assert settle(spark, [], 1) == []
+
+
+def test_query_takes_large_ranges(spark, sf, monkeypatch):
+    from ledgerlark.catalog import models
+
+    taken = []
+
+    def ranges(rows, path, step, order="seq", most=250_000, least=4):
+        taken.append(most)
+        in_request_order(rows, path, step, order, most, least)
+
+    monkeypatch.setattr(models.sfb, "in_request_order", ranges)
+    assert models.stream_settled_feedback(spark, sf).count() > 0
+    # 60 times sf0.1 has 10.6 million rows: six steps, each of which starts the stream anew (43 before).
+    assert -(-10_600_000 // taken[0]) <= 6
