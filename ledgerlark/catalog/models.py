@@ -848,7 +848,7 @@ def stream_adaptive_budget(spark, sf):
         run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         run.trigger(availableNow=True).start().awaitTermination()
 
-    sfb.in_request_order(rows, source, step)
+    sfb.in_request_order(rows, source, step, most=1_000_000)
     stored = spark.read.schema("event_id string, decision string, tau_after double").parquet(out)
     return stored.select("event_id", "decision", r6(F.col("tau_after")).alias("tau_after"))
 

@@ -98,9 +98,11 @@ class AdaptiveCutoff(StatefulProcessor):
         columns = ["event_id", "segment", "seq", "score", "decision", "tau_before", "tau_after"]
         for at in range(0, len(ranked), self.piece):
             out = []
-            for i in ranked[at : at + self.piece].tolist():
-                p = int(np.searchsorted(starts, i, "right")) - 1
-                event_id, segment, seq, score = (parts[p][c].iat[i - starts[p]] for c in columns[:4])
+            taken = ranked[at : at + self.piece]
+            held = np.searchsorted(starts, taken, "right") - 1
+            chunk = pd.concat([parts[p].iloc[taken[held == p] - starts[p]] for p in np.unique(held)])
+            chunk = chunk.sort_values("seq", kind="stable")
+            for event_id, segment, seq, score in zip(*(chunk[c].tolist() for c in columns[:4])):
                 if last is not None and seq <= last:
                     out.append((event_id, segment, seq, score, "LATE", None, None))
                     continue

@@ -32,3 +32,18 @@ def test_decisions_over_many_ranges(spark, monkeypatch):
         for r, (decision, before, after) in zip(own, adaptive([r[3] for r in own], 0.05, 0.5, 20)):
             near = lambda x, y: x is y or math.isclose(x, y, abs_tol=1e-9)
             assert got[r[0]][0] == decision and near(got[r[0]][1], before) and near(got[r[0]][2], after)
+
+
+def test_query_takes_large_ranges(spark, sf, monkeypatch):
+    from ledgerlark.catalog import models
+
+    taken, kept = [], models.sfb.in_request_order
+
+    def ranges(rows, path, step, order="seq", most=250_000, least=4):
+        taken.append(most)
+        kept(rows, path, step, order, most, least)
+
+    monkeypatch.setattr(models.sfb, "in_request_order", ranges)
+    assert models.stream_adaptive_budget(spark, sf).count() > 0
+    # 3.6 million requests at 60 times sf0.1 start the stream four times (15 before).
+    assert -(-3_600_000 // taken[0]) <= 4
