@@ -19,7 +19,7 @@ from ledgerlark.plans.prefix import (
     plan_layout,
     with_scalars,
 )
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, written
 
 # Decay times in minutes, list lengths, histogram smoothing.
 HISTORY_DECAY = 720.0
@@ -201,23 +201,27 @@ def _surprise(
 ) -> DataFrame:
     """Decayed histogram of the sender plus the weighted one of the pair, at each payment.
 
-    Two decayed prefixes serve it: the sender's total and the sender's own bin.
+    Two decayed prefixes serve it: the sender's total and the sender's own bin. Payments with their bins and the
+    history are written once, narrow, as every prefix reads them several times.
     """
-    rows = payments.filter(
+    paid = payments.filter(
         (F.col("kind") == "payment") & F.col("source").isNotNull() & F.col("destination").isNotNull()
     )
-    origin = payments.agg(F.min("event_us").alias("origin"))
+    rows = written(
+        paid.select("event_id", "event_us", "seq", "kind", "source", "destination", "amount", own_bin.alias("bin"))
+    )
+    origin = written(payments.agg(F.min("event_us").alias("origin")))  # one row
 
     def minutes(df: DataFrame) -> DataFrame:
         return with_scalars(df, origin).withColumn("event_us", F.col("event_us") - F.col("origin")).drop("origin")
 
     decay = HISTORY_DECAY * MINUTE_US
-    probes = minutes(rows.withColumn("bin", own_bin).select("event_id", "source", "event_us", "bin"))
-    past = minutes(history)
+    probes = minutes(rows.select("event_id", "source", "event_us", "bin"))
+    past = minutes(written(history))
     total = decayed_prefix(past, probes, ["source"], "event_us", F.lit(1.0), decay, "all_bins")
     own = decayed_prefix(past, probes, ["source", "bin"], "event_us", F.lit(1.0), decay, "own_bin")
     folded = total.select("event_id", "all_bins").join(own.select("event_id", "own_bin"), "event_id")
-    asked = rows.withColumn("bin", own_bin).select("event_id", "source", "destination", "event_us", "bin")
+    asked = rows.select("event_id", "source", "destination", "event_us", "bin")
     pairs = last_pair_payments(rows, asked, PAIR_LIMIT, "items")
     entries = pair_bins(F.col("items"))
 

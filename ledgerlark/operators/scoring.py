@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.scalars import sigmoid, softplus
 from ledgerlark.operators.metrics import class_weight, fit_standardizer
 from ledgerlark.plans.prefix import bucketed_prefix, measure_cuts, with_scalars
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, written
 
 # Fixed value: the smallest positive double.
 SMALLEST = 5e-324
@@ -269,10 +269,15 @@ def arrow_head(
 
 
 def history_rows(payments: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> DataFrame:
-    """What the history head sees: features, ``bits`` and label per payment, written once as fitting reads them several times."""
+    """What the history head sees: features, ``bits`` and label per payment, written once as fitting reads them several times.
+
+    The payments are written as well: features and surprise read them in some ten places, each of which would repeat the
+    joins behind them.
+    """
     from ledgerlark.operators.features import payment_features
     from ledgerlark.operators.histories import surprise_bits
 
+    payments, outcomes = written(payments), written(outcomes.select("event_id", "label"))
     return cut_lineage(
         payment_features(payments, names)
         .join(surprise_bits(payments).select("event_id", "bits"), "event_id")

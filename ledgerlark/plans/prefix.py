@@ -27,6 +27,7 @@ from ledgerlark.session import rows_per_task
 
 MAX_COARSE = 64
 MAX_FINE = 256
+HASH_SLICES = 16_384
 BUCKET = "__bucket"
 _COARSE = "__coarse"
 
@@ -116,18 +117,23 @@ def plan_layout(
 ) -> Layout | None:
     """Find keys with more than ``per_task`` rows. At most n/per_task keys can qualify.
 
-    Inputs that fit in one task as a whole need no search; then the only job is a row count, and
-    not even that when the caller knows that there are ``at_most`` so many rows.
+    One pass counts rows per slice of the hash range, which map-side sums keep small. Only a slice with more than
+    ``per_task`` rows can hold such a key, so mostly that is all; else the keys of such slices are counted one by one.
+    No pass is made when the caller knows that there are ``at_most`` so many rows.
     """
     per_task = per_task or rows_per_task(rows.sparkSession)
     if at_most is not None and at_most <= per_task:
         return None
     keyed = rows.select(*keys, order)
-    total = keyed.count()
-    if total <= per_task:
+    slice_ = F.pmod(F.xxhash64(*keys), F.lit(HASH_SLICES))
+    slices = keyed.groupBy(slice_.alias("__slice")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > per_task)
+    full = slices.collect()  # at most HASH_SLICES
+    if not full:
         return None
+    total = sum(r["__n"] for r in full)
     hot = (
-        keyed.groupBy(*keys)
+        keyed.filter(slice_.isin([r["__slice"] for r in full]))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > per_task)
         .select(*keys, F.lit(True).alias("__hot"))

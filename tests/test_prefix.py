@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.features import payment_features
+from ledgerlark.operators.histories import amount_surprise_bits
 from ledgerlark.plans import prefix as px
 from ledgerlark.plans.ordering import first_seen_index, previous_value, running_max
 
@@ -31,6 +32,41 @@ def test_strict_prefix_splits_hot_keys(rows, per_task):
         assert r["m"] == (max(x[1] for x in seen) if seen else None)
 
 
+def counted(df):
+    """The frame, and a counter of how often its rows were made."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def see(_):
+        made.add(1)
+        return True
+
+    return df.filter(F.udf(see, "boolean")("seq")), made
+
+
+def test_light_keys_are_found_in_one_pass(rows):
+    light, made = counted(rows.withColumn("key", F.concat("key", F.col("seq").cast("string"))))
+    assert px.plan_layout(light, ["key"], "at", 20) is None
+    assert made.value == len(ROWS)
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_hot_keys_are_exact_whatever_shares_their_slice(rows, monkeypatch, slices):
+    monkeypatch.setattr(px, "HASH_SLICES", slices)
+    sizes = {k: sum(r[0] == k for r in ROWS) for k in {r[0] for r in ROWS}}
+    for per_task in (20, max(sizes.values()) - 1):
+        layout = px.plan_layout(rows, ["key"], "at", per_task)
+        assert {r["key"] for r in layout.hot.collect()} == {k for k, n in sizes.items() if n > per_task}
+    assert px.plan_layout(rows, ["key"], "at", max(sizes.values())) is None
+
+
+def test_surprise_reads_its_payments_three_times_at_most(spark):
+    paid = [(f"e{i}", i * 60_000_000, i, "payment", f"a{i % 3}", f"b{i % 2}", float(i % 9)) for i in range(30)]
+    names = "event_id string, event_us bigint, seq bigint, kind string, source string, destination string, amount double"
+    payments, made = counted(spark.createDataFrame(paid, names))
+    assert amount_surprise_bits(payments).count() == 30
+    assert made.value <= 3 * 30  # origin, payments with bins, history
+
+
 @pytest.mark.parametrize("per_task", [None, 20])
 def test_asof_last_k(rows, per_task):
     layout = px.plan_layout(rows, ["key"], "at", per_task)
