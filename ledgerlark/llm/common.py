@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.session import scratch_dir
+from ledgerlark.session import discard, scratch_dir  # noqa: F401  (operators take both from here)
 
 #: White space between words: the blank and the six ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -51,15 +51,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def discard(*frames: DataFrame | None) -> None:
-    """Delete the files of stashed frames that nothing will read again; other frames are left alone."""
-    for df in frames:
-        if path := getattr(df, "stashed", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: A map of used keys has a fixed size of 2^26 bits, however many keys there are.
 MAP_BITS = 26
 

@@ -138,3 +138,19 @@ def test_pagerank_loop_carries_only_accounts_that_receive(spark, monkeypatch):
     assert all(abs(got[n] - exact[n]) <= bound + 1e-12 for n in exact)
     # Nodes and edges once, then four rows a round (64 before).
     assert max(sizes[4:]) <= 4
+
+
+def test_walks_leave_no_tables_of_rounds(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    ring = [(f"n{i}", f"n{(i + 1) % 40}", i) for i in range(40)] + [("n0", f"m{i}", 50 + i) for i in range(30)]
+    contacts = spark.createDataFrame([(min(a, b), max(a, b), us) for a, b, us in ring], "lo string, hi string, us bigint")
+    walks = spark.createDataFrame([(1, "n3", "n9", 100), (2, "n0", "m4", 100), (3, "m1", "n20", 60)], "walk bigint, start string, target string, us bigint")
+    held = lambda: {f for f in glob.glob(spark.conf.get("spark.checkpoint.dir") + "/**/*.parquet", recursive=True) if (p := pq.ParquetFile(f)).metadata.num_rows and {"known", "head"} & set(p.schema_arrow.names)}  # noqa: E501,E731
+    tg.written(contacts)  # names the folder
+    before = held()
+    found = tg.bounded_ppr(contacts, walks, budget=64)
+    left = [f for f in held() - before if "open=0" not in f]
+    assert not left and found.count() == 3
