@@ -176,6 +176,7 @@ def pair_history(
         },
         layout=plan_layout(rows, keys, "__at", per_task, at_most),
         sequence=[F.col("seq")] if settled else None,
+        size=at_most,
     ).filter("__asks")
     directed = F.when(F.col("__fwd"), F.col("__same")).otherwise(F.col("__back"))
     both = F.when(F.col("source") == F.col("destination"), F.col("__same") * 2).otherwise(
@@ -301,6 +302,7 @@ def raw_history(
         {"last_us": F.when(F.col("touch") == 1, F.col("at"))},
         layout,
         [F.col("phase"), F.col("seq"), F.col("side")] if settled else None,
+        6 * size,
     ).filter((F.col("role") >= 0) & (F.col("role") < 4))
 
     def pick(role: int, name: str, alias: str) -> Column:

@@ -215,7 +215,8 @@ def last_neighbors(payments: DataFrame, probes: DataFrame, k: int, name: str = "
     history = incidences(payments)
     item = F.struct("other", "event_id", "event_us", "amount", "role")
     layout = plan_layout(history, ["account"], "event_us")
-    return asof_last_k(history, probes, ["account"], "event_us", "place", item, k, name, layout)
+    size = 2 * payments.count() + probes.count()
+    return asof_last_k(history, probes, ["account"], "event_us", "place", item, k, name, layout, size)
 
 
 def pair_state(updates: DataFrame, probes: DataFrame, value: str, name: str = "state") -> DataFrame:

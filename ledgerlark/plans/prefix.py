@@ -28,6 +28,8 @@ from ledgerlark.session import rows_per_task
 MAX_COARSE = 64
 MAX_FINE = 256
 HASH_SLICES = 16_384
+# Rows that one task sorts for a window, where the number of rows is known.
+WINDOW_ROWS = 500_000
 BUCKET = "__bucket"
 _COARSE = "__coarse"
 
@@ -145,6 +147,17 @@ def plan_layout(
     return Layout(small, measure_cuts(keyed, order, per_task))
 
 
+def spread(rows: DataFrame, keys: Sequence[str], size: int | None) -> DataFrame:
+    """Deal ``size`` rows by key over as many tasks as they need, so that the memory of a task doesn't grow with the table.
+
+    Tables that the session's number of shuffle partitions holds anyway, and those of unknown size, are left alone.
+    """
+    wanted = -(-(size or 0) // WINDOW_ROWS)
+    if wanted <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows
+    return rows.repartition(wanted, *keys)
+
+
 def strict_prefix(
     rows: DataFrame,
     keys: Sequence[str],
@@ -153,12 +166,14 @@ def strict_prefix(
     maxima: Mapping[str, Column] | None = None,
     layout: Layout | None = None,
     sequence: Sequence[Column] | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Add per row the sums and maxima over rows of the same key that come strictly before it.
 
     ``order`` is an integer column. By default "before" means a smaller order value, so rows of
     one timestamp never see one another; probe rows carry NULL or zero values. With
-    ``sequence`` the rows are taken one by one in the order ``(order, *sequence)``.
+    ``sequence`` the rows are taken one by one in the order ``(order, *sequence)``. ``size`` is the number of rows, or
+    somewhat more, where the caller knows it.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     names = [*sums, *maxima]
@@ -182,7 +197,9 @@ def strict_prefix(
             *[F.sum(n).over(before).alias("__c_" + n) for n in sums],
             *[F.max(n).over(before).alias("__c_" + n) for n in maxima],
         )
-        rows = rows.join(carry, partition, "left")
+        rows = spread(rows, partition, size).join(carry, partition, "left")
+    else:
+        rows = spread(rows, partition, size)
 
     window = Window.partitionBy(*partition)
     if sequence is None:
@@ -280,11 +297,13 @@ def asof_last_k(
     k: int,
     name: str = "items",
     layout: Layout | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Add to every probe the last k history items strictly before it, oldest first.
 
     ``tie`` orders history rows of one timestamp. Each history row first receives the at most k
-    items ending with it; a probe then takes the array of the latest earlier row.
+    items ending with it; a probe then takes the array of the latest earlier row. ``size`` is the number of history rows
+    and probes, where the caller knows it.
     """
     keys = list(keys)
     partition = [*keys, BUCKET] if layout is not None else keys
@@ -294,7 +313,7 @@ def asof_last_k(
         past = layout.add(past, keys, order)
         asked = layout.add(asked, keys, order)
     ending = Window.partitionBy(*partition).orderBy(order, tie).rowsBetween(-(k - 1), 0)
-    past = past.withColumn("__last", F.collect_list("__item").over(ending)).drop("__item")
+    past = spread(past, partition, size).withColumn("__last", F.collect_list("__item").over(ending)).drop("__item")
     position = F.struct(F.col(order), F.col(tie))
     carried = None
     if layout is not None:
@@ -330,7 +349,7 @@ def asof_last_k(
         F.lit(None).cast(past.schema["__last"].dataType).alias("__last"),
         F.struct(*[F.col(c) for c in probes.columns]).alias("__probe"),
     )
-    both = marked.unionByName(asked)
+    both = spread(marked.unionByName(asked), partition, size)
     strictly = Window.partitionBy(*partition).orderBy(order).rangeBetween(
         Window.unboundedPreceding, -1
     )

@@ -158,3 +158,21 @@ def test_hot_accounts_give_the_same_features(spark, sf):
     assert plain.keys() == split.keys()
     for key, row in plain.items():
         assert split[key] == pytest.approx(row)
+
+
+def test_window_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [(f"k{i % 50}", i // 3, i, i % 7) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k string, at bigint, i bigint, v bigint")
+    asked = frame.select("k", "at", F.col("i").alias("probe"))
+
+    def both():
+        summed = px.strict_prefix(frame, ["k"], "at", {"s": F.col("v")}, size=3000)
+        last = px.asof_last_k(frame, asked, ["k"], "at", "i", F.col("v"), 3, size=6000)
+        return summed, last
+
+    plain = [sorted(map(repr, df.collect())) for df in both()]
+    monkeypatch.setattr(px, "WINDOW_ROWS", 100)
+    dealt = both()
+    # Four tasks, the session's number, before.
+    assert [df.rdd.getNumPartitions() for df in dealt] == [30, 60]
+    assert [sorted(map(repr, df.collect())) for df in dealt] == plain
