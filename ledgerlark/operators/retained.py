@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators.features import MONEY, PAYMENT_FEATURES, REGISTRY, SIDES, WINDOW_US
 from ledgerlark.plans.prefix import bucketed_prefix, global_rank, measure_cuts, plan_layout, strict_prefix, with_scalars
+from ledgerlark.session import written
 
 _SUMS = ("out_count", "in_count", "out_value", "in_value", "seen")
 
@@ -45,7 +46,7 @@ def retained_positions(events: DataFrame, limit: int, freeze_us: int | None = No
     return ranked.join(clock, "event_us")
 
 
-def _pairs(rows: DataFrame, per_task: int | None) -> DataFrame:
+def _pairs(rows: DataFrame, per_task: int | None, size: int) -> DataFrame:
     """(event_id, raw_pair_out_count, raw_pair_total_count) of the payments between two accounts."""
     paid = rows.filter((F.col("kind") == "payment") & F.col("source").isNotNull() & F.col("destination").isNotNull())
     forward = F.col("source") <= F.col("destination")
@@ -58,7 +59,8 @@ def _pairs(rows: DataFrame, per_task: int | None) -> DataFrame:
     ).select("*", "r.*").drop("r")
     adds = F.col("role") == -1
     sums = {"same": F.when(adds & F.col("fwd"), 1).otherwise(0), "back": F.when(adds & ~F.col("fwd"), 1).otherwise(0)}
-    scanned = strict_prefix(keyed, ["lo", "hi"], "at", sums, layout=plan_layout(keyed, ["lo", "hi"], "at", per_task)).filter("role >= 0")
+    layout = plan_layout(keyed, ["lo", "hi"], "at", per_task, 3 * size)
+    scanned = strict_prefix(keyed, ["lo", "hi"], "at", sums, layout=layout, size=3 * size).filter("role >= 0")
     sign = F.when(F.col("role") == 0, 1).otherwise(-1)
     own = F.when(F.col("fwd"), F.col("same")).otherwise(F.col("back"))
     total = F.when(F.col("self"), 2 * F.col("same")).otherwise(F.col("same") + F.col("back"))
@@ -67,7 +69,7 @@ def _pairs(rows: DataFrame, per_task: int | None) -> DataFrame:
     )
 
 
-def _accounts(rows: DataFrame, per_task: int | None) -> DataFrame:
+def _accounts(rows: DataFrame, per_task: int | None, size: int) -> DataFrame:
     """(event_id, raw_sender_*, raw_recipient_*) of all payments."""
     paid = (F.col("kind") == "payment") & F.col("source").isNotNull() & F.col("destination").isNotNull()
     touches = F.col("kind").isin("payment", "deposit")
@@ -95,7 +97,8 @@ def _accounts(rows: DataFrame, per_task: int | None) -> DataFrame:
         "in_value": F.when(F.col("inn") == 1, value), "seen": F.col("touch"),
     }
     latest = {"last_us": F.when(F.col("touch") == 1, F.col("event_us"))}
-    scanned = strict_prefix(exploded, ["account"], "at", sums, latest, plan_layout(exploded, ["account"], "at", per_task)).filter("role >= 0")
+    layout = plan_layout(exploded, ["account"], "at", per_task, 8 * size)
+    scanned = strict_prefix(exploded, ["account"], "at", sums, latest, layout, size=8 * size).filter("role >= 0")
 
     def pick(role: int, name: str) -> Column:
         return F.max(F.when(F.col("role") == role, F.col(name)))
@@ -128,14 +131,16 @@ def retained_features(
     recipes = [REGISTRY[n] for n in names]
     needs = {need for r in recipes for need in r.needs}
     columns = ["event_id", "event_us", "seq", "kind", "source", "destination", "amount"]
-    rows = retained_positions(payments.select(*columns, *keep), limit, freeze_us)
+    # Ranks, clocks, cuts and the three uses of the placed rows would each repeat the plan behind them.
+    payments = written(payments.select(*columns, *keep))
+    rows, size = written(retained_positions(payments, limit, freeze_us)), payments.count()
     base = rows.filter(F.col("kind") == "payment").drop("position", "stop", "first", "hour")
     zeros: dict[str, Column] = {}
     if "pair" in needs:
-        base = base.join(_pairs(rows, per_task), ["event_id", "seq"], "left")
+        base = base.join(_pairs(rows, per_task, size), ["event_id", "seq"], "left")
         zeros |= {c: F.coalesce(F.col(c), F.lit(0)) for c in ("raw_pair_out_count", "raw_pair_total_count")}
     if needs & {"account", "recent"}:
-        base = base.join(_accounts(rows, per_task), ["event_id", "seq"], "left")
+        base = base.join(_accounts(rows, per_task, size), ["event_id", "seq"], "left")
         for side in SIDES:
             counts = [*_SUMS, *[f"recent_{n}" for n in _SUMS if n != "seen"]]
             zeros |= {c: F.coalesce(F.col(c), F.lit(0)) for c in (f"raw_{side}_{n}" for n in counts)}

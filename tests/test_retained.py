@@ -88,3 +88,16 @@ def test_limits_and_empty_streams(spark):
     assert retained_features(empty, 5).collect() == []
     with pytest.raises(ValueError):
         retained_features(empty, 0)
+
+
+def test_the_stream_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(made(), KIND).mapInPandas(counted, KIND)
+    assert retained_features(df, 40).count() > 0
+    assert seen.value == 240  # several times that before
