@@ -3,8 +3,10 @@
 First links come from ``simhash``: fingerprints of the shingle sets at a small Hamming distance, found by multi-index
 hashing. They connect most copies but not all that are similar, so the rest comes from a prefix filter:
 two sets with similarity t or more share a shingle among the |s| - ceil(t |s|) + 1 first ones of each, in any
-order that holds for all sets, so candidates miss no pair. Frequent shingles come last in the order; their
-frequencies are estimated on a sample, which bears on the speed only. Keys are not capped: in each round some
+order that holds for all sets, so candidates miss no pair. Frequent shingles come last in the order, the most frequent
+ones at the very end: those of a sample, then all that over a few sets were found to have among their first ones. This
+bears on the speed only. The place of a shared shingle bounds what two sets can share if it is the first one they share,
+so pairs that meet too late for the similarity are no candidates. Keys are not capped: in each round some
 members of a key are compared with all its members outside their component, four times as many as in the round
 before, until a key holds one component or all its pairs were compared. A group of near copies collapses in the
 first rounds, so no pair list of it is made. Every link is verified on the texts; bit maps of the sets reject most
@@ -27,6 +29,8 @@ from ledgerlark.llm.simhash import _LOWER, connected, hamming_links
 #: Documents on which shingle frequencies are estimated, and how many of them make a shingle frequent.
 SAMPLE, FREQUENT = 20_000, 4
 _MOST_FREQUENT = 500_000
+#: All pairs of a key with so few sets are compared at once; shingles with more sets are put last, in so many passes.
+_FEW, PASSES = 8, 2
 #: Whole texts that a Python worker gets at once.
 TEXTS = 1_000
 #: Members of a key that one task compares with the key's leaders.
@@ -65,6 +69,25 @@ def held_in(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
 
 
+class Late:
+    """Shingles that come last in the order, by their number of sets; adding some leaves the others as they were."""
+
+    def __init__(self, hashes: np.ndarray, sets: np.ndarray) -> None:
+        by_hash = np.argsort(hashes, kind="stable")
+        self.hashes, self.sets = hashes[by_hash], sets[by_hash]
+
+    def plus(self, hashes: np.ndarray, sets: np.ndarray) -> Late:
+        fresh = ~held_in(hashes, self.hashes)
+        return Late(np.r_[self.hashes, hashes[fresh]], np.r_[self.sets, sets[fresh]])
+
+    def head(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """First shingles of a sorted set: the order of the hashes, then that of (sets, hash) for the late ones."""
+        last = held_in(s, self.hashes)
+        late = s[last]
+        at = np.searchsorted(self.hashes, late)
+        return np.r_[s[~last], late[np.argsort(self.sets[at], kind="stable")]][: prefix_length(len(s), percent)]
+
+
 def majority(s: np.ndarray) -> int:
     """Signed 64-bit fingerprint: a bit is 1 if set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, dtype=np.int64)
@@ -93,19 +116,18 @@ def may_be_similar(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def sketches(text: Column, width: int, percent: int, late) -> Column:
-    """(sid, n, fp, head, bits): 64-bit id of the shingle set, its size, fingerprint, first shingles and bit map; shingles
-    in the sorted broadcast ``late`` come last, the rest in the order of the hashes."""
+    """(sid, n, fp, head, bits): 64-bit id of the shingle set, its size, fingerprint, first shingles and bit map; those in the
+    broadcast ``late`` come last."""
 
     @F.arrow_udf("struct<sid:bigint,n:bigint,fp:bigint,head:array<bigint>,bits:binary>")
     def of(texts: pa.Array) -> pa.Array:
         sids, sizes, prints, heads, maps = [], [], [], [], []
         for t in texts.cast(pa.binary()):
             s = shingle_set(t.as_py(), width)
-            last = held_in(s, late.value)
             sids.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), 1), "big", signed=True))
             sizes.append(len(s))
             prints.append(majority(s))
-            heads.append(np.r_[s[~last], s[last]][: prefix_length(len(s), percent)])
+            heads.append(late.value.head(s, percent))
             maps.append(bit_map(s))
         columns = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
         return pa.StructArray.from_arrays(columns, names=["sid", "n", "fp", "head", "bits"])
@@ -113,14 +135,23 @@ def sketches(text: Column, width: int, percent: int, late) -> Column:
     return of(text)
 
 
-def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Shingles that are frequent in a sample of the distinct texts, most frequent first if there are too many."""
+def heads(text: Column, width: int, percent: int, late) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([late.value.head(shingle_set(t.as_py(), width), percent) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
+
+    return of(text)
+
+
+def frequent_shingles(docs: DataFrame, text: str, width: int) -> Late:
+    """Shingles that are frequent in a sample of the distinct texts, the most frequent ones if there are too many."""
     n = docs.count()
     every = max(1, n // SAMPLE)
     sample = docs.select(F.col(text).alias("__t")).filter(F.pmod(F.xxhash64("__t"), F.lit(every)) == 0).distinct()
     counts = sample.select(F.explode(shingle_sets(F.col("__t"), width)).alias("h")).groupBy("h").count()
     top = counts.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(_MOST_FREQUENT)
-    return np.sort(top.select("h").toArrow()["h"].to_numpy().astype(np.int64))
+    found = top.toArrow()
+    return Late(found["h"].to_numpy().astype(np.int64), found["count"].to_numpy().astype(np.int64) * every)
 
 
 class Verifier:
@@ -178,7 +209,9 @@ def first_links(classes: DataFrame, verifier: Verifier, radius: int = 2) -> Data
 def similar_links(entries: DataFrame, links: DataFrame, verifier: Verifier) -> DataFrame:
     """Edges (root, sid) that leave two sets connected exactly if a chain of similar pairs joins them.
 
-    ``entries``: (h, sid, n), the keys of every set that shares one; ``links``: what is known already.
+    ``entries``: (h, sid, n, at), the keys of every set that shares one and their places; ``links``: what is known already.
+    If h is the first shingle that two sets share, they share no more than what each of them has from it on. Similar sets
+    meet at that key, so those that can't be similar by this bound are not compared there.
     """
     percent, leaders, stars = verifier.percent, 1, None
     while True:
@@ -189,7 +222,7 @@ def similar_links(entries: DataFrame, links: DataFrame, verifier: Verifier) -> D
         discard(links)
         rooted = entries if stars is None else entries.join(stars.select(F.col("b").alias("sid"), F.col("a").alias("root")), "sid", "left")
         root = F.col("sid") if stars is None else F.coalesce("root", "sid")
-        live = stash(rooted.select("h", "sid", "n", root.alias("root")), "rooted-keys")
+        live = stash(rooted.select("h", "sid", "n", "at", root.alias("root")), "rooted-keys")
         keys = live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sid").alias("first"))
         led = stash(live.join(keys.filter("lo <> hi"), "h").drop("lo", "hi"), "live-keys")
         discard(entries, live)
@@ -198,24 +231,61 @@ def similar_links(entries: DataFrame, links: DataFrame, verifier: Verifier) -> D
             return stars if stars is not None else entries.sparkSession.createDataFrame([], "a long, b long")
         # All members of a small key lead; else the first one and about 4^round more, much the same ones in all keys.
         draw = F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / 2.0**30 * F.col("m") < float(leaders - 1)
-        led = led.withColumn("leads", (F.col("sid") == F.col("first")) | (F.col("m") <= 8) | draw)
+        led = led.withColumn("leads", (F.col("sid") == F.col("first")) | (F.col("m") <= _FEW) | draw)
         # The members of a large key are dealt over several places, each of which gets all its leaders.
         places = F.ceil(F.col("m") / _DEAL)
-        lead = led.filter("leads").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"))
+        lead = led.filter("leads").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"))
         dealt = led.withColumn("place", F.pmod(F.xxhash64("sid"), places))
-        near = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("root") != F.col("ra"))
+        shared = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata"))
+        near = ((100 + percent) * shared >= percent * (F.col("n") + F.col("na"))) & (F.col("root") != F.col("ra"))
         met = lead.join(dealt, ["h", "place"]).filter(near & (~F.col("leads") | (F.col("a") < F.col("sid"))))
         pairs = stash(met.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), "pairs")
         links = verifier.similar(pairs)
-        entries = stash(led.filter(~F.col("leads")).select("h", "sid", "n"), "left-keys")
+        entries = stash(led.filter(~F.col("leads")).select("h", "sid", "n", "at"), "left-keys")
         discard(pairs)
         leaders *= 4
 
 
+def holds_any(head: Column, table) -> Column:
+    """Whether the array has a member in the sorted broadcast ``table``."""
+
+    @F.arrow_udf("boolean")
+    def of(found: pa.Array) -> pa.Array:
+        return pa.array([bool(held_in(h.values.to_numpy(zero_copy_only=False), table.value).any()) for h in found], pa.bool_())
+
+    return of(head)
+
+
+def key_sizes(classes: DataFrame) -> DataFrame:
+    """(h, m): the number of sets that have h in ``head``."""
+    return classes.select(F.explode("head").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+
+
+def rarest_first(classes: DataFrame, docs: DataFrame, text: str, late: Late, width: int, percent: int) -> DataFrame:
+    """The sets with shingles that over ``_FEW`` of them have in ``head`` put last; other heads are the same in the new order."""
+    context = classes.sparkSession.sparkContext
+    texts = docs.select(F.col(text).alias("t"), F.coalesce(F.md5(text), F.lit("")).alias("d"))
+    for _ in range(PASSES):
+        common = key_sizes(classes).filter(F.col("m") > _FEW).orderBy(F.desc("m"), "h").limit(_MOST_FREQUENT + len(late.hashes)).toArrow()
+        more = late.plus(common["h"].to_numpy().astype(np.int64), common["m"].to_numpy().astype(np.int64))
+        if len(more.hashes) == len(late.hashes):
+            break
+        fresh = context.broadcast(more.hashes[~held_in(more.hashes, late.hashes)])
+        late = more
+        marked = stash(classes.withColumn("moved", holds_any(F.col("head"), fresh)), "marked-classes")
+        discard(classes)
+        wanted = stash(marked.filter("moved").select("sid", "d"), "moved-classes")
+        again = texts.join(small(wanted, wanted.count()), "d").select("sid", heads(F.col("t"), width, percent, context.broadcast(late)).alias("head"))
+        again = stash(again.groupBy("sid").agg(F.first("head").alias("head")), "moved-heads")  # the same for every text of a set
+        kept = marked.filter("not moved").drop("moved")
+        classes = stash(kept.unionByName(marked.filter("moved").drop("moved", "head").join(again, "sid")), "classes")
+        discard(marked, wanted, again)
+    return classes
+
+
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(h, sid, n) of the keys in ``head`` that two sets or more have, and few others (a bit map decides)."""
-    heads = classes.select(F.explode("head").alias("h"))
-    shared = stash(heads.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h"), "shared-keys")
+    """(h, sid, n, at) of the keys in ``head`` that two sets or more have, and few others (a bit map decides)."""
+    shared = stash(key_sizes(classes).filter("m > 1").select("h"), "shared-keys")
     used = classes.sparkSession.sparkContext.broadcast(key_map(shared, "h"))
     discard(shared)
 
@@ -223,12 +293,15 @@ def shared_keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             lists, n = batch.column(2), len(batch)
             keys = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), sizes)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             mask = in_map(used.value, keys)
             at = pa.array(row[mask])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[mask], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], names=["h", "sid", "n"])
+            columns = [pa.array(keys[mask], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[mask], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "sid", "n", "at"])
 
-    return stash(classes.select("sid", "n", "head").mapInArrow(keep, "h bigint, sid bigint, n bigint"), "keys")
+    return stash(classes.select("sid", "n", "head").mapInArrow(keep, "h bigint, sid bigint, n bigint, at bigint"), "keys")
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +313,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     """
     with arrow_rows(docs.sparkSession, TEXTS):
         docs = docs.select(F.col(key), F.col(text))
-        late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
+        order = frequent_shingles(docs, text, width)
+        late = docs.sparkSession.sparkContext.broadcast(order)
         found = docs.select(F.col(key), F.md5(F.col(text)).alias("text_digest"), sketches(F.col(text), width, percent, late).alias("p"))
         whole = stash(found.select(key, "text_digest", "p.*"), "sketches")
         digest = F.min(F.coalesce("text_digest", F.lit(""))).alias("d")
@@ -248,6 +322,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
         classes = stash(whole.groupBy("sid").agg(*firsts, digest), "classes")
         prints = stash(whole.select(key, "text_digest", "sid"), "prints")
         discard(whole)
+        classes = rarest_first(classes, docs, text, order, width, percent)
         entries = shared_keys(classes)
         narrow = stash(classes.drop("head"), "set-maps")
         discard(classes)
