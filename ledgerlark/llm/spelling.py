@@ -130,7 +130,8 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["key", "word", "n"])
 
     asked = vocabulary.select("word", "n").mapInArrow(ask, "key bigint, word string, n bigint")
-    met = asked.join(vocabulary.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key")
+    # Spark sizes what is asked like the vocabulary, though every word asks for many keys, and would broadcast it.
+    met = asked.join(vocabulary.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "key")
     close = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
     # A pair may meet under several keys only if hashes collide or two edits have one reduced form.
     return met.filter(close).select("word", "n", "near", "near_n").distinct()
@@ -141,7 +142,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     now = stash(forms.select("word", F.col("form").alias("root")), "form-hops")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        hop = stash(now.join(on, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("went")), "form-hops")
+        hop = stash(now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("went")), "form-hops")
         now = hop.select("word", "root")
         if hop.filter("went").isEmpty():
             return now
@@ -156,15 +157,16 @@ def variants(
     A word's form is its near word of largest n (ties: smallest in code-point order) if that is at least ``ratio`` times the
     word's; the root follows the forms to the last. Null texts have no words, a null key counts as ``null``,
     repeated rows count each, other columns don't matter. Empty tables give no rows; very long texts are read whole.
+    No table of words is broadcast, as its files say little about its size in memory.
     """
     words = stash(count_words(docs, text, key, shortest, least, every), "words")
     near = stash(near_words(words, symbols), "near-words")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("b")
     found = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    placed = words.join(found, "word", "left").withColumn("has", F.coalesce(-F.col("b.minus") >= ratio * F.col("n"), F.lit(False)))
+    placed = words.join(found.hint("merge"), "word", "left").withColumn("has", F.coalesce(-F.col("b.minus") >= ratio * F.col("n"), F.lit(False)))
     rows = stash(placed.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("has"), F.col("b.near")).alias("form"),
         F.when(F.col("has"), -F.col("b.minus")).alias("form_n"),
     ), "word-forms")
     roots = last_forms(rows.filter("form is not null"))
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

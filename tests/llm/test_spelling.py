@@ -90,3 +90,11 @@ def test_chains_ties_and_odd_rows(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(docs).collect() == []
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    words = spark.createDataFrame([(f"planeta{c}", 7) for c in "abcdefgh"], "word string, n bigint")
+    docs = words.selectExpr("n as doc_id", "concat_ws(' ', array_repeat(word, 6)) as text")
+    for df in (spelling.near_words(words), spelling.variants(docs)):
+        assert df.count() > 0
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
