@@ -33,6 +33,8 @@ PPR_TOLERANCE = 1e-4
 # A cold start needs more rounds than a warm one for the same certificate.
 PAGERANK_ROUNDS = 60
 HUB_EDGES = 1_000_000
+# Rows of a narrow table that Spark may broadcast; the files of a larger one say too little about its size in memory.
+BROADCAST_ROWS = 200_000
 
 
 # --- PageRank ---------------------------------------------------------------------------------
@@ -78,6 +80,11 @@ def _snapshot_of(times: Sequence[int], column: Column) -> Column:
     return search(0, len(times))
 
 
+def _beside(table: DataFrame, rows: int) -> DataFrame:
+    """The table as one side of a join: one with many rows is merged, not broadcast."""
+    return table if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 def pagerank_snapshots(
     edges: DataFrame,
     schedule: Sequence[tuple[int, int]],
@@ -87,7 +94,20 @@ def pagerank_snapshots(
     hub_edges: int = HUB_EDGES,
     check_every: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """All snapshots at once: (snap, node, rank) and their certificates (snap, error).
+    """All snapshots at once: (snap, node, rank) and their certificates (snap, error); see ``_solve_snapshots``."""
+    found, quiet, bases, certificates = _solve_snapshots(edges, schedule, damping, rounds, tolerance, hub_edges, check_every)
+    last = len(schedule) - 1
+    alike = quiet.filter(F.col("first") <= last).select("node", F.explode(F.sequence(F.col("first"), F.lit(last))).alias("snap"))
+    ranks = found.unionByName(alike.join(F.broadcast(bases), "snap").select("snap", "node", F.col("base").alias("rank")))
+    return ranks, certificates
+
+
+def _solve_snapshots(
+    edges: DataFrame, schedule: Sequence[tuple[int, int]], damping: float, rounds: int, tolerance: float, hub_edges: int,
+    check_every: int,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Ranks (snap, node, rank) of accounts that receive, all others (node, first) with the snapshot that first holds them,
+    their rank (snap, base) in every snapshot, and the certificates (snap, error).
 
     Snapshot sizes grow geometrically, so together they hold about eleven times the edges. A
     snapshot stops when its L1 bound d/(1-d) * change meets the tolerance. Accounts that never receive all have the
@@ -101,6 +121,8 @@ def pagerank_snapshots(
         empty = edges.limit(0)
         return (
             empty.select(F.lit(0).alias("snap"), F.col("src").alias("node"), F.lit(0.0).alias("rank")),
+            empty.select(F.col("src").alias("node"), F.lit(0).alias("first")),
+            empty.select(F.lit(0).alias("snap"), F.lit(0.0).alias("base")),
             empty.select(F.lit(0).alias("snap"), F.lit(0.0).alias("error")),
         )
     # First snapshot that contains an edge: the first snapshot time after the edge.
@@ -120,12 +142,14 @@ def pagerank_snapshots(
     )
     in_snaps = nodes.withColumn("snap", F.explode(F.sequence(F.col("first"), F.lit(last))))
     sizes = in_snaps.groupBy("snap").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("receives")).alias("quiet"))
-    marked = written(member.join(nodes.select(F.col("node").alias("src"), "receives"), "src"))
+    known = _beside(nodes.select(F.col("node").alias("src"), "receives"), nodes.count())
+    marked = written(member.join(known, "src"))
 
     def with_degrees(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         snap_edges = part.select("src", "dst", F.explode(F.sequence(F.col("__k"), F.lit(last))).alias("snap"))
         degrees = snap_edges.groupBy("snap", "src").agg(F.count(F.lit(1)).alias("deg"))
-        return snap_edges.join(degrees, ["snap", "src"]), degrees
+        # Spark sizes the edges of all snapshots like the edges, so it is left no choice.
+        return snap_edges.join(degrees.hint("merge"), ["snap", "src"]), degrees
 
     sent, degrees = with_degrees(marked.filter("receives"))
     salts = F.floor(F.col("deg") / hub_edges).cast("int")
@@ -138,13 +162,14 @@ def pagerank_snapshots(
     state = written(
         in_snaps.filter("receives").select("snap", "node")
         .join(F.broadcast(sizes), "snap")  # one row per snapshot, logarithmic in the edges
-        .join(degrees.withColumnRenamed("src", "node"), ["snap", "node"], "left")
-        .join(pushed, ["snap", "node"], "left")
+        .join(degrees.withColumnRenamed("src", "node").hint("merge"), ["snap", "node"], "left")
+        .join(pushed.hint("merge"), ["snap", "node"], "left")
         .select(
             "snap", "node", "n", "quiet", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("push", F.lit(0.0)).alias("push"),
             (F.lit(1.0) / F.col("n")).alias("rank"), (F.lit(1.0) / F.col("n")).alias("base"),
         )
     )
+    held = state.count()  # no later round has more rows
     factor = damping / (1 - damping)
     fixed = ["snap", "node", "n", "quiet", "deg", "push"]
     errors: dict[int, float] = {k: 2.0 for k in range(len(times))}
@@ -158,7 +183,7 @@ def pagerank_snapshots(
             F.explode(F.sequence(F.lit(0), F.floor(F.col("deg") / hub_edges).cast("int"))).alias("salt"),
         )
         inbound = (
-            links.join(out, ["snap", "src", "salt"])
+            links.join(_beside(out, held), ["snap", "src", "salt"])
             .groupBy("snap", F.col("dst").alias("node"))
             .agg(F.sum("share").alias("inbound"))
         )
@@ -168,7 +193,7 @@ def pagerank_snapshots(
         )
         arrived = F.coalesce("inbound", F.lit(0.0)) + F.col("push") * F.col("base")
         updated = (
-            state.join(inbound, ["snap", "node"], "left")
+            state.join(_beside(inbound, held), ["snap", "node"], "left")
             .join(F.broadcast(dangling), "snap")  # one row per snapshot
             .withColumn("new_base", (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) / F.col("n"))
             .withColumn("new", F.lit(damping) * arrived + F.col("new_base"))
@@ -190,12 +215,9 @@ def pagerank_snapshots(
     found = state.select("snap", "node", "rank", "base")
     for part in settled:
         found = found.unionByName(part)
-    bases = found.groupBy("snap").agg(F.max("base").alias("rank"))  # every snapshot has an account that receives
-    ranks = found.select("snap", "node", "rank").unionByName(
-        in_snaps.filter(~F.col("receives")).join(F.broadcast(bases), "snap").select("snap", "node", "rank")
-    )
+    bases = found.groupBy("snap").agg(F.max("base").alias("base"))  # every snapshot has an account that receives
     certificates = spark.createDataFrame(list(errors.items()), "snap int, error double")
-    return ranks, certificates
+    return found.select("snap", "node", "rank"), nodes.filter(~F.col("receives")).select("node", "first"), bases, certificates
 
 
 def pagerank_features(payments: DataFrame, rounds: int = PAGERANK_ROUNDS) -> DataFrame:
@@ -203,12 +225,19 @@ def pagerank_features(payments: DataFrame, rounds: int = PAGERANK_ROUNDS) -> Dat
     edges = cut_lineage(first_contacts(payments, directed=True))
     counts = cut_lineage(edge_counts(payments, edges))
     schedule = snapshot_schedule(counts)
-    ranks, errors = pagerank_snapshots(edges, schedule, rounds=rounds)
+    found, quiet, bases, errors = _solve_snapshots(edges, schedule, DAMPING, rounds, PAGERANK_TOLERANCE, HUB_EDGES, 4)
     spark = payments.sparkSession
     placed = payment_ends(payments).withColumn("snap", _snapshot_of([t for t, _ in schedule], F.col("us")))
-    scored = placed.join(ranks, ["snap", "node"], "left").groupBy("event_id", "us", "snap").agg(
+    # Accounts that never receive are looked up once each, not once for every snapshot that holds them.
+    ranked = (
+        placed.join(found.hint("merge"), ["snap", "node"], "left")
+        .join(quiet.hint("merge"), "node", "left")
+        .join(F.broadcast(bases), "snap", "left")  # one row per snapshot
+    )
+    rank = F.coalesce("rank", F.when(F.col("first") <= F.col("snap"), F.col("base")))
+    scored = ranked.groupBy("event_id", "us", "snap").agg(
         *[
-            F.coalesce(F.max(F.when(F.col("side") == side, F.col("rank"))), F.lit(0.0)).alias(
+            F.coalesce(F.max(F.when(F.col("side") == side, rank)), F.lit(0.0)).alias(
                 f"graph_{side}_pagerank"
             )
             for side in ("sender", "recipient")

@@ -54,6 +54,14 @@ def test_pagerank_within_certificate(payments, local):
             assert abs(row[f"graph_{side}_pagerank"] - exact[t].get(node, 0.0)) <= bound + 1e-12
 
 
+def test_no_table_of_accounts_is_broadcast_for_the_ranks(payments):
+    df = tg.pagerank_features(payments)
+    assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert keys and not any("string" in line for line in keys)
+
+
 @pytest.fixture(scope="module")
 def connected(payments):
     return tg.component_features(payments).cache()
