@@ -37,6 +37,11 @@ HUB_EDGES = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
+def _beside(table: DataFrame, rows: int) -> DataFrame:
+    """The table as one side of a join: one with many rows is merged, not broadcast."""
+    return table if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 # --- PageRank ---------------------------------------------------------------------------------
 
 
@@ -80,11 +85,6 @@ def _snapshot_of(times: Sequence[int], column: Column) -> Column:
     return search(0, len(times))
 
 
-def _beside(table: DataFrame, rows: int) -> DataFrame:
-    """The table as one side of a join: one with many rows is merged, not broadcast."""
-    return table if rows <= BROADCAST_ROWS else table.hint("merge")
-
-
 def pagerank_snapshots(
     edges: DataFrame,
     schedule: Sequence[tuple[int, int]],
@@ -248,7 +248,7 @@ def pagerank_features(payments: DataFrame, rounds: int = PAGERANK_ROUNDS) -> Dat
     ).join(errors, "snap", "left")
     return (
         scored.join(F.broadcast(taken), "snap", "left")  # one row per snapshot
-        .join(counts, "us")
+        .join(counts.hint("merge"), "us")
         .select(
             "event_id",
             "graph_sender_pagerank",
@@ -277,6 +277,7 @@ def contraction_tree(contacts: DataFrame) -> DataFrame:
     )
     tops = contact_ends(contacts).select("node", F.col("node").alias("top")).distinct()
     tops = written(tops.withColumn("until", F.lit(None).cast("bigint")))
+    held = tops.count()  # no table of groups has more rows
     levels, level = [], 0
     while not edges.isEmpty():
         level += 1
@@ -286,18 +287,18 @@ def contraction_tree(contacts: DataFrame) -> DataFrame:
         # Two groups that take each other's contact end the chains; the smaller of them is the root.
         back = best.select(F.col("x").alias("y"), F.col("y").alias("__back"))
         own = (F.col("__back") == F.col("x")) & (F.col("x") < F.col("y"))
-        hooks = best.join(back, "y").select(
+        hooks = best.join(_beside(back, held), "y").select(
             F.lit(0).alias("ctx"), F.col("x").alias("node"), F.when(own, F.col("x")).otherwise(F.col("y")).alias("root")
         )
         hooks = follow_hooks(hooks).select(F.col("node").alias("x"), F.col("root").alias("__root"))
         steps = best.select("x", "at").join(hooks, "x")
-        tops = tops.join(steps, F.col("top") == F.col("x")).select(
+        tops = tops.join(_beside(steps, held), F.col("top") == F.col("x")).select(
             "node", F.col("__root").alias("top"), F.greatest("until", "at").alias("until")
         )
         levels.append(tops.withColumn("level", F.lit(level)))
         at_a = hooks.select(F.col("x").alias("a"), F.col("__root").alias("__a"))
         at_b = hooks.select(F.col("x").alias("b"), F.col("__root").alias("__b"))
-        moved = edges.join(at_a, "a").join(at_b, "b").filter("__a <> __b")
+        moved = edges.join(_beside(at_a, held), "a").join(_beside(at_b, held), "b").filter("__a <> __b")
         edges = written(
             moved.groupBy(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).agg(F.min("w").alias("w"))
         )
@@ -318,7 +319,7 @@ def temporal_components(contacts: DataFrame, probes: DataFrame) -> DataFrame:
     tree = written(contraction_tree(contacts))
     asked = probes.select("node", "us").distinct()
     reached = (
-        asked.join(tree, "node")
+        asked.join(tree.hint("merge"), "node")
         .filter(F.col("until") < F.col("us"))
         .groupBy("node", "us")
         .agg(F.max(F.struct("level", "top")).alias("t"))
@@ -330,7 +331,7 @@ def temporal_components(contacts: DataFrame, probes: DataFrame) -> DataFrame:
     ).unionByName(reached.select("root", "us", F.lit(0).alias("__one"), "node"))
     layout = plan_layout(rows, ["root"], "us")
     counted = strict_prefix(rows, ["root"], "us", {"size": F.col("__one")}, layout=layout).filter("node is not null")
-    return probes.join(counted.select("node", "us", "root", "size"), ["node", "us"], "left").withColumn(
+    return probes.join(counted.select("node", "us", "root", "size").hint("merge"), ["node", "us"], "left").withColumn(
         "size", F.coalesce("size", F.lit(0))
     )
 
@@ -447,7 +448,7 @@ def bounded_ppr(
     One plan for any size: open walks ask for degrees, which are running counts, and for the contacts of nodes
     with less than the rest of the budget. A walk holds at most ``budget`` contacts, and none of those of its last
     level, where the target's place is looked up by a join; so hubs cost no more than other nodes, and
-    nothing is broadcast. The rounds end when no walk asks, which is after the depth of the walks usually.
+    no table of nodes or walks is broadcast. The rounds end when no walk asks, which is after the depth of the walks usually.
     """
     import pyarrow as pa
 
@@ -514,7 +515,7 @@ def bounded_ppr(
             counted.select(*columns).unionByName(asked.filter("degree is not null").select(*columns))
         )
         few = (F.col("degree") < F.col("room")) & (F.col("degree") > 0)
-        lists = answers.filter(few).join(heads, "node").select(
+        lists = answers.filter(few).join(heads.hint("merge"), "node").select(
             "walk", "node", "degree", F.to_json(F.slice("head", F.lit(1), F.col("degree").cast("int"))).alias("others")
         )
         found = lists.unionByName(
@@ -538,7 +539,7 @@ def bounded_ppr(
     places = ranked.select("node", F.col("other").alias("target"), "place")
     gains = (
         settled.select("walk", "target", F.explode("ends").alias("e")).select("walk", "target", "e.*")
-        .join(places, ["node", "target"])
+        .join(places.hint("merge"), ["node", "target"])
         .filter(F.col("place") < F.col("degree"))
         .groupBy("walk")
         .agg(
@@ -547,7 +548,7 @@ def bounded_ppr(
             F.sum(F.when(F.col("place") >= F.col("take"), F.col("credit")).otherwise(0.0)).alias("__extra"),
         )
     )
-    return settled.join(gains, "walk", "left").select(
+    return settled.join(gains.hint("merge"), "walk", "left").select(
         "walk", "start", "target", "us",
         (F.col("value") + F.coalesce("__gain", F.lit(0.0))).alias("value"),
         F.greatest(F.lit(0.0), F.col("error") - F.coalesce("__extra", F.lit(0.0))).alias("error"),
@@ -563,7 +564,7 @@ def ppr_features(
     """
     contacts = cut_lineage(first_contacts(payments) if contacts is None else contacts)
     paid = payments.filter("kind = 'payment'").select("event_id", "event_us", "source", "destination")
-    linked = paid.join(connected.filter("graph_same_component = 1"), "event_id", "left_semi")
+    linked = paid.join(connected.filter("graph_same_component = 1").hint("merge"), "event_id", "left_semi")
     walks = linked.select(
         "event_id",
         F.col("event_us").alias("us"),
@@ -580,14 +581,14 @@ def ppr_features(
         walks.select(*keys).distinct().withColumn("walk", F.monotonically_increasing_id())
     )
     solved = bounded_ppr(contacts, unique, **options)
-    back = walks.join(solved.select(*keys, "value", "error"), keys)
+    back = walks.join(solved.select(*keys, "value", "error").hint("merge"), keys)
     folded = back.groupBy("event_id").agg(
         F.max(F.when(F.col("way") == "f", F.col("value"))).alias("fv"),
         F.max(F.when(F.col("way") == "r", F.col("value"))).alias("rv"),
         F.max(F.when(F.col("way") == "f", F.col("error"))).alias("fe"),
         F.max(F.when(F.col("way") == "r", F.col("error"))).alias("re"),
     )
-    return paid.select("event_id").join(folded, "event_id", "left").select(
+    return paid.select("event_id").join(folded.hint("merge"), "event_id", "left").select(
         "event_id",
         F.coalesce("fv", F.lit(0.0)).alias("graph_ppr_sender_to_recipient"),
         F.coalesce("rv", F.lit(0.0)).alias("graph_ppr_recipient_to_sender"),
@@ -602,7 +603,7 @@ def graph_features(payments: DataFrame) -> DataFrame:
     linked = cut_lineage(component_features(payments, contacts))
     return (
         pagerank_features(payments)
-        .join(ppr_features(payments, linked, contacts), "event_id")
-        .join(linked, "event_id")
-        .join(degree_features(payments), "event_id")
+        .join(ppr_features(payments, linked, contacts).hint("merge"), "event_id")
+        .join(linked.hint("merge"), "event_id")
+        .join(degree_features(payments).hint("merge"), "event_id")
     )

@@ -162,3 +162,9 @@ def test_walks_leave_no_tables_of_rounds(spark):
     found = tg.bounded_ppr(contacts, walks, budget=64)
     left = [f for f in held() - before if "open=0" not in f]
     assert not left and found.count() == 3
+
+
+def test_no_table_of_walks_is_broadcast_for_their_scores(payments, connected):
+    df = tg.ppr_features(payments, connected)
+    assert df.count() > 0
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
