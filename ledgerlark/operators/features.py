@@ -278,6 +278,7 @@ def raw_history(
     if not needs:
         return base.filter(F.col("kind") == "payment")
     size = payments.count()
+    plain = base
     if "pair" in needs:
         base = pair_history(base, settled, freeze_us, per_task, 2 * size)
     if "account" not in needs:
@@ -285,7 +286,8 @@ def raw_history(
     carried = [c for c in base.columns if c not in ("event_id", "seq", "settled", "role")]
     recent = "recent" in needs
     rows = _account_rows(base, carried, recent, settled, freeze_us)
-    layout = plan_layout(rows, ["account"], "at", per_task, 6 * size)
+    # Hot accounts are sought without the history of pairs, whose window would run for it once more.
+    layout = plan_layout(_account_rows(plain, [], recent, settled, freeze_us), ["account"], "at", per_task, 6 * size)
     value = F.col("value")
     sums = {
         "out_count": F.col("out"),

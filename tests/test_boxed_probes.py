@@ -36,3 +36,11 @@ def test_probes_of_keys_alone_and_of_another_type(spark):
     assert sorted((r.us, r.acc or "", r["items"]) for r in found.collect()) == [(1, "a", []), (6, "", []), (6, "a", [10, 11])]
     found = prefix.decayed_prefix(history(spark), probes, ["acc"], "us", F.lit(1.0), 10.0)
     assert found.dtypes[:2] == [("us", "int"), ("acc", "string")] and found.count() == 3
+
+
+def test_lookup_deals_rows_once_and_before_there_are_lists(spark):
+    probes = spark.createDataFrame([("x", "a", 6), ("y", "c", 6)], "id string, acc string, us long")
+    found = prefix.asof_last_k(history(spark), probes, ["acc"], "us", "seq", F.col("v"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r.id: r["items"] for r in found.collect()} == {"x": [10, 11], "y": []}

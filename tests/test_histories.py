@@ -124,3 +124,20 @@ def test_late_rows_go_aside(spark, tmp_path):
     late = sorted(r["event_us"] for r in spark.read.parquet(f"{out}/late").collect())
     kept = sorted(r["event_us"] for r in spark.read.parquet(f"{out}/accepted").collect())
     assert (late, kept) == ([3, 8], [1, 5, 9, 9])
+
+
+def test_levels_and_kinds_share_their_lookups(payments, rows, monkeypatch):
+    asked = []
+    for name in ("last_neighbors", "last_pair_payments"):
+        def watched(*args, plain=getattr(hs, name), name=name, **kwargs):
+            asked.append(name)
+            return plain(*args, **kwargs)
+
+        monkeypatch.setattr(hs, name, watched)
+    probes = payments.selectExpr("event_id", "source as account", "event_us")
+    assert hs.neighborhood_vector(payments, probes, WEIGHTS, MIX).count() == len(rows)
+    both = {r["event_id"]: r for r in hs.surprise_bits(payments).collect()}
+    assert asked == ["last_neighbors"] * 3 + ["last_pair_payments"]
+    for part in ("amount", "gap"):
+        for r in getattr(hs, f"{part}_surprise_bits")(payments).collect():
+            assert both[r["event_id"]][f"{part}_bits"] == pytest.approx(r["bits"])
