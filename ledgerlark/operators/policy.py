@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.metrics import score_groups
@@ -322,7 +322,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "stream": part["stream"],
-                "row_id": part["row_id"],
+                "place": part["place"],
                 "decision": pa.array(decisions, pa.string()),
                 "tau_before": pa.array(before, pa.float64()),
                 "tau_after": pa.array(after, pa.float64()),
@@ -379,11 +379,11 @@ def decide_adaptive_budget(
     base = df.select(*kept, F.col(score).cast("double").alias("score"), joins.alias("__joins"))
     # Position among the eligible rows of the group; the same for every configuration.
     placed = bucketed_prefix(
-        base, [order], {"__place": F.when(F.col("__joins"), 1).otherwise(0).cast("bigint")}, by=by
+        base, [order, id_column, "score"], {"__place": F.when(F.col("__joins"), 1).otherwise(0).cast("bigint")}, by=by
     )
     rows = placed.withColumn("__c", F.explode(grid)).select("*", "__c.*").drop("__c")
     stream = F.to_json(F.array(*[F.col(c).cast("string") for c in by], F.col("config")))
-    rows = rows.withColumns({"stream": stream, "row_id": F.col(id_column).cast("string")})
+    rows = rows.withColumn("stream", stream)
     learning = F.col("__place") < F.col("warmup")
     # The warm-up of a stream is bounded by its setting, so its quantile fits one group.
     ready = (
@@ -411,7 +411,6 @@ def decide_adaptive_budget(
     )
     active = rows.filter(F.col("__joins") & ~learning).select(
         "stream",
-        "row_id",
         "score",
         "alpha",
         "eta",
@@ -419,9 +418,11 @@ def decide_adaptive_budget(
         F.floor((F.col("__place") - F.col("warmup")) / F.lit(stretch_rows)).cast("bigint").alias("stretch"),
     )
     active = active.join(ready, "stream").join(ranges, "stream")
-    laid = active.repartition("stream", "stretch").sortWithinPartitions("stream", "stretch", "place")
-    maps = laid.select(
-        "stream", "stretch", "place", "score", "tau0", "eta", "alpha", "least", "most"
+    # The window holds a stretch together and in order. A repartition by these keys would be dropped above the join by the
+    # same keys, and adaptive execution may then read that join's shuffle in pieces.
+    inside = F.row_number().over(Window.partitionBy("stream", "stretch").orderBy("place")).alias("nth")
+    maps = active.select(
+        "stream", "stretch", "place", "score", "tau0", "eta", "alpha", "least", "most", inside
     ).mapInArrow(
         _summarise, "stream string, stretch bigint, low bigint, sizes array<bigint>, finals array<bigint>"
     )
@@ -430,14 +431,15 @@ def decide_adaptive_budget(
     )
     decided = (
         active.join(starts, ["stream", "stretch"])
-        .repartition("stream", "stretch")
-        .sortWithinPartitions("stream", "stretch", "place")
-        .select("stream", "stretch", "place", "row_id", "score", "tau0", "eta", "alpha", "start")
+        .select("stream", "stretch", "place", "score", "tau0", "eta", "alpha", "start", inside)
         .mapInArrow(
-            _decide, "stream string, row_id string, decision string, tau_before double, tau_after double"
+            _decide, "stream string, place bigint, decision string, tau_before double, tau_after double"
         )
     )
-    result = rows.join(decided, ["stream", "row_id"], "left").join(ready, "stream", "left")
+    # Ids may repeat; the place of an eligible row doesn't.
+    decided = decided.withColumn("__joins", F.lit(True)).withColumnRenamed("place", "__at")
+    rows = rows.withColumn("__at", (F.col("__place") - F.col("warmup")).cast("bigint"))
+    result = rows.join(decided, ["stream", "__at", "__joins"], "left").join(ready, "stream", "left")
     undecided = F.when(~F.col("__joins"), "CONTEXT").otherwise("LEARNING")
     last_warm = F.col("__joins") & (F.col("__place") == F.col("warmup") - 1)
     result = result.withColumns(

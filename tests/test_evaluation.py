@@ -110,3 +110,26 @@ def test_fingerprint_ignores_row_order(spark):
     first = mt.dataset_fingerprint(df).first()
     assert mt.dataset_fingerprint(df.orderBy(F.desc("id")).repartition(7)).first() == first
     assert mt.dataset_fingerprint(df.withColumn("v", F.col("v") + (F.col("id") == 9).cast("int"))).first() != first
+
+
+def test_stretches_stay_whole_where_their_starts_are_broadcast_late(spark):
+    rng = random.Random(8)
+    scores = [rng.expovariate(0.4) for _ in range(6000)]
+    df = spark.createDataFrame([(str(i), i, s) for i, s in enumerate(scores)], "event_id string, seq bigint, score double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more data
+    try:
+        got = pol.decide_adaptive_budget(df, alpha=0.1, eta=0.05, warmup=20, stretch_rows=700).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = oracles.adaptive(scores, 0.1, 0.05, 20)
+    assert [r["decision"] for r in got] == [w[0] for w in want]
+
+
+def test_rows_with_one_id_and_order_are_decided_each(spark):
+    rng = random.Random(9)
+    scores = [s for s in (rng.expovariate(0.4) for _ in range(200)) for _ in range(2)]
+    df = spark.createDataFrame([(str(i // 2), i // 2, s) for i, s in enumerate(scores)], "event_id string, seq bigint, score double")
+    got = pol.decide_adaptive_budget(df, alpha=0.1, eta=0.05, warmup=20, stretch_rows=30).collect()
+    want = [(str(i // 2), w[0]) for i, w in enumerate(oracles.adaptive(scores, 0.1, 0.05, 20))]
+    assert sorted((r["event_id"], r["decision"]) for r in got) == sorted(want)
